@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(the_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("text_sha256"),
     )
     hashed = marked.filter("_more").drop("_more").withColumn("text_sha256", F.sha2(text.cast("binary"), 256))
-    groups = hashed.groupBy("text_sha256").agg(F.max(the_id).alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the join below has a plain exchange on either side and Spark can split a hot group's partition.
+    groups = stash(hashed.groupBy("text_sha256").agg(F.max(the_id).alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
     among_equals = F.row_number().over(Window.partitionBy("text_sha256", the_id).orderBy(F.lit(1)))
     together = (
         hashed.withColumn("_nth", among_equals)
