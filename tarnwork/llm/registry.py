@@ -7,10 +7,12 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op2_packing
 from .sharding import op10_feistel_shards
 from .token_counts import op3_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
     "op10_feistel_shards": op10_feistel_shards,
