@@ -6,10 +6,12 @@ from .chat_format import op7_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op2_packing
 from .sharding import op10_feistel_shards
+from .simhash import op1_simhash
 from .token_counts import op3_token_counts
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
