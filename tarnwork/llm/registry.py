@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op7_chat_format
+from .decontamination import op5_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op2_packing
 from .sharding import op10_feistel_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
     "op10_feistel_shards": op10_feistel_shards,
