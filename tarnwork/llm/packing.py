@@ -9,7 +9,6 @@ together in the next round, until one group is left.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,6 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces packed by one task; bins of each group that are opened again in the next round.
 GROUP, REOPENED = 20_000, 48
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
-
-_ids: dict[str, dict[str, bytes]] = {}
 
 
 def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> np.ndarray:
@@ -133,20 +128,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pre_tokenizer(path)
-        known = _ids.setdefault(path, {})
         end = end_id.to_bytes(4, "little")
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tok.split(x.as_py() or "")
-                try:
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    new = [w for w in set(words) if w not in known]
-                    known.update((w, array("I", i).tobytes()) for w, i in zip(new, tok.ids(new), strict=True))
-                    ids = b"".join(map(known.__getitem__, words)) + end
+                ids = tok.encode(x.as_py() or "").astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 while at < n:

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 
@@ -34,6 +35,22 @@ def _unsure() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]") if runs else re.compile(r"(?!)")
 
 
+def _same_by_ranks(model: dict):
+    """The same byte-pair encoding in a faster library; None unless the file's merges come in the order of their ids, which makes the two equal."""
+    import public_tokenizers
+    import tiktoken
+
+    vocab = model["vocab"]
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ranks = [vocab[j] for j in joined]
+    if ranks != sorted(set(ranks)) or len(vocab) != len(ranks) + 256:
+        return None
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the file
+    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    tokens = {bytes(shown[c] for c in word): i for word, i in vocab.items()}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={})
+
+
 class PreTokenizer:
     """Splits texts as the file's byte-level pre-tokenizer does; encodes single pre-tokens with the library."""
 
@@ -49,6 +66,7 @@ class PreTokenizer:
         import public_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self._fast = _same_by_ranks(described["model"])
         self._words = regex.compile(public_tokenizers.PATTERN).findall
         special = [t["content"] for t in described["added_tokens"]]
         self._unsure = _unsure()
@@ -68,6 +86,21 @@ class PreTokenizer:
             return self._words(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text, as unsigned 32-bit numbers."""
+        if self._special is None or not self._special.search(text):
+            return self._encode(text)
+        parts = self._special.split(text)
+        return np.concatenate([self._library_ids(p) if i % 2 else self._encode(p) for i, p in enumerate(parts)])
+
+    def _encode(self, text: str) -> np.ndarray:
+        if self._fast is None or not (text.isascii() or not self._unsure.search(text)):
+            return self._library_ids(text)
+        return self._fast.encode_to_numpy(text, disallowed_special=())
+
+    def _library_ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
 
