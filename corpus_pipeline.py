@@ -1,8 +1,55 @@
-"""The corpus pipeline: stages that each write their result, which the next one reads as its documents."""
+"""The corpus pipeline: stages that each write their result, which the next one reads as its documents.
 
-STAGES: list = []
-ORACLE_SQL = None
+toxicity -> exact dedup -> SimHash near-dedup -> benchmark decontamination -> best-fit packing
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnwork.llm import decontamination, exact_dedup, packing, simhash, toxicity
+from tarnwork.llm.common import pick, stash, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, trained on the labelled ones among the stage's own, doesn't call toxic."""
+    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
+    model = toxicity.train(pick(docs, doc_id="doc_id", text="text"), labels)
+    scored = toxicity.score(docs, model)
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(docs).filter("kept").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", keep_one_of_equal),
+    ("simhash_near_dedup", keep_one_of_near),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # a trained model and a fingerprint search; tests/llm holds the stages against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs, name)
+    return docs
