@@ -8,6 +8,8 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op2_packing
 from .sharding import op10_feistel_shards
 from .simhash import op1_simhash
+from .substring_index import op9_substring_index
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op3_token_counts
 from .toxicity import op4_toxicity
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_substring_index": op9_substring_index,
     "op10_feistel_shards": op10_feistel_shards,
 }
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}

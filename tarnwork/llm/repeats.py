@@ -1,0 +1,504 @@
+"""Finding repeated windows of 50 symbols (bytes or words) across documents, exactly and in bounded memory.
+
+The steps that the substring operators share:
+
+1. Equal texts are folded: of each text only the row with the smallest id goes on, in chunks of a few megabytes.
+2. Every window has an anchor: the run of ``k`` symbols in it whose hash is least. Equal windows have equal anchors, and windows in a
+   row mostly share theirs, so a chunk has one *stretch* (anchor, windows in a row) for many windows.
+3. A chunk sends each of its anchor hashes once, whatever number of its documents have it. Hashes in two documents at least are hot.
+4. Stretches with a hot anchor meet by that anchor, again each content once for each chunk, with the smallest id that has it.
+   Where an anchor has one content only, all its windows have that id; else the operator's own method tells equal windows.
+5. Each chunk learns the smallest id of each window and removes what an earlier document has.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pick, stash
+
+WINDOW = 50
+CHUNK_BYTES = 4_000_000
+#: Symbols for each bucket of anchors and stretches.
+BUCKET_BYTES = 8_000_000
+#: Symbols that the method which tells equal windows gets at once.
+TOGETHER = 4_000_000
+NO_ID = (1 << 63) - 1
+_A = 0xD6E8FEB86659FD93
+_INDEX_BITS = 28
+_EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def fold_equal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows (id, h1, h2) of all documents, and (id, h1, h2, text) of one row for each text: the one with the smallest id.
+
+    A null text counts as empty; a null id as larger than any other. Texts meet by 128 bits of hash, and texts of one group of
+    copies never meet in one task: the join that picks the rows goes by id too.
+    """
+    plain = pick(docs, id=id_col, text=text_col)
+    text = F.coalesce("text", F.lit(""))
+    keyed = plain.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
+    rows = stash(keyed.select("id", "h1", "h2"), "rows")
+    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    return rows, keyed.join(first, ["h1", "h2", "id"])
+
+
+CHUNK = "batch int, ids binary, h1 binary, h2 binary, sizes binary, raw long, data binary"
+
+
+def chunked(texts: DataFrame, bounds: list[int]) -> DataFrame:
+    """Texts in chunks: rows (chunk, batch, ids, h1, h2, sizes, raw, data); batch says between which of the id ``bounds`` the ids lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        edges = np.array(bounds, np.int64)
+        last = None
+        for b in batches:
+            at = {n: i for i, n in enumerate(b.schema.names)}
+            ids, h1, h2 = (b.column(at[n]).to_numpy(zero_copy_only=False) for n in ("id", "h1", "h2"))
+            for i, x in enumerate(b.column(at["text"])):
+                key = (h1[i], h2[i], ids[i])
+                if key == last:  # a repeated row
+                    continue
+                last = key
+                mine = held.setdefault(int(np.searchsorted(edges, ids[i], side="right")), [[], [], [], [], 0])
+                data = x.as_py().encode()
+                for store, v in zip(mine, (ids[i], h1[i], h2[i], data), strict=False):
+                    store.append(v)
+                mine[4] += len(data)
+                if mine[4] >= CHUNK_BYTES:
+                    yield close(int(np.searchsorted(edges, ids[i], side="right")), held.pop(int(np.searchsorted(edges, ids[i], side="right"))))
+        for batch, mine in held.items():
+            yield close(batch, mine)
+
+    def close(batch: int, mine: list) -> pa.RecordBatch:
+        raw = b"".join(mine[3])
+        cols = [batch, *(np.array(mine[i], np.int64).tobytes() for i in range(3)), np.fromiter(map(len, mine[3]), np.int64).tobytes(), len(raw), pa.compress(raw, "zstd", asbytes=True)]
+        kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
+
+    made = texts.sortWithinPartitions("h1", "h2", "id").mapInArrow(run, CHUNK)
+    return stash(made.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+class Bytes:
+    """Symbols are bytes."""
+
+    k = 20
+
+    @staticmethod
+    def symbols(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        return np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+    @staticmethod
+    def kept(doc: bytes, removed: np.ndarray) -> bytes:
+        return np.frombuffer(doc, np.uint8)[~removed].tobytes()
+
+    @staticmethod
+    def join(doc: bytes) -> bytes:
+        return doc
+
+
+class Words:
+    """Symbols are words, as 64-bit hashes; words are runs of bytes that aren't ASCII white space."""
+
+    k = 8
+
+    @staticmethod
+    def symbols(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [d.split() for d in docs]
+        sizes = np.fromiter(map(len, words), np.int64, len(docs))
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(w) for ws in words for w in ws), np.uint64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+
+    @staticmethod
+    def kept(doc: bytes, removed: np.ndarray) -> bytes:
+        return b" ".join(w for w, r in zip(doc.split(), removed.tolist(), strict=True) if not r)
+
+    @staticmethod
+    def join(doc: bytes) -> bytes:
+        return b" ".join(doc.split())
+
+
+class Chunk:
+    def __init__(self, kind: type, ids: bytes, sizes: bytes, raw: int, data: bytes):
+        self.kind, self.ids = kind, np.frombuffer(ids, np.int64)
+        text = pa.decompress(data, raw, "zstd", asbytes=True) if raw else b""
+        ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+        self.docs = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.symbols, self.starts = kind.symbols(self.docs)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of the anchor, first window, number of windows, document) of each stretch."""
+        n, k = len(self.symbols), self.kind.k
+        empty = np.zeros(0, np.int64)
+        if n < WINDOW:
+            return empty.astype(np.uint64), empty, empty, empty
+        sizes = np.diff(self.starts)
+        first = self.starts[:-1][sizes >= WINDOW]
+        last = self.starts[1:][sizes >= WINDOW] - WINDOW
+        out: tuple[list, ...] = ([], [], [])
+        step = 1 << 18
+        for at in range(0, n - WINDOW + 1, step):
+            part = self.symbols[at : at + step + WINDOW - 1].astype(np.uint64)
+            spot, h = _anchors(part, k)
+            out[0].append(spot + at)
+            out[1].append(h[spot])
+        if not len(first):
+            return empty.astype(np.uint64), empty, empty, empty
+        spot, hashed = np.concatenate(out[0]), np.concatenate(out[1])
+        valid = np.zeros(len(spot) + 1, np.int8)
+        valid[first] += 1
+        valid[last + 1] -= 1
+        valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
+        new = np.ones(len(spot), bool)
+        new[1:] = spot[1:] != spot[:-1]
+        new[first] = True
+        begin = np.flatnonzero(new & valid)
+        # A stretch ends where the next one begins or where its document's last window is.
+        doc = np.searchsorted(self.starts, begin, side="right") - 1
+        stop = np.minimum(np.append(begin[1:], len(spot)), self.starts[doc + 1] - WINDOW + 1)
+        return hashed[begin], begin, stop - begin, doc
+
+
+def _anchors(part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the place of its anchor, and the hash of each run of k symbols."""
+    h, have = (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    powers = {1: h}
+    while have * 2 <= k:
+        h = h[:-have] * np.uint64(pow(_A, have, 1 << 64)) + h[have:]
+        have *= 2
+        powers[have] = h
+    for size in sorted(powers, reverse=True):
+        if have + size <= k:
+            tail = powers[size][have:]
+            n = min(len(tail), len(h))
+            h = h[:n] * np.uint64(pow(_A, size, 1 << 64)) + tail[:n]
+            have += size
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    key = ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(_INDEX_BITS) << np.uint64(_INDEX_BITS)) | np.arange(len(h), dtype=np.uint64)
+    wide, w = 1, WINDOW - k + 1
+    while wide * 2 <= w:
+        key = np.minimum(key[:-wide], key[wide:])
+        wide *= 2
+    if wide < w:
+        key = np.minimum(key[: len(key) - (w - wide)], key[w - wide :])
+    return (key & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64), h
+
+
+def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _chunks_in(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[dict, Chunk]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+            yield row, Chunk(kind, row["ids"], row["sizes"], row["raw"], row["data"])
+
+
+def _table(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+# ---------------------------------------------------------------- anchors
+
+_ANCHOR = [("bucket", pa.int32()), ("batch", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("multi", pa.binary())]
+_HOT = [("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())]
+
+
+def anchors(chunks: DataFrame, kind: type, buckets: int) -> DataFrame:
+    """(bucket, batch, chunk, hashes, multi): a chunk's distinct anchor hashes, sorted, and which of them several of its documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, chunk in _chunks_in(batches, kind):
+            h, _, _, doc = chunk.stretches()
+            bucket, low = _split(h, buckets)
+            order = np.lexsort((doc, low, bucket))
+            bucket, low, doc = bucket[order], low[order], doc[order]
+            new = np.ones(len(low), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])
+            at = np.flatnonzero(new)
+            other = np.zeros(len(low), bool)
+            other[1:] = ~new[1:] & (doc[1:] != doc[:-1])
+            multi = np.logical_or.reduceat(other, at) if len(at) else other
+            bucket, low = bucket[at], low[at]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = [(i, row["batch"], row["chunk"], low[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+            if rows:
+                yield _table(rows, _ANCHOR)
+
+    return chunks.select("chunk", "batch", "ids", "sizes", "raw", "data").mapInArrow(run, "bucket int, batch int, chunk long, hashes binary, multi binary")
+
+
+def by_key(df: DataFrame, key: str, work: Callable[[int, pa.Table], list[tuple]], kinds: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """Rows of one key at a time, through ``work``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for b in batches:
+            keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y == x:
+                    continue
+                if held and keys[x] != current:
+                    yield _table(work(current, pa.Table.from_batches(held)), kinds)
+                    held = []
+                current = keys[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield _table(work(current, pa.Table.from_batches(held)), kinds)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _arrays(t: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in t[name].to_pylist()]
+
+
+def hot_hashes(hashes: list[np.ndarray], multi: list[np.ndarray]) -> np.ndarray:
+    """Hashes that several documents have, in one chunk or in two."""
+    h = np.concatenate(hashes)
+    m = np.concatenate([np.unpackbits(x, count=len(y)).astype(bool) for x, y in zip(multi, hashes, strict=True)])
+    order = np.argsort(h, kind="stable")
+    h, m = h[order], m[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    return np.unique(h[again | m])
+
+
+def hot_by_chunk(bucket: int, t: pa.Table, hot: np.ndarray) -> list[tuple]:
+    out = []
+    for chunk, h in zip(t["chunk"].to_pylist(), _arrays(t, "hashes", np.uint32), strict=True):
+        mine = h[np.isin(h, hot, assume_unique=True)]
+        if len(mine):
+            out.append((chunk, int(bucket), mine.tobytes()))
+    return out
+
+
+# ---------------------------------------------------------------- stretches
+
+_SENT = [("what", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("number", pa.binary()), ("anchor", pa.binary()), ("least", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())]
+_SENT_SQL = "what int, chunk long, bucket int, number binary, anchor binary, least binary, sizes binary, body binary"
+_BACK = [("chunk", pa.int64()), ("number", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary())]
+
+
+def stretches(chunks: DataFrame, hot: DataFrame, kind: type, buckets: int) -> DataFrame:
+    """Two kinds of rows. what = 0: the chunk's own stretches with a hot anchor (first window in ``anchor``, windows in ``sizes``, number of their content
+    in ``number``). what = 1, for each bucket: distinct contents (number, anchor hash, smallest id, windows, symbols)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, chunk in _chunks_in(batches, kind):
+            h, first, count, doc = chunk.stretches()
+            bucket, low = _split(h, buckets)
+            full = (bucket.astype(np.uint64) << np.uint64(32)) | low
+            wanted = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32) for b, x in zip(row["hot_buckets"], row["hot_hashes"], strict=True)])
+            own = np.isin(full, wanted)
+            full, first, count, doc = full[own], first[own], count[own], doc[own]
+            if not len(full):
+                continue
+            sums = [_prefix(chunk.symbols, m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            size = count + WINDOW - 1
+            marks = [_range(p, m, first, size) for p, m in sums]
+            order = np.lexsort((chunk.ids[doc], count, marks[1], marks[0], full))
+            new = np.ones(len(order), bool)
+            for a in (marks[0], marks[1], count, full):
+                new[1:] &= a[order][1:] == a[order][:-1]
+            new[1:] = ~new[1:]
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.cumsum(new) - 1
+            rows = [(0, row["chunk"], None, number.tobytes(), first.astype(np.uint32).tobytes(), None, count.astype(np.uint8).tobytes(), None)]
+            lead = order[new]  # by anchor; the smallest id first
+            ends = np.searchsorted((full[lead] >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1))
+            for b, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if y > x:
+                    at = lead[x:y]
+                    body = b"".join(chunk.symbols[f : f + s].tobytes() for f, s in zip(first[at].tolist(), size[at].tolist(), strict=True))
+                    rows.append((1, row["chunk"], b, number[at].tobytes(), (full[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), chunk.ids[doc[at]].tobytes(), count[at].astype(np.uint8).tobytes(), body))
+            yield _table(rows, _SENT)
+
+    mine = hot.groupBy("chunk").agg(F.collect_list("bucket").alias("hot_buckets"), F.collect_list("hashes").alias("hot_hashes"))
+    joined = chunks.select("chunk", "ids", "sizes", "raw", "data").join(mine, "chunk")
+    return stash(joined.mapInArrow(run, _SENT_SQL), "stretches")
+
+
+def _prefix(symbols: np.ndarray, m: int) -> tuple[np.ndarray, int]:
+    """Sums from which the hash of any range follows: symbols weighted by powers of an odd number, modulo 2**64."""
+    powers = np.full(len(symbols), np.uint64(m))
+    powers[:1] = 1
+    powers = np.multiply.accumulate(powers)
+    mixed = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(_A)
+    mixed ^= mixed >> np.uint64(31)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers, dtype=np.uint64)]), m
+
+
+def _range(sums: np.ndarray, m: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each range, wherever it begins: the weight of its first place is divided out."""
+    inverse = pow(m, -1, 1 << 64)
+    powers = np.full(len(sums), np.uint64(inverse))
+    powers[:1] = 1
+    powers = np.multiply.accumulate(powers)
+    return (sums[first + size] - sums[first]) * powers[first]
+
+
+def settle(sent: DataFrame, kind: type, group: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(chunk, number, sizes, least): for each content that a chunk sent, the smallest id of each of its windows.
+
+    ``group(symbols, sizes, ids)`` gives these, one window after the other, for contents that share an anchor with others. It gets them
+    anchor by anchor, up to ``TOGETHER`` symbols at once; an anchor with more comes in several parts, whose windows then meet by 128 bits of hash.
+    """
+    dtype = np.uint8 if kind is Bytes else np.uint64
+
+    def work(_: int, t: pa.Table) -> list[tuple]:
+        anchor, least = (np.concatenate(_arrays(t, n, d)) for n, d in (("anchor", np.uint32), ("least", np.int64)))
+        count = np.concatenate(_arrays(t, "sizes", np.uint8)).astype(np.int64)
+        body = np.concatenate(_arrays(t, "body", dtype))
+        size = count + WINDOW - 1
+        start = np.cumsum(size) - size
+        sums = [_prefix(body, m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        marks = [_range(p, m, start, size) for p, m in sums]
+        order = np.lexsort((least, count, marks[1], marks[0], anchor))
+        same = np.ones(len(order), bool)
+        same[:1] = False
+        for a in (marks[0], marks[1], count, anchor):
+            same[1:] &= a[order][1:] == a[order][:-1]
+        content = np.empty(len(order), np.int64)
+        content[order] = np.cumsum(~same) - 1
+        lead = order[~same]  # one row for each content, with its smallest id
+        alone = np.ones(len(lead), bool)
+        if len(lead) > 1:
+            next_same = anchor[lead][1:] == anchor[lead][:-1]
+            alone[1:] &= ~next_same
+            alone[:-1] &= ~next_same
+        windows = count[lead]
+        at = np.cumsum(windows) - windows
+        out = np.repeat(least[lead], windows)
+        shared = np.flatnonzero(~alone)
+        if len(shared):
+            found = _in_parts(group, body, start[lead[shared]], size[lead[shared]], least[lead[shared]], anchor[lead[shared]])
+            out[np.repeat(at[shared] - (np.cumsum(windows[shared]) - windows[shared]), windows[shared]) + np.arange(windows[shared].sum())] = found
+        rows, begin = [], 0
+        chunks, numbers = t["chunk"].to_pylist(), _arrays(t, "number", np.uint32)
+        for chunk, number in zip(chunks, numbers, strict=True):
+            mine = content[begin : begin + len(number)]
+            n = windows[mine]
+            which = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append((chunk, number.tobytes(), n.astype(np.uint8).tobytes(), pa.compress(out[which].tobytes(), "zstd", asbytes=True)))
+            begin += len(number)
+        return rows
+
+    return by_key(sent.filter("what = 1"), "bucket", work, _BACK, "chunk long, number binary, sizes binary, least binary")
+
+
+def _in_parts(group: Callable, body: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+    parts, begin, held, cut = [], 0, 0, False
+    total = np.cumsum(size)
+    while begin < len(size):
+        most = int(np.searchsorted(total, held + TOGETHER, side="right"))
+        whole = int(ends[max(np.searchsorted(ends, most, side="right") - 1, 0)]) if ends[0] <= most else 0
+        stop = whole if whole > begin else max(most, begin + 1)
+        cut |= whole <= begin
+        which = np.repeat(start[begin:stop] - (np.cumsum(size[begin:stop]) - size[begin:stop]), size[begin:stop]) + np.arange(size[begin:stop].sum())
+        parts.append(group(body[which], size[begin:stop], ids[begin:stop]))
+        begin, held = stop, int(total[stop - 1])
+    found = np.concatenate(parts)
+    if cut:
+        windows = size - WINDOW + 1
+        first = np.repeat(start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        marks = [_range(p, m, first, np.full(len(first), WINDOW)) for p, m in (_prefix(body, m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
+        found = least_of_equal(marks, found)
+    return found
+
+
+def least_of_equal(marks: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """The smallest value among those with equal marks, for each."""
+    order = np.lexsort(marks)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([m[order][1:] != m[order][:-1] for m in marks])
+    low = np.minimum.reduceat(values[order], np.flatnonzero(new)) if len(order) else values
+    out = np.empty_like(values)
+    out[order] = low[np.cumsum(new) - 1] if len(order) else values
+    return out
+
+
+# ---------------------------------------------------------------- removal
+
+_DONE = [("h1", pa.int64()), ("h2", pa.int64()), ("first_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+
+
+def remove(chunks: DataFrame, sent: DataFrame, back: DataFrame, kind: type, with_text: bool) -> DataFrame:
+    """(h1, h2, first_id, n_units, n_removed, n_spans, kept_sha256[, kept]) of each distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, chunk in _chunks_in(batches, kind):
+            cover = np.zeros(len(chunk.symbols) + 1, np.int64)
+            if row["first"] is not None:
+                number, first = np.frombuffer(row["number"], np.uint32).astype(np.int64), np.frombuffer(row["first"], np.uint32).astype(np.int64)
+                count = np.frombuffer(row["count"], np.uint8).astype(np.int64)
+                total = np.zeros(int(number.max()) + 1, np.int64)
+                parts = [(np.frombuffer(b["number"], np.uint32), np.frombuffer(b["sizes"], np.uint8).astype(np.int64), b["least"]) for b in row["back"]]
+                for n, s, _ in parts:
+                    total[n] = s
+                at = np.cumsum(total) - total
+                least = np.empty(int(total.sum()), np.int64)
+                for n, s, x in parts:
+                    least[np.repeat(at[n] - (np.cumsum(s) - s), s) + np.arange(s.sum())] = np.frombuffer(pa.decompress(x, int(s.sum()) * 8, "zstd", asbytes=True), np.int64)
+                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                window = np.repeat(first, count) + inner
+                known = least[np.repeat(at[number], count) + inner]
+                doc = np.searchsorted(chunk.starts, window, side="right") - 1
+                gone = window[known < chunk.ids[doc]]
+                cover[gone] += 1
+                cover[gone + WINDOW] -= 1
+            removed = np.cumsum(cover[:-1]) > 0
+            h1, h2 = np.frombuffer(row["h1"], np.int64), np.frombuffer(row["h2"], np.int64)
+            rows = []
+            for i, doc in enumerate(chunk.docs):
+                a, b = chunk.starts[i], chunk.starts[i + 1]
+                mine = removed[a:b]
+                n = int(mine.sum())
+                kept = kind.kept(doc, mine) if n else kind.join(doc)
+                spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()) if n else 0
+                rows.append((h1[i], h2[i], chunk.ids[i], b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            yield _table(rows, _DONE)
+
+    own = sent.filter("what = 0").select("chunk", "number", F.col("anchor").alias("first"), F.col("sizes").alias("count"))
+    answers = back.groupBy("chunk").agg(F.collect_list(F.struct("number", "sizes", "least")).alias("back"))
+    joined = chunks.join(own, "chunk", "left").join(answers, "chunk", "left")
+    cols = ["chunk", "ids", "h1", "h2", "sizes", "raw", "data", "number", "first", "count", "back"]
+    schema = "h1 long, h2 long, first_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return stash(joined.select(*cols).mapInArrow(run, schema), "removed")
+
+
+def per_row(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """The result of every row: a later copy of a text is all gone, if it has a window at all."""
+    later = (F.col("id") != F.col("first_id")) & (F.col("n_units") >= WINDOW)
+    joined = rows.join(done, ["h1", "h2"])
+    return joined.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        "n_units",
+        F.when(later, F.col("n_units")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(later, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(later, F.lit(_EMPTY)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(later, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+    )
+
+
+def bucket_count(total_bytes: int) -> int:
+    return max(12, -(-total_bytes // BUCKET_BYTES))
