@@ -1,2 +1,291 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables, and the same in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import config, dense, deps, lexical, report, stats
+from ..sources import sources, table
+
+TOP, WEAK_DIMS = 5, 8
+QUERY = "tion the"
+
+#: Sources that show each rule of import extraction.
+PY_SOURCES = [
+    ("a_plain.py", "import json\nfrom os import path\nfrom .tools import load\n"),
+    ("b_alias.py", "import numpy as np, pkg.sub as s\nimport json\nimport json\n"),
+    ("c_nested.py", "def f():\n    if True:\n        from deep.er import x\n    return x\nimport sys\n"),
+    ("d_relative.py", "from . import sibling\nfrom ..up import y\n"),
+    ("e_empty.py", ""),
+    ("f_broken.py", "def (:\n"),
+]
+
+#: Configuration texts for each branch of the check.
+CONFIGS = [
+    ("none", None),
+    ("no_key", "dim: 384\n"),
+    ("english", "model_name: org/small-en-v2\n"),
+    ("chinese", "model_name: org/small-zh-v2\n"),
+    ("tuned", "model_name: out/small-zh-ft\n"),
+    ("tuned_code", "model_name: out/zh-ft-code\n"),
+    ("neither", "model_name: org/e5-small\n"),
+    ("hidden_en", "model_name: tencent/x-ft\n"),
+    ("comment_first", "# model_name: old-zh\nmodel_name: new-en\n"),
+    ("prefixed_key", "llm_model_name: qwen-MiniLM\n"),
+    ("quoted", 'model_name: "Code-base"\n'),
+    ("next_line", "model_name:\n  dim: 3\n"),
+    ("note_only", "model_name: # none yet\n"),
+]
+
+#: Scores of two arms with and without a second ranking stage.
+SCORES = [("q1", "off", 3.0), ("q2", "off", 8.0), ("q3", "off", 4.0), ("q1", "on", 1.0), ("q2", "on", 2.0), ("q3", "on", 2.0)]
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, each row whose id is divisible by 100, and all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), rows
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, rows = _queries(spark, sf_dir)
+    return dense.top_k(q, rows, TOP).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rk")
+
+
+def _ranks(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+    q, rows = _queries(spark, sf_dir)
+    return dense.reciprocal_ranks(q, rows, dims)
+
+
+def reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(spark, sf_dir)
+
+
+def mean_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.summarise(_ranks(spark, sf_dir))
+
+
+def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.compare(_ranks(spark, sf_dir), _ranks(spark, sf_dir, WEAK_DIMS))
+
+
+def lexical_any_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.any_term(table(spark, sf_dir, "documents"), QUERY).select("doc_id")
+
+
+def lexical_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.summarise(lexical.any_term(table(spark, sf_dir, "documents"), QUERY), "doc_id")
+
+
+def lexical_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.count_hits(asked, table(spark, sf_dir, "documents"))
+
+
+def config_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config.check_configs(spark.createDataFrame(CONFIGS, "path string, value string"))
+
+
+def import_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.extract_imports(sources(spark, PY_SOURCES))
+
+
+def dependency_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = deps.cards_of(deps.extract_imports(sources(spark, PY_SOURCES)))
+    return made.select("file_id", F.size("modules").alias("n_modules"), "card", deps.holds(F.col("modules"), "os", "tools").alias("holds_known"))
+
+
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.extract_links(table(spark, sf_dir, "pages"))
+
+
+def hit_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.check_schema(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = lexical.any_term(table(spark, sf_dir, "documents"), QUERY)
+    schema = lexical.check_schema(hits, "doc_id", "text")
+    both = _ranks(spark, sf_dir).withColumn("full", F.lit(True)).unionByName(_ranks(spark, sf_dir, WEAK_DIMS).withColumn("full", F.lit(False)))
+    means = both.agg(F.avg(F.when(F.col("full"), F.col("rr"))).alias("mrr"), F.avg(F.when(~F.col("full"), F.col("rr"))).alias("weak"))
+    checked = config_classify(spark, sf_dir)
+    made = dependency_card(spark, sf_dir).filter("file_id = 'a_plain.py'")
+    guards = [
+        made.select(*report.outcome(F.col("holds_known"), "cards_not_empty", F.col("card"))),
+        schema.select(*report.outcome(F.col("ok") & (F.col("n_rows") > 0), "hits_have_schema", F.concat(F.col("n_rows").cast("string"), F.lit(" hits")))),
+        checked.select(F.concat(F.lit("config_"), F.col("path")).alias("guard"), "status", "reason"),
+        means.select(*report.outcome(F.col("mrr") > F.col("weak"), "full_beats_weak", F.concat_ws(" ", fixed(F.col("mrr")), fixed(F.col("weak"))))),
+    ]
+    out = guards[0]
+    for g in guards[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir)
+
+
+def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.count_statuses(_outcomes(spark, sf_dir))
+
+
+def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.cochange_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mcnemar(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.linear_fit(table(spark, sf_dir, "documents"), "doc_id", "n_chars")
+
+
+def position_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.position_effect(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"))
+
+
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.digests(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def group_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return stats.by_group(joined, "lang", "quality")
+
+
+def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pivot_scores(spark.createDataFrame(SCORES, "item string, arm string, value double"), ["off", "on"])
+
+
+def scorer_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return stats.paired_difference(labels.select("doc_id", F.col("quality").alias("v")), labels.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        vector_topk, reciprocal_rank, mean_reciprocal_rank, variant_compare, lexical_any_filter, lexical_first_hit, lexical_multi_query,
+        config_classify, import_extract, dependency_card, link_extract, hit_schema_check, guard_report, guard_counts, cochange_pairs,
+        mcnemar_counts, linear_fit, position_effect, content_digest, group_by_language, score_pivot, scorer_difference,
+    )
+}
+
+# ---------------------------------------------------------------- the same in SQL
+
+_DOT = "list_dot_product(q.embedding[1:{d}]::DOUBLE[], e.embedding[1:{d}]::DOUBLE[])"
+
+
+def _rank_sql(dims: int) -> str:
+    return f"""
+    SELECT query_id, first_rank, 1.0E0 / first_rank AS rr, first_rank = 1 AS top1 FROM (
+      SELECT query_id, min(CASE WHEN gold THEN rk END) AS first_rank FROM (
+        SELECT q.vec_id AS query_id, q.label = e.label AS gold,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(d=dims)} DESC, e.vec_id) AS rk
+        FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) r
+      GROUP BY query_id) s
+    WHERE first_rank IS NOT NULL"""
+
+
+def _values(rows: list[tuple]) -> str:
+    def show(x) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x)
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+_HAS = "(contains(text, 'tion') OR contains(text, 'the'))"
+_MEAN = "SELECT count(*) AS n_queries, round(avg(rr), 9) AS mrr, round(avg(top1::INT::DOUBLE), 9) AS hit1 FROM ({ranks}) x"
+_CONFIG = f"""
+    SELECT path, name AS model_name,
+           CASE WHEN value IS NULL THEN 'SKIP' WHEN name IS NULL THEN 'FAIL'
+                WHEN contains(low, 'zh') AND NOT contains(low, '-ft') THEN 'FAIL'
+                WHEN contains(low, 'en') OR contains(low, 'code') OR contains(low, 'minilm') THEN 'PASS' ELSE 'FAIL' END AS status,
+           CASE WHEN value IS NULL THEN 'no config found' WHEN name IS NULL THEN 'no model_name'
+                WHEN contains(low, 'zh') AND NOT contains(low, '-ft') THEN 'model for Chinese: ' || name
+                WHEN contains(low, 'en') OR contains(low, 'code') OR contains(low, 'minilm') THEN 'model: ' || name
+                ELSE 'unknown kind of model: ' || name END AS reason
+    FROM (SELECT path, value, name, lower(name) AS low FROM (
+            SELECT path, value, nullif(regexp_extract(value, 'model_name:\\s*([^\\s#]+)', 1), '') AS name
+            FROM (VALUES {_values([(p, None if v is None else v.replace(chr(10), "~")) for p, v in CONFIGS])}) v0(path, raw),
+                 LATERAL (SELECT replace(raw, '~', chr(10)) AS value) l) n) c"""
+_CARDS = _values([
+    ("a_plain.py", 3, "File a_plain.py Imports json os tools", True),
+    ("b_alias.py", 4, "File b_alias.py Imports numpy pkg.sub json json", False),
+    ("c_nested.py", 2, "File c_nested.py Imports deep.er sys", False),
+    ("d_relative.py", 1, "File d_relative.py Imports up", False),
+    ("e_empty.py", 0, "File e_empty.py", False),
+    ("f_broken.py", 0, "File f_broken.py", False),
+])
+_GUARDS = f"""
+    SELECT 'cards_not_empty' AS guard, 'PASS' AS status, 'File a_plain.py Imports json os tools' AS reason
+    UNION ALL
+    SELECT 'hits_have_schema', CASE WHEN n > 0 AND bad = 0 THEN 'PASS' ELSE 'FAIL' END, n::VARCHAR || ' hits'
+    FROM (SELECT count(*) AS n, coalesce(sum((doc_id IS NULL OR text IS NULL)::INT), 0) AS bad FROM documents WHERE {_HAS}) h
+    UNION ALL
+    SELECT 'config_' || path, status, reason FROM ({_CONFIG}) c
+    UNION ALL
+    SELECT 'full_beats_weak', CASE WHEN a.mrr > b.mrr THEN 'PASS' ELSE 'FAIL' END, printf('%.2f', a.mrr) || ' ' || printf('%.2f', b.mrr)
+    FROM ({_MEAN.format(ranks=_rank_sql(64))}) a, ({_MEAN.format(ranks=_rank_sql(WEAK_DIMS))}) b"""
+
+ORACLE_SQL = {
+    "vector_topk": f"""
+    SELECT query_id, vec_id, round(score, 6) AS score, rk::INTEGER AS rk FROM (
+      SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, {_DOT.format(d=64)} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) s) r
+    WHERE rk <= {TOP}""",
+    "reciprocal_rank": _rank_sql(64),
+    "mean_reciprocal_rank": _MEAN.format(ranks=_rank_sql(64)),
+    "variant_compare": f"""
+    SELECT a.query_id, a.rr AS rr_a, a.top1 AS top1_a, b.rr AS rr_b, b.top1 AS top1_b, a.top1 AND a.rr > b.rr AS passes
+    FROM ({_rank_sql(64)}) a JOIN ({_rank_sql(WEAK_DIMS)}) b ON a.query_id = b.query_id""",
+    "lexical_any_filter": f"SELECT doc_id FROM documents WHERE {_HAS}",
+    "lexical_first_hit": f"SELECT count(*) > 0 AS any_hit, count(*) AS n_hits, min(doc_id) AS first_id FROM documents WHERE {_HAS}",
+    "lexical_multi_query": r"""
+    SELECT b.item_id AS query_id, sum((len(list_filter(list_filter(string_split_regex(b.text, '\s+'), lambda w: w <> ''), lambda w: contains(d.text, w))) > 0)::INT)::BIGINT AS n_hits
+    FROM benchmark b, documents d GROUP BY b.item_id""",
+    "config_classify": _CONFIG,
+    "import_extract": f"""
+    SELECT file_id, pos::INTEGER AS pos, kind, level::INTEGER AS level, module, error FROM (VALUES {_values([
+        ("a_plain.py", 0, "import", 0, "json", None), ("a_plain.py", 1, "from", 0, "os", None), ("a_plain.py", 2, "from", 1, "tools", None),
+        ("b_alias.py", 0, "import", 0, "numpy", None), ("b_alias.py", 1, "import", 0, "pkg.sub", None), ("b_alias.py", 2, "import", 0, "json", None), ("b_alias.py", 3, "import", 0, "json", None),
+        ("c_nested.py", 0, "from", 0, "deep.er", None), ("c_nested.py", 1, "import", 0, "sys", None),
+        ("d_relative.py", 0, "from", 2, "up", None), ("e_empty.py", None, None, None, None, None), ("f_broken.py", None, None, None, None, "SyntaxError"),
+    ])}) v(file_id, pos, kind, level, module, error)""",
+    "dependency_card": f"SELECT file_id, n_modules::INTEGER AS n_modules, card, holds_known FROM (VALUES {_CARDS}) v(file_id, n_modules, card, holds_known)",
+    "link_extract": """
+    SELECT page_id, (i - 1)::INTEGER AS pos, links[i] AS href
+    FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages) p) x""",
+    "hit_schema_check": """
+    SELECT coalesce(sum((doc_id IS NULL OR text IS NULL)::INT), 0) = 0 AS ok, coalesce(sum((doc_id IS NULL OR text IS NULL)::INT), 0)::BIGINT AS n_bad, count(*) AS n_rows FROM documents""",
+    "guard_report": _GUARDS,
+    "guard_counts": f"""
+    SELECT s.status, count(g.guard) AS n FROM (VALUES ('PASS'), ('SKIP'), ('FAIL')) s(status) LEFT JOIN ({_GUARDS}) g ON g.status = s.status GROUP BY s.status""",
+    "cochange_pairs": """
+    WITH c AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem)
+    SELECT x.i AS a, y.i AS b, count(*) AS n FROM c x JOIN c y ON x.g = y.g AND x.i < y.i GROUP BY x.i, y.i HAVING count(*) >= 2""",
+    "mcnemar_counts": """
+    SELECT b, c, round((b - c) * (b - c)::DOUBLE / nullif(b + c, 0), 9) AS chi2 FROM (
+      SELECT coalesce(sum((quality = 1 AND toxic <> 1)::INT), 0)::BIGINT AS b, coalesce(sum((quality <> 1 AND toxic = 1)::INT), 0)::BIGINT AS c FROM labels) x""",
+    "linear_fit": "SELECT round(regr_slope(n_chars, doc_id), 6) AS slope, round(regr_intercept(n_chars, doc_id), 6) AS intercept, round(regr_r2(n_chars, doc_id), 6) AS r2 FROM documents",
+    "position_effect": """
+    SELECT bin, count(*) AS n, round(avg(m), 6) AS mean FROM (
+      SELECT CASE WHEN place < 1.0E0 / 3 THEN 'head' WHEN place < 2.0E0 / 3 THEN 'middle' ELSE 'tail' END AS bin, m FROM (
+        SELECT percent_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS place, length(text)::DOUBLE AS m FROM conversations) p) b GROUP BY bin""",
+    "content_digest": "SELECT doc_id, md5(text) AS md5 FROM documents",
+    "group_by_language": "SELECT lang, count(*) AS n, round(avg(quality), 9) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY lang",
+    "score_pivot": f"""
+    SELECT sum_off, sum_on, mean_off, mean_on, sum_off - sum_on AS "drop", round(mean_off / mean_on, 6) AS factor FROM (
+      SELECT sum(CASE WHEN arm = 'off' THEN value::DOUBLE END) AS sum_off, sum(CASE WHEN arm = 'on' THEN value::DOUBLE END) AS sum_on,
+             round(avg(CASE WHEN arm = 'off' THEN value::DOUBLE END), 6) AS mean_off, round(avg(CASE WHEN arm = 'on' THEN value::DOUBLE END), 6) AS mean_on
+      FROM (VALUES {_values(SCORES)}) v(item, arm, value)) x""",
+    "scorer_difference": "SELECT count(*) AS n, round(avg(quality - toxic), 9) AS mean_difference FROM labels",
+}
