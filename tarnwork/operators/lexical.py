@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import has_any, terms
 
@@ -53,7 +54,7 @@ def count_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     held = 0
 
     def flush(total: DataFrame) -> DataFrame:
-        found = corpus.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(block)), f"query_id {dict(queries.dtypes)['query_id']}, n long")
+        found = corpus.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(block), to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {dict(queries.dtypes)['query_id']}, n long")
         return total.unionByName(found)
 
     for row in queries.select("query_id", "text").toLocalIterator():
@@ -66,7 +67,7 @@ def count_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return total.groupBy("query_id").agg(F.sum("n").alias("n_hits"))
 
 
-def _counter(sent):
+def _counter(sent, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -93,6 +94,6 @@ def _counter(sent):
         rows = [(q, n) for (q, _), n in zip(sent.value, counts, strict=True) if n]
         if rows:
             ids, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64())], names=["query_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n, pa.int64())], names=["query_id", "n"])
 
     return run
