@@ -166,7 +166,8 @@ def _filler(level: int, last: bool, size: int):
         fills = np.bincount(bins, lengths).astype(np.int64)
         again = np.zeros(len(fills), bool)
         if not last:
-            again[np.argsort(fills, kind="stable")[:REOPENED]] = True
+            # An eighth of the bins at most, so that every round has fewer pieces.
+            again[np.argsort(fills, kind="stable")[: min(REOPENED, len(fills) // 8)]] = True
             again &= fills < size
         return pd.DataFrame({"_row": rows["_row"], "length": lengths, "sequence_id": (level << 48) + (int(key[0]) << 20) + bins, "offset": offsets, "again": again[bins]})
 
