@@ -50,7 +50,7 @@ def fold_equal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     keyed = plain.select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
     rows = stash(keyed.select("id", "h1", "h2"), "rows")
     first = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    return rows, keyed.join(first, ["h1", "h2", "id"])
+    return rows, keyed.join(first.hint("merge"), ["h1", "h2", "id"])
 
 
 CHUNK = "batch int, ids binary, h1 binary, h2 binary, sizes binary, raw long, data binary"
@@ -59,6 +59,8 @@ CHUNK = "batch int, ids binary, h1 binary, h2 binary, sizes binary, raw long, da
 def chunked(texts: DataFrame, bounds: list[int]) -> DataFrame:
     """Texts in chunks: rows (chunk, batch, ids, h1, h2, sizes, raw, data); batch says between which of the id ``bounds`` the ids lie."""
 
+    most = CHUNK_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         edges = np.array(bounds, np.int64)
@@ -71,13 +73,14 @@ def chunked(texts: DataFrame, bounds: list[int]) -> DataFrame:
                 if key == last:  # a repeated row
                     continue
                 last = key
-                mine = held.setdefault(int(np.searchsorted(edges, ids[i], side="right")), [[], [], [], [], 0])
+                batch = int(np.searchsorted(edges, ids[i], side="right"))
+                mine = held.setdefault(batch, [[], [], [], [], 0])
                 data = x.as_py().encode()
                 for store, v in zip(mine, (ids[i], h1[i], h2[i], data), strict=False):
                     store.append(v)
                 mine[4] += len(data)
-                if mine[4] >= CHUNK_BYTES:
-                    yield close(int(np.searchsorted(edges, ids[i], side="right")), held.pop(int(np.searchsorted(edges, ids[i], side="right"))))
+                if mine[4] >= most:
+                    yield close(batch, held.pop(batch))
         for batch, mine in held.items():
             yield close(batch, mine)
 
@@ -489,7 +492,8 @@ def remove(chunks: DataFrame, sent: DataFrame, back: DataFrame, kind: type, with
 def per_row(rows: DataFrame, done: DataFrame) -> DataFrame:
     """The result of every row: a later copy of a text is all gone, if it has a window at all."""
     later = (F.col("id") != F.col("first_id")) & (F.col("n_units") >= WINDOW)
-    joined = rows.join(done, ["h1", "h2"])
+    once = stash(done.dropDuplicates(["h1", "h2"]), "once")  # a repeated row may have come to two chunks
+    joined = rows.join(once, ["h1", "h2"])
     return joined.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_units",
