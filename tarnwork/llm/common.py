@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -11,8 +12,31 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of texts that Spark hands to Python at once; its own default would let a task hold thousands of long texts twice.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and, unless the session chose a size itself, makes Arrow batches small enough for long texts."""
     ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and the next stage needs the room."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,25 +74,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Writes a stage to the shared folder and reads it again: lineage ends here, so a lost executor repeats no more than this stage."""
+def stash(df: DataFrame, what: str, *parts: str) -> DataFrame:
+    """Writes a stage to the shared folder and reads it again: lineage ends here, so a lost executor repeats no more than this stage.
+
+    parts: columns by whose values the files are kept apart, so that some can be deleted earlier.
+    """
+    prepare(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
+    release(df.sparkSession)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._stash_path = path
     return again
 
 
-def unstash(*frames: DataFrame) -> None:
-    """Deletes stages that nothing reads any more, and lets Spark clean the shuffle files behind them."""
+def unstash(*frames: DataFrame, part: str = "") -> None:
+    """Deletes stages, or one part of each (such as "kind=1"), that nothing reads any more."""
     for df in frames:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{df._stash_path}/{part}" if part else df._stash_path)
         path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that own them; big stages ask for it."""
+    """Shuffle files go when the driver's JVM collects the plans that own them; each written stage asks for it."""
     import gc
 
     gc.collect()

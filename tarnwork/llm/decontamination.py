@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, pick, table
+from .common import column, pick, table, tidy
 
 WINDOW, BLOCKS, MISSES = 12, 4, 2
 #: Items with fewer words than a window count only when found whole and unchanged; with fewer than this, never (chance alone repeats them).
@@ -185,6 +185,7 @@ def _cleaner(sent, at: int):
         for b in batches:
             clean = [not (x.is_valid and index.search(words_of(x.as_py()))) for x in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
+        tidy()
 
     return run
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, stash, table
+from .common import pick, stash, table, tidy
 from .tokens import default_path, pre_tokenizer
 
 SEQUENCE = 1024
@@ -146,6 +146,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
                     out = ([], [], [], [], [], [])
             if out[0]:
                 yield rows(out)
+        tidy()
 
     def rows(out: tuple[list, ...]) -> pa.RecordBatch:
         cols = [pa.array(c, k) for c, k in zip(out, (id_kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]

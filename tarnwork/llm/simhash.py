@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, pick, replace_columns, stash, table
+from .common import column, pick, replace_columns, stash, table, tidy
 from .components import components, local_roots
 
 SEED = 42
@@ -226,6 +226,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, tables: int = TABLES, b
                 keys.append(hashed + (np.arange(tables, dtype=np.int64) << 40))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), flat)], names=["id", "lanes", "keys"])
+        tidy()
 
     return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, lanes binary, keys array<long>")
 

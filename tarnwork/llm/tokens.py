@@ -9,7 +9,7 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -55,8 +55,6 @@ class PreTokenizer:
     """Splits texts as the file's byte-level pre-tokenizer does; encodes single pre-tokens with the library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
@@ -65,13 +63,20 @@ class PreTokenizer:
             raise ValueError(f"{path}: only a plain byte-level BPE splits into independent pre-tokens")
         import public_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self._path = path
         self._fast = _same_by_ranks(described["model"])
         self._words = regex.compile(public_tokenizers.PATTERN).findall
         special = [t["content"] for t in described["added_tokens"]]
         self._unsure = _unsure()
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    @cached_property
+    def library(self):
+        """The file's own library; loaded only where the faster one may differ."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens; a special string inside the text is one of its own (the pattern never gives such a word)."""
         if self._special is None or not self._special.search(text):
@@ -102,7 +107,9 @@ class PreTokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+        if self._fast is None:
+            return [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+        return [self.encode(w).tolist() for w in words]
 
 
 @lru_cache(maxsize=4)
