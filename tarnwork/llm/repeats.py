@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stash
+from .common import pick, stash, unstash
 
 WINDOW = 50
 CHUNK_BYTES = 4_000_000
@@ -332,12 +332,13 @@ def stretches(chunks: DataFrame, hot: DataFrame, kind: type, buckets: int) -> Da
                 if y > x:
                     at = lead[x:y]
                     body = b"".join(chunk.symbols[f : f + s].tobytes() for f, s in zip(first[at].tolist(), size[at].tolist(), strict=True))
+                    body = pa.compress(body, "zstd", asbytes=True)
                     rows.append((1, row["chunk"], b, number[at].tobytes(), (full[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), chunk.ids[doc[at]].tobytes(), count[at].astype(np.uint8).tobytes(), body))
             yield _table(rows, _SENT)
 
     mine = hot.groupBy("chunk").agg(F.collect_list("bucket").alias("hot_buckets"), F.collect_list("hashes").alias("hot_hashes"))
     joined = chunks.select("chunk", "ids", "sizes", "raw", "data").join(mine, "chunk")
-    return stash(joined.mapInArrow(run, _SENT_SQL), "stretches")
+    return stash(joined.mapInArrow(run, _SENT_SQL), "stretches", "what")
 
 
 def _prefix(symbols: np.ndarray, m: int) -> tuple[np.ndarray, int]:
@@ -370,8 +371,9 @@ def settle(sent: DataFrame, kind: type, group: Callable[[np.ndarray, np.ndarray,
     def work(_: int, t: pa.Table) -> list[tuple]:
         anchor, least = (np.concatenate(_arrays(t, n, d)) for n, d in (("anchor", np.uint32), ("least", np.int64)))
         count = np.concatenate(_arrays(t, "sizes", np.uint8)).astype(np.int64)
-        body = np.concatenate(_arrays(t, "body", dtype))
         size = count + WINDOW - 1
+        lengths = [int((np.frombuffer(x, np.uint8).astype(np.int64) + WINDOW - 1).sum()) for x in t["sizes"].to_pylist()]
+        body = np.concatenate([np.frombuffer(pa.decompress(x, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype) for x, n in zip(t["body"].to_pylist(), lengths, strict=True)])
         start = np.cumsum(size) - size
         sums = [_prefix(body, m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
         marks = [_range(p, m, start, size) for p, m in sums]
@@ -405,7 +407,9 @@ def settle(sent: DataFrame, kind: type, group: Callable[[np.ndarray, np.ndarray,
             begin += len(number)
         return rows
 
-    return by_key(sent.filter("what = 1"), "bucket", work, _BACK, "chunk long, number binary, sizes binary, least binary")
+    back = stash(by_key(sent.filter("what = 1"), "bucket", work, _BACK, "chunk long, number binary, sizes binary, least binary"), "settled")
+    unstash(sent, part="what=1")
+    return back
 
 
 def _in_parts(group: Callable, body: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import release, stash, table
+from .common import stash, table
 
 BATCHES = 4
 #: More runs than this are merged into one.
@@ -103,7 +103,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, texts = repeats.fold_equal(docs, id_col, text_col)
     cuts = sorted(set(rows.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
     chunks = repeats.chunked(texts, [int(c) for c in cuts])
-    release(docs.sparkSession)
     buckets = repeats.bucket_count(chunks.agg(F.sum("raw")).first()[0] or 0)
     anchors = stash(repeats.anchors(chunks, repeats.Words, buckets), "anchors")
     index, met = FingerprintIndex(), None
@@ -120,7 +119,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = repeats.by_key(marked, "bucket", where, repeats._HOT, "chunk long, bucket int, hashes binary")
     sent = repeats.stretches(chunks, found, repeats.Words, buckets)
-    release(docs.sparkSession)
     back = repeats.settle(sent, repeats.Words, verified_ids)
     done = repeats.remove(chunks, sent, back, repeats.Words, with_text)
     return repeats.per_row(rows, done)

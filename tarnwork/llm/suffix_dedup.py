@@ -1,7 +1,7 @@
 """Removing repeated byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 The strings that can repeat at all are brought together by their anchors (see ``repeats``). Over those of a bucket a Burrows-Wheeler
-transform is built; from the interval of the empty string, breadth first, each interval is extended by one byte to the left. At depth d the
+transform is built; from the intervals that sorting by the first 28 bytes gives (or from the empty string's), breadth first, each interval is extended by one byte to the left. At depth d the
 intervals are the strings of d bytes that occur at least twice, and where one begins for the first time, two neighbouring suffixes have
 exactly d - 1 bytes in common: common prefixes come out by increasing value. Expansion stops at the minimum length; neighbours without
 a value by then have at least that many bytes in common.
@@ -14,25 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import release, table
+from .common import table
 
 
-def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes in order; each is compared up to its own end only (``left`` symbols away), and equal ones stay as they stand. Prefixes double."""
+def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, rank, known): suffixes in the order of their first ``depth`` symbols or more, equal ones as they stand; and each suffix's rank by its first ``known`` symbols.
+
+    Each is compared up to its own end only (``left`` symbols away). Prefixes double: 7, 14, 28 symbols and so on; ``known`` is the last
+    length under ``depth``. Suffixes that agree in ``depth`` symbols have the same intervals up to that depth, so their order makes no difference.
+    """
     n = len(symbols)
     key = np.zeros(n, np.int64)
     for t in range(7):
         key <<= 9
         there = symbols[t:].astype(np.int64)
         key[: n - t] |= np.where(t < left[: n - t], there, 0)
-    rank = _dense(key)
-    have = 7
-    while have < left.max(initial=0):
+    have, known, rank = 7, 0, np.zeros(n, np.int64)
+    while True:
+        if have >= depth or have >= left.max(initial=0):
+            return np.argsort(key, kind="stable"), rank, known
+        known, rank = have, _dense(key)
         after = np.zeros(n, np.int64)
         after[: n - have] = np.where(have < left[: n - have], rank[have:] + 1, 0)
-        rank = _dense(rank * (n + 1) + after)
+        key = rank * (n + 1) + after
         have *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -45,10 +50,11 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def common_prefixes(bwt: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(bwt: np.ndarray, first: np.ndarray, depth: int, rank: np.ndarray | None = None, known: int = 0, long: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(lcp, repeated): common prefix of each suffix with the one before it, -1 where it is at least ``depth``; and the places of suffixes whose first ``depth`` symbols occur again.
 
-    bwt: symbol before each suffix (0: none). first: its first symbol.
+    bwt: symbol before each suffix (0: none). first: its first symbol. rank: if given, ranks of the suffixes by their first ``known`` symbols, from which
+    the expansion starts, for those that are so ``long``, instead of the empty string; common prefixes under ``known`` then all show as ``known - 1``.
     """
     n = len(bwt)
     back = np.empty(n, np.int32)
@@ -56,8 +62,14 @@ def common_prefixes(bwt: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.
     lcp = np.full(n, -1, np.int16)
     interval = np.zeros(n, np.int32)
     here = np.arange(n, dtype=np.int32)
+    if known:
+        new = np.ones(n, bool)
+        new[1:] = rank[1:] != rank[:-1]
+        lcp[new] = known - 1
+        interval = np.cumsum(new, dtype=np.int32) - 1
+        here = here[(np.bincount(interval)[interval] > 1) & long]
     from_ = np.empty(n, np.int32)
-    for d in range(1, depth + 1):
+    for d in range(known + 1, depth + 1):
         here = here[bwt[here] > 0]
         there = back[here]
         from_.fill(-1)
@@ -89,8 +101,8 @@ def window_ids(symbols: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length:
     text = np.zeros(n, np.uint16)
     text[np.delete(np.arange(n), ends)] = symbols.astype(np.uint16) + 1
     left = ends[owner] - np.arange(n)
-    order = suffix_order(text, left)
-    lcp, again = common_prefixes(text[order - 1], text[order], length)
+    order, rank, known = suffix_order(text, left, length)
+    lcp, again = common_prefixes(text[order - 1], text[order], length, rank[order], known, left[order] >= known)
     if len(again):
         new = lcp[again] >= 0
         spot = order[again]
@@ -109,7 +121,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows, texts = repeats.fold_equal(docs, id_col, text_col)
     chunks = repeats.chunked(texts, [])
-    release(docs.sparkSession)
     buckets = repeats.bucket_count(chunks.agg(F.sum("raw")).first()[0] or 0)
 
     def hot(bucket: int, t):
@@ -117,7 +128,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = repeats.by_key(repeats.anchors(chunks, repeats.Bytes, buckets), "bucket", hot, repeats._HOT, "chunk long, bucket int, hashes binary")
     sent = repeats.stretches(chunks, found, repeats.Bytes, buckets)
-    release(docs.sparkSession)
     back = repeats.settle(sent, repeats.Bytes, window_ids)
     done = repeats.remove(chunks, sent, back, repeats.Bytes, with_text)
     return repeats.per_row(rows, done)
