@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stash, unstash
+from .common import pick, stash, tidy, unstash
 
 WINDOW = 50
 CHUNK_BYTES = 4_000_000
@@ -83,6 +83,7 @@ def chunked(texts: DataFrame, bounds: list[int]) -> DataFrame:
                     yield close(batch, held.pop(batch))
         for batch, mine in held.items():
             yield close(batch, mine)
+        tidy()
 
     def close(batch: int, mine: list) -> pa.RecordBatch:
         raw = b"".join(mine[3])
@@ -210,6 +211,7 @@ def _chunks_in(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[
         for i in range(b.num_rows):
             row = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
             yield row, Chunk(kind, row["ids"], row["sizes"], row["raw"], row["data"])
+    tidy()
 
 
 def _table(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -266,6 +268,7 @@ def by_key(df: DataFrame, key: str, work: Callable[[int, pa.Table], list[tuple]]
                 held.append(b.slice(x, y - x))
         if held:
             yield _table(work(current, pa.Table.from_batches(held)), kinds)
+        tidy()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
