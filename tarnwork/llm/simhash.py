@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, pick, replace_columns, stash, table, tidy
+from .common import column, pick, replace_columns, stash, table, tidy, unstash
 from .components import components, local_roots
+from .exact_dedup import bitmap_of, in_bitmap
 
 SEED = 42
 #: Spread references whose distances are compared before verification.
@@ -109,12 +110,26 @@ def links(keys: DataFrame, lanes: DataFrame, n_lanes: int, distance: int, block:
     lanes: (node, lanes binary). Buckets of one node go at once. A bucket over ``block`` is dealt into cells of two blocks.
     Inside a task all pairs of a cell are compared, but only the links of a spanning forest come out.
     """
+    return _compared(shared(keys).join(lanes, "node"), n_lanes, distance, block, "roots")
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key has several nodes, and the number n of them."""
     counts = stash(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
-    members = keys.join(counts, "key").join(lanes, "node")
+    return keys.join(counts, "key")
+
+
+def _compared(members: DataFrame, n_lanes: int, distance: int, block: int, out: str, similarity: float = 0.0) -> DataFrame:
+    """(a, b) from members (key, node, n, lanes, and unless out is "roots" size and label) at most ``distance`` bits apart.
+
+    out: "roots" gives each node with the smallest that it is connected to, "tree" the links of a spanning forest with the
+    nearest pairs first, "apart" all pairs of different labels. Sizes must allow the similarity.
+    """
+    members = members if out != "roots" else members.withColumn("size", F.lit(0)).withColumn("label", F.lit(0).cast("long"))
     blocks = F.ceil(F.col("n") / block).cast("long")
     members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
     cells = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).cast("int").alias("side"), "node", "lanes")
+    cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).cast("int").alias("side"), "node", "lanes", "size", "label")
     refs = pivots(n_lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +151,7 @@ def links(keys: DataFrame, lanes: DataFrame, n_lanes: int, distance: int, block:
             yield from compare(pa.Table.from_batches(rest))
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, side, node = (t[c].to_numpy() for c in ("cell", "side", "node"))
+        cell, side, node, size, label = (t[c].to_numpy() for c in ("cell", "side", "node", "size", "label"))
         own = np.frombuffer(b"".join(t["lanes"].to_pylist()), "<u8").reshape(len(cell), n_lanes)
         table_ = np.stack([np.bitwise_count(own ^ r).sum(1, dtype=np.int16) for r in refs], 1)
         end = np.searchsorted(cell, cell, side="right")
@@ -145,25 +160,60 @@ def links(keys: DataFrame, lanes: DataFrame, n_lanes: int, distance: int, block:
             active = active[end[active] > active + step]
             a, b = active, active + step
             near = (side[a] != side[b]) | (side[a] < 0)
+            if out != "roots":
+                near &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+            if out == "apart":
+                near &= label[a] != label[b]
             a, b = a[near], b[near]
             for p in range(table_.shape[1]):
                 near = np.abs(table_[a, p] - table_[b, p]) <= distance
                 a, b = a[near], b[near]
-            near = np.bitwise_count(own[a] ^ own[b]).sum(1) <= distance
-            found.append((a[near], b[near]))
-            if sum(len(x) for x, _ in found) > 4_000_000:
-                found = [forest(found)]
+            bits = np.bitwise_count(own[a] ^ own[b]).sum(1, dtype=np.int16)
+            near = bits <= distance
+            found.append((a[near], b[near], bits[near]))
+            if sum(len(f[0]) for f in found) > 4_000_000:
+                found = [fewer(found)]
+                if out == "apart":
+                    yield rows(node, *found.pop())
         if found:
-            a, b = forest(found)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+            yield rows(node, *fewer(found))
+
+    def rows(node: np.ndarray, a: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node[x], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    def forest(found: list) -> tuple[np.ndarray, np.ndarray]:
-        return local_roots(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+    def fewer(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, bits = (np.concatenate([f[i] for f in found]) for i in range(3))
+        if out == "roots":
+            a, b = local_roots(a, b)
+            return a, b, np.zeros(len(a), np.int16)
+        if out == "tree":
+            kept = spanning(a, b, bits)
+            return a[kept], b[kept], bits[kept]
+        return a, b, bits
 
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links of a lightest spanning forest: in each round every tree takes its lightest link to another."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(weight, kind="stable")
+    x, y = at[: len(a)][order], at[len(a) :][order]
+    label, kept, left = np.arange(len(nodes)), np.zeros(len(a), bool), np.arange(len(a))
+    while len(left := left[label[x[left]] != label[y[left]]]):
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[left]], left)
+        np.minimum.at(best, label[y[left]], left)
+        chosen = np.unique(best[best < len(a)])
+        kept[chosen] = True
+        below, low = local_roots(label[x[chosen]], label[y[chosen]])
+        to = np.arange(len(nodes))
+        to[below] = low
+        label = to[label]
+    return order[kept]
+
+
 def link_components(prints: DataFrame, distance: int = 3) -> DataFrame:
     """prints (id, fp), written, as (id, fp, component): the smallest id reachable over links of at most ``distance`` bits.
 
@@ -173,11 +223,10 @@ def link_components(prints: DataFrame, distance: int = 3) -> DataFrame:
     nodes = classes.select("node")
     own = nodes.select("node", F.expr("unhex(lpad(hex(node), 16, '0'))").alias("lanes"))
     found = links(exact_keys(nodes, classes.count(), distance), own, 1, distance)
-    return _spread(prints, classes, found, "fp")
+    return _spread(prints, classes, components(found), "fp")
 
 
-def _spread(prints: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    labels = components(found)
+def _spread(prints: DataFrame, classes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stash(named, "named")
     least = stash(named.groupBy("label").agg(F.min("rep").alias("component")), "least")
@@ -193,42 +242,138 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Lanes over shingles of five words (they decide) and over words (they only bring candidates together).
-SHINGLE_LANES, WORD_LANES = 4, 2
-#: Tables of sampled bits: near copies share most words, so a table's bits agree for about one pair in seven at 0.8, more above.
-TABLES, SAMPLED_BITS = 32, 22
+#: Lanes over shingles of five words; they only discard.
+SHINGLE_LANES = 4
+#: Differing bits of these lanes up to which a pair is verified. At 0.8 a bit differs with probability 0.15 (0.19 for the smallest
+#: sets), so of 256 bits more than 88 differ less than once in 10^8 pairs; strangers differ in 128.
+DISCARD_BITS = 88
+#: Documents whose shingles are counted to tell the common ones, and the most that are told; both only save work.
+SAMPLE, COMMON = 20_000, 1_000_000
 ADDED = ("group_id", "kept")
 
 
-def bits_for(similarity: float, lanes: int = SHINGLE_LANES) -> int:
-    """Differing bits to expect at a Jaccard similarity: the cosine is 2s/(1+s), a bit differs with probability angle/pi."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * lanes * float(np.arccos(cosine)) / np.pi)
+def common_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of the column ``text`` repeats, and how common each is. Any such table gives the same pairs."""
+    rate = max(1, texts.count() // sample)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for x in b.column(0):
+                held.append(np.unique(_shingles(_words(x.as_py()), shingle, SEED)))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
+        tidy()
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rate)) == 0).select("text")
+    found = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
+    found = stash(found.select("h", F.floor(F.log2("n") * 2).cast("int").alias("step")), "common")
+    total, least = 0, 1000
+    for r in sorted(found.groupBy("step").count().collect(), reverse=True):
+        if (total := total + r["count"]) > most:
+            break
+        least = r["step"]
+    told = found.filter(F.col("step") >= least).toArrow()
+    h = told["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], told["step"].to_numpy().astype(np.uint8)[order]
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, tables: int = TABLES, bits: int = SAMPLED_BITS) -> DataFrame:
-    """docs (id, text) as (id, lanes, keys): 4 lanes over distinct shingles, 2 over distinct words, and one key for each table of sampled word-lane bits."""
-    rng = np.random.default_rng(SEED)
-    spots = np.stack([rng.choice(64 * WORD_LANES, bits, replace=False) for _ in range(tables)])
+
+def shingle_keys(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs (id, text) as (id, node, size, lanes, keys): a hash that stands for the set of shingles, their number, 4 lanes of 64 bits, and the rarest ``size - ceil(similarity * size) + 1`` of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(x.tobytes() for x in common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, steps = (np.frombuffer(x, t) for x, t in zip(sent.value, (np.uint64, np.uint8), strict=True))
         for b in batches:
-            lanes, keys = [], []
-            for x in b.column(1):
-                words = _words(x.as_py())
-                wide = np.unique(_shingles(words, shingle, SEED))
-                low = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-                own = [majority(_remix(wide, i)) for i in range(SHINGLE_LANES)] + [majority(_remix(low, i)) for i in range(WORD_LANES)]
-                packed = np.array(own, "<u8")
-                word_bits = np.unpackbits(packed[SHINGLE_LANES:].view(np.uint8), bitorder="little")
-                hashed = word_bits[spots].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                lanes.append(packed.tobytes())
-                keys.append(hashed + (np.arange(tables, dtype=np.int64) << 40))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lanes, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), flat)], names=["id", "lanes", "keys"])
+            for start in range(0, b.num_rows, 200):  # sets of long texts are long too
+                part, nodes, sizes, lanes, sets = b.slice(start, 200), [], [], [], []
+                for x in part.column(1):
+                    wide = np.unique(_shingles(_words(x.as_py()), shingle, SEED))
+                    nodes.append(xxhash.xxh64_intdigest(wide.tobytes(), SEED))
+                    lanes.append(np.array([majority(_remix(wide, i)) for i in range(SHINGLE_LANES)], "<u8").tobytes())
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, wide), len(known) - 1)
+                        wide = wide[np.argsort(np.where(known[at] == wide, steps[at], 0), kind="stable")]
+                    sizes.append(len(wide))
+                    sets.append(wide[: len(wide) - ceil(similarity * len(wide) - 1e-9) + 1].view(np.int64))
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(lanes, pa.binary()), flat], names=["id", "node", "size", "lanes", "keys"])
         tidy()
 
-    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, lanes binary, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, node long, size int, lanes binary, keys array<long>")
+
+
+def some_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (id, text) as (id, node, shingles), all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 200):
+                part = b.slice(start, 200)
+                sets = [np.unique(_shingles(_words(x.as_py()), shingle, SEED)) for x in part.column(1)]
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes.view(np.int64)), flat], names=["id", "node", "shingles"])
+        tidy()
+
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are at least ``similarity`` alike, written.
+
+    docs: (id, text). Only texts of the pairs' nodes are read again, of equal sets the one with the id ``rep``; they are told by a
+    bitmap of fixed size, and what it lets through by chance goes in the join.
+    """
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node"), "wanted")
+    read = some_sets(in_bitmap(docs, bitmap_of(wanted.select(F.xxhash64("rep").alias("key"))), F.xxhash64("id"), "_wanted").filter("_wanted"), shingle).join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
+    read = stash(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "compared-sets")
+    both = pairs.join(read.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(read.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            alike = []
+            for x, y in zip(t.column(2), t.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+        tidy()
+
+    out = stash(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
+    unstash(pairs, wanted, read)
+    return out
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int = 5, distance: int = DISCARD_BITS, block: int = BLOCK) -> DataFrame:
+    """(node, label) of the groups connected by pairs of nodes at least ``similarity`` alike; no such pair is missed.
+
+    classes: (node, rep, size, lanes, keys), keys being the first ``size - ceil(similarity * size) + 1`` shingles in an order
+    that all sets share: two sets with none of these in common can't be alike enough. Of each bucket the nearest pairs that would
+    connect it are verified first, then all pairs that are still in different groups.
+    """
+    members = stash(shared(classes.select(F.explode("keys").alias("key"), "node")), "members")
+    own = classes.select("node", "size", "lanes")
+    tree = _compared(members.join(own, "node").withColumn("label", F.lit(0).cast("long")), SHINGLE_LANES, distance, block, "tree", similarity)
+    first = verified(tree, classes, docs, similarity, shingle)
+    labels = components(first)
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    apart = _compared(named.join(mixed, "key").join(own, "node"), SHINGLE_LANES, distance, block, "apart", similarity)
+    second = verified(apart, classes, docs, similarity, shingle)
+    unstash(members)
+    return components(first.union(second)) if second.limit(1).count() else labels
 
 
 def _remix(h: np.ndarray, lane: int) -> np.ndarray:
@@ -241,8 +386,8 @@ def _remix(h: np.ndarray, lane: int) -> np.ndarray:
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` plus group_id (smallest id of the group) and kept (one row of each group).
 
-    Near copies are texts whose sets of five-word shingles are about ``similarity`` alike or more, as told by 256 fingerprint bits;
-    groups are connected through near copies. Candidates come from tables of sampled bits of a fingerprint over words.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of ``similarity`` or more; groups are
+    connected through near copies. Candidates share one of their rarest shingles, which all near copies do.
     Defined cases: texts without words, null ones included, are no copies of each other and stay; a null id is smallest;
     of rows equal in id and text one stays; an empty table gives an empty table; input columns named like the added ones are replaced.
     """
@@ -253,13 +398,15 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     mark = F.xxhash64(text, F.lit(1))
     some = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = plain.withColumn("_mark", mark).withColumn("_some", some)
-    prints = stash(wide_fingerprints(keyed.filter("_some").select(F.struct(F.col(the_id).alias("id"), "_mark").alias("id"), F.col(text).alias("text")), shingle), "wide")
-    prints = prints.withColumn("node", F.xxhash64("lanes"))
-    classes = stash(prints.groupBy("node").agg(F.min("id").alias("rep"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys")), "classes")
-    decide = classes.select("node", F.expr(f"substring(lanes, 1, {8 * SHINGLE_LANES})").alias("lanes"))
-    found = links(classes.select(F.explode("keys").alias("key"), "node"), decide, SHINGLE_LANES, bits_for(similarity))
-    linked = _spread(prints.select("id", "node"), classes.select("node", "rep"), found, "node").select("id", "component").distinct()
-    where = linked.select(F.col("id.id").alias("_id"), F.col("id._mark").alias("_mark2"), F.col("component.id").alias("group_id"), (F.col("id").eqNullSafe(F.col("component"))).alias("_first"))
+    texts = keyed.filter("_some").select(F.struct(F.col(the_id).alias("id"), "_mark").alias("id"), F.col(text).alias("text"))
+    sets = stash(shingle_keys(texts, shingle, similarity, common_shingles(texts, shingle)), "sets")
+    classes = stash(sets.groupBy("node").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys")), "classes")
+    prints = stash(sets.select("id", "node"), "prints")
+    unstash(sets)
+    labels = similar_links(classes, texts, similarity, shingle)
+    linked = _spread(prints, classes.select("node", "rep"), labels, "node").select("id", "component").distinct()
+    where = stash(linked.select(F.col("id.id").alias("_id"), F.col("id._mark").alias("_mark2"), F.col("component.id").alias("group_id"), (F.col("id").eqNullSafe(F.col("component"))).alias("_first")), "where")
+    unstash(prints, classes)
     out = keyed.join(where, F.col(the_id).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_mark2")) & F.col("_some"), "left")
     nth = F.row_number().over(Window.partitionBy(the_id, "_mark").orderBy(F.lit(1)))
     out = out.withColumn("group_id", F.when(F.col("_some"), F.col("group_id")).otherwise(F.col(the_id)))

@@ -135,3 +135,46 @@ def test_near_copies(spark, nothing):
     assert close > 60 and missed <= 0.05 * close
     assert len({group[d[0]] for docs in groups.values() for d in docs}) >= 40
     assert simhash.near_dedup(nothing).count() == 0
+
+
+def test_block_edits_are_all_found(spark):
+    """Copies with a block appended, cut off or inserted, from just below to well above 0.8: groups equal those of all pairs compared."""
+    rng = random.Random(8)
+    rows, common = [], prose(rng, 12)
+    for g in range(90):
+        words = prose(rng, rng.randint(60, 300)).split() + common.split()
+        size = int(len(words) * rng.uniform(0.05, 0.24))
+        block, at = prose(rng, size).split(), rng.randrange(20, len(words) - 20)
+        other = (words + block, words[size:], words[:at] + block + words[at:])[g % 3]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    rows += [(1000, "one two three"), (1001, "One two  three"), (1002, "one two four")]
+    sets = {i: shingles(t) or {t.lower()} for i, t in rows[:180]}
+    root = {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[b] = root[a]
+    root[1001] = 1000
+    assert 40 < sum(i != r for i, r in root.items()) < 85
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.group_id for r in got} == root
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_similar_links_whatever_the_order(spark, block):
+    """A chain of sets, each near its neighbours only: the same groups with any table of common shingles and any size of blocks."""
+    rng = random.Random(2)
+    words = prose(rng, 1200).split()
+    texts = [(i, " ".join(words[12 * i : 12 * i + 200])) for i in range(40)] + [(100 + i, prose(rng, 90)) for i in range(20)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    every = np.unique(np.concatenate([simhash._shingles(simhash._words(t), 5, simhash.SEED) for _, t in texts]))
+    for common in ((every[:0], np.zeros(0, np.uint8)), (every[::3], np.full(len(every[::3]), 3, np.uint8))):
+        classes = stash(simhash.shingle_keys(docs, 5, 0.8, common).withColumnRenamed("id", "rep"), "classes")
+        labels = simhash.similar_links(classes, docs, 0.8, block=block)
+        group = {r.rep: r.label or r.node for r in classes.join(labels, "node", "left").collect()}
+        assert len({group[i] for i in range(40)}) == 1 and len(set(group.values())) == 21
+
+
+def test_spanning_takes_the_lightest_links():
+    a, b = np.array([7, 7, 8, 1, 2]), np.array([8, 9, 9, 2, 1])
+    assert sorted(simhash.spanning(a, b, np.array([5, 1, 2, 4, 3])).tolist()) == [1, 2, 4]
