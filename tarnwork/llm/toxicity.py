@@ -24,7 +24,7 @@ from .common import column, pick, replace_columns, stash, table, tidy
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 #: Probability of a character that was never seen.
 UNSEEN = 1 / 3000
-#: Most grams and contexts that the scoring tasks get (12 bytes each); the commonest stay, the others fall back a level.
+#: Most grams and contexts that are broadcast (12 bytes each), the commonest; words that need others get them by a join.
 MODEL_ROWS = 6_000_000
 #: Rows that the logistic function is fitted on, at most; labels are broadcast up to this many rows, else shuffled.
 CALIBRATION_ROWS, BROADCAST_LABELS = 50_000, 2_000_000
@@ -166,16 +166,32 @@ class Speller:
         hit = self.keys[at] == h
         return hit, np.where(hit, self.values[at], np.float32(0))
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Sum over a word's characters: the ratio of the longest known string that ends there, after the weights of the contexts fallen back from."""
-        if not words:
-            return np.zeros(0)
+    def _spots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' padded characters, and for each own character its place and its word."""
         pad = self.order - 1
         codes = np.frombuffer("".join("\x02" * pad + w + "\x03" for w in words).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         firsts = np.cumsum(sizes + pad) - sizes  # place of each word's first own character
         owner = np.repeat(np.arange(len(words)), sizes)
         spots = np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return codes, spots, owner
+
+    def missing(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the words' strings and contexts that aren't in the table, each with its word's place."""
+        keys, places = [], []
+        codes, spots, owner = self._spots(words)
+        for n in range(1, self.order + 1):
+            for h in (_at(codes, spots - (n - 1), n, 0), _at(codes, spots - (n - 1), n - 1, 1)):
+                lacks = ~self._look(h)[0]
+                keys.append(h[lacks])
+                places.append(owner[lacks])
+        return np.concatenate(keys), np.concatenate(places)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Sum over a word's characters: the ratio of the longest known string that ends there, after the weights of the contexts fallen back from."""
+        if not words:
+            return np.zeros(0)
+        codes, spots, owner = self._spots(words)
         total, left = np.zeros(len(spots)), np.arange(len(spots))
         for n in range(self.order, 0, -1):
             at = spots[left] - (n - 1)
@@ -203,16 +219,74 @@ class Speller:
             return sum(map(known.__getitem__, words)) / len(words)
 
 
+class Both(Speller):
+    """A speller that looks into two tables without common keys."""
+
+    def __init__(self, one: Speller, other: Speller):
+        super().__init__(one.keys, one.values, one.order)
+        self.other = other
+
+    def _look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (hit, value), (hit2, value2) = super()._look(h), self.other._look(h)
+        return hit | hit2, value + value2
+
+
 class Model:
     """What scoring needs: the sent table, and the logistic function's slope and intercept."""
 
-    def __init__(self, spark: SparkSession, rows: pa.Table, slope: float = 1.0, intercept: float = 0.0):
+    def __init__(self, spark: SparkSession, rows: pa.Table, slope: float = 1.0, intercept: float = 0.0, rest: DataFrame | None = None):
         order = np.argsort(keys := rows["key"].to_numpy().view(np.uint64), kind="stable")
         self.sent = spark.sparkContext.broadcast((keys[order].tobytes(), rows["value"].to_numpy().astype(np.float32)[order].tobytes()))
-        self.slope, self.intercept = slope, intercept
+        self.slope, self.intercept, self.rest = slope, intercept, rest
+
+    def _word_scores(self, texts: DataFrame) -> DataFrame:
+        """(word, score) of the distinct words of the column ``text``, with the rows of ``rest``; the same as from one table of all rows."""
+        sent = self.sent
+        words = stash(word_counts(texts.select(F.lit(0).alias("toxic"), "text")).select("word"), "words")
+
+        def lacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            speller = Speller(*(np.frombuffer(x, t) for x, t in zip(sent.value, (np.uint64, np.float32), strict=True)))
+            for b in batches:
+                own = b.column(0).to_pylist()
+                keys, places = speller.missing(own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(places))], names=["key", "word"])
+
+        found = words.mapInArrow(lacks, "key long, word string").distinct().join(self.rest, "key")
+        more = found.groupBy("word").agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values"))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = (np.frombuffer(x, t) for x, t in zip(sent.value, (np.uint64, np.float32), strict=True))
+            for b in batches:
+                extra = [c.flatten().to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+                new, at = np.unique(extra[0].astype(np.int64).view(np.uint64), return_index=True)
+                both = Both(Speller(keys, values), Speller(new, extra[1][at].astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both.score(b.column(0).to_pylist()), pa.float64())], names=["word", "score"])
+
+        return words.join(more, "word", "left").select("word", "keys", "values").mapInArrow(score, "word string, score double")
+
+    def _joined_means(self, docs: DataFrame) -> DataFrame:
+        """``means`` where not all rows are broadcast: distinct words are scored once each and joined to the documents that hold them."""
+        rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        scores = stash(self._word_scores(rows), "word-scores")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, words, n = [], [], []
+                for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    held = Counter(words_of(x.as_py() or ""))
+                    own += [i] * len(held)
+                    words += held.keys()
+                    n += held.values()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["_row", "word", "n"])
+
+        held = rows.select("_row", "text").mapInArrow(count, "_row long, word string, n long")
+        means = held.join(scores, "word").groupBy("_row").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("_mean"))
+        return rows.join(means, "_row", "left").withColumn("_mean", F.coalesce("_mean", F.lit(0.0))).select(*docs.columns, "_mean")
 
     def means(self, docs: DataFrame) -> DataFrame:
         """docs with the column ``_mean``; docs must have the columns text and any others."""
+        if self.rest is not None:
+            return self._joined_means(docs)
         sent, at = self.sent, docs.columns.index("text")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +310,16 @@ def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -
     words = word_counts(labelled.filter("fit"))
     model = kneser_ney(gram_counts(words, order), order)
     model = stash(model, "kneser-ney")
-    n = model.count()
+    n, rest = model.count(), None
     if n > model_rows:
         steps = sorted(model.groupBy(F.floor(F.log2("n") * 4).alias("s")).count().collect(), reverse=True)
-        total, least = 0, 0
+        total, least = 0, 1000
         for r in steps:
             if (total := total + r["count"]) > model_rows:
                 break
             least = r["s"]
-        model = model.filter(F.floor(F.log2("n") * 4) >= least)
+        common = F.floor(F.log2("n") * 4) >= least
+        model, rest = model.filter(common), model.filter(~common)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +327,8 @@ def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -
             keys = _hash_all(grams, [int(k == "b") for k in kinds])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values, pa.float32())], names=["key", "value"])
 
-    fitted = Model(spark, model.select("kind", "gram", "value").mapInArrow(hashed, "key long, value float").toArrow())
+    hash_rows = lambda m: m.select("kind", "gram", "value").mapInArrow(hashed, "key long, value float")
+    fitted = Model(spark, hash_rows(model).toArrow(), rest=None if rest is None else stash(hash_rows(rest), "rare-grams"))
     held = labelled.filter(~F.col("fit")).select("toxic", "text")
     sample = fitted.means(held.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS) if held.count() > CALIBRATION_ROWS else held).select("_mean", "toxic").toArrow()
     fitted.slope, fitted.intercept = logistic(sample["_mean"].to_numpy(), sample["toxic"].to_numpy().astype(float))

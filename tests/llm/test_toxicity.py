@@ -99,3 +99,15 @@ def test_logistic():
     slope, cut = toxicity.logistic(x, x)
     assert slope > 0 and -slope < cut < 0
     assert toxicity.logistic(x, np.zeros(100)) == (1.0, -1.0)
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, labelled, model):
+    docs, labels = labelled
+    known = docs.join(labels.filter("toxic IS NOT NULL"), "doc_id").withColumn("fit", toxicity.fold(F.col("doc_id")) > 1)
+    rows = known.filter(toxicity.fold(F.col("doc_id")) != 0).select("toxic", "text", "fit")
+    some = docs.limit(150).unionByName(spark.createDataFrame([(-1, None), (-2, "12 !"), (-3, "zwickzzq \U0001d4b3")], docs.schema))
+    want = {r.doc_id: r.score for r in toxicity.score(some, toxicity.fit(rows)).collect()}
+    few = toxicity.fit(rows, model_rows=500)
+    got = toxicity.score(some, few)
+    assert len(few.sent.value[0]) <= 500 * 8 and got.columns == ["doc_id", "text", "score", "predicted"]
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(want, abs=1e-9)
