@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 IMPORTS = "file_id string, pos int, kind string, level int, module string, error string"
 
 
@@ -46,6 +48,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in IMPORTS.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("file_id", "src").mapInArrow(run, IMPORTS)
 
 
@@ -66,5 +69,8 @@ def holds(modules: Column, *expected: str) -> Column:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """pages (page_id, html) as (page_id, pos, href): what a page refers to, in order; pages without links give no row."""
+    """pages (page_id, html) as (page_id, pos, href): what a page refers to, in order, repeats included.
+
+    Only lower-case, double-quoted ``href`` counts. Defined cases: pages without links, empty or null ones included, give no row.
+    """
     return pages.select("page_id", F.posexplode(F.expr("""regexp_extract_all(html, 'href="([^"]*)"', 1)""")).alias("pos", "href"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import has_any, terms
+from ..session import ship
+from ..written import in_blocks
 
 #: Characters of query text that the tasks get at once; more queries take several passes over the corpus.
 BLOCK_CHARS = 4_000_000
@@ -30,6 +32,12 @@ def summarise(hits: DataFrame, id_col: str) -> DataFrame:
     return hits.agg((F.count("*") > 0).alias("any_hit"), F.count("*").alias("n_hits"), F.min(id_col).alias("first_id"))
 
 
+def first_hit(hits: DataFrame, id_col: str, place: str, expected) -> DataFrame:
+    """One row: the number of hits, the first one's id by ``place`` (ties by id), and whether it is the expected one; null and false without hits."""
+    first = F.min(F.struct(F.col(place).alias("place"), F.col(id_col).alias("id")))["id"]
+    return hits.agg(F.count("*").alias("n_hits"), first.alias("first_id"), F.coalesce(first == F.lit(expected), F.lit(False)).alias("as_expected"))
+
+
 def check_schema(hits: DataFrame, *required: str) -> DataFrame:
     """One row: whether the columns exist (looked at before any row is), and how many rows lack a value."""
     missing = [c for c in required if c not in hits.columns]
@@ -48,22 +56,24 @@ def count_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     Queries are a stated set and come in blocks of bounded size; each text is searched once for all words of a block, and only
     counts leave a task. Queries without words have no hits.
     """
-    spark = corpus.sparkSession
-    total = queries.select("query_id", F.lit(0).cast("long").alias("n"))
-    block: list[tuple] = []
-    held = 0
-
-    def flush(total: DataFrame) -> DataFrame:
-        found = corpus.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(block), to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {dict(queries.dtypes)['query_id']}, n long")
-        return total.unionByName(found)
-
-    for row in queries.select("query_id", "text").toLocalIterator():
-        block.append((row.query_id, (row.text or "").split()))
-        held += len(row.text or "")
-        if held >= BLOCK_CHARS:
-            total, block, held = flush(total), [], 0
-    if block:
-        total = flush(total)
+    kind = dict(queries.dtypes)["query_id"]
+    schema, arrow = f"query_id {kind}, n long", to_arrow_type(queries.schema["query_id"].dataType)
+    ship(corpus.sparkSession)
+
+    def blocks() -> Iterator[list[tuple]]:
+        block: list[tuple] = []
+        held = 0
+        for row in queries.select("query_id", "text").toLocalIterator():
+            block.append((row.query_id, (row.text or "").split()))
+            held += len(row.text or "")
+            if held >= BLOCK_CHARS:
+                yield block
+                block, held = [], 0
+        if block:
+            yield block
+
+    found = in_blocks(corpus.sparkSession, blocks(), lambda sent: corpus.select("text").mapInArrow(_counter(sent, arrow), schema), schema)
+    total = queries.select("query_id", F.lit(0).cast("long").alias("n")).unionByName(found)
     return total.groupBy("query_id").agg(F.sum("n").alias("n_hits"))
 
 

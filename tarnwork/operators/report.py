@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cut
+
 OUTCOME = "guard string, status string, reason string"
 STATUSES = ("PASS", "SKIP", "FAIL")
 
@@ -21,16 +23,26 @@ def outcome(ok, guard: str, reason=None) -> list:
 
 
 def run_guards(spark: SparkSession, guards: list[tuple[str, Callable[[], str]]]) -> DataFrame:
-    """Runs named guards in order. What a guard returns is the reason of its PASS; ``Skip`` gives SKIP; any other error gives FAIL, and the next guard still runs."""
+    """(guard, status, reason, place): runs named guards in order. What a guard returns is the reason of its PASS; ``Skip`` gives SKIP, its
+    text cut to 40 characters; any other error gives FAIL, and the next guard still runs. Without guards the result is empty."""
     rows = []
-    for name, guard in guards:
+    for place, (name, guard) in enumerate(guards):
         try:
-            rows.append((name, "PASS", str(guard() or "")))
+            rows.append((name, "PASS", str(guard() or ""), place))
         except Skip as e:
-            rows.append((name, "SKIP", str(e)[:40]))
+            rows.append((name, "SKIP", str(e), place))
         except Exception as e:  # noqa: BLE001
-            rows.append((name, "FAIL", f"{type(e).__name__}: {e}"[:200]))
-    return spark.createDataFrame(rows, OUTCOME)
+            rows.append((name, "FAIL", f"{type(e).__name__}: {e}", place))
+    seen = spark.createDataFrame(rows, f"{OUTCOME}, place int")
+    return seen.withColumn("reason", F.when(F.col("status") == "SKIP", cut(F.col("reason"))).otherwise(F.col("reason")))
+
+
+def or_skip(work: Callable, what: str):
+    """The result of ``work``; any error in it skips the guard. For steps whose failure says nothing about the data, such as loading a model."""
+    try:
+        return work()
+    except Exception as e:  # noqa: BLE001
+        raise Skip(f"{what}: {e}") from e
 
 
 def require(module: str):
@@ -40,7 +52,7 @@ def require(module: str):
     try:
         return importlib.import_module(module)
     except ImportError as e:
-        raise Skip(str(e)[:40]) from e
+        raise Skip(str(e)) from e
 
 
 def count_statuses(outcomes: DataFrame) -> DataFrame:

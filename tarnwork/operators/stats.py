@@ -8,11 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cochange_pairs(changes: DataFrame, group: str, item: str, support: int = 2) -> DataFrame:
-    """(a, b, n): unordered pairs of items that changed together in at least ``support`` groups; an item counts once for each group."""
+#: Items of one group that meet in one task; a larger group is dealt into blocks, and each pair of blocks is a task's work of its own.
+BLOCK = 1000
+
+
+def cochange_pairs(changes: DataFrame, group: str, item: str, support: int = 2, block: int = BLOCK) -> DataFrame:
+    """(a, b, n): unordered pairs of items that changed together in at least ``support`` groups; an item counts once for each group.
+
+    Items in fewer groups than ``support`` can be in no such pair and go first. Of a huge group's items each goes to as many cells as the group
+    has blocks, so that no task gets more than a block's square of pairs. Defined cases: rows without a group or an item don't count;
+    repeated rows count once; an empty table gives an empty table.
+    """
     once = changes.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").distinct()
-    a, b = once.select("g", F.col("i").alias("a")), once.select("g", F.col("i").alias("b"))
-    return a.join(b, "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    if support > 1:
+        once = once.join(once.groupBy("i").count().filter(F.col("count") >= support).select("i"), "i", "left_semi")
+    sizes = once.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = once.join(sizes, "g").withColumn("mine", F.pmod(F.xxhash64("i"), "blocks").cast("int"))
+    all_blocks = F.explode(F.expr("sequence(0, blocks - 1)"))
+    a = dealt.select("g", F.col("i").alias("a"), F.col("mine").alias("x"), all_blocks.alias("y"))
+    b = dealt.select("g", F.col("i").alias("b"), all_blocks.alias("x"), F.col("mine").alias("y"))
+    return a.join(b, ["g", "x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
 
 def mcnemar(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
@@ -33,12 +48,28 @@ def linear_fit(points: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def position_effect(rows: DataFrame, group: str, order: str, metric: Column) -> DataFrame:
-    """(bin, n, mean): the metric at the head, in the middle and at the tail of each group, by relative position."""
+    """(bin, n, mean): the metric at the head, in the middle and at the tail of each group, by relative position.
+
+    Defined cases: a group of one row is all head; rows that tie in order share a place; null metrics count in n only.
+    """
     at = F.percent_rank().over(Window.partitionBy(group).orderBy(order))
     part = F.when(at < 1 / 3, "head").when(at < 2 / 3, "middle").otherwise("tail")
     return rows.select(part.alias("bin"), metric.cast("double").alias("m")).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"))
 
 
+def position_gap(rows: DataFrame, group: str, order: str, metric: Column) -> DataFrame:
+    """One row (head, tail, gap): the metric's mean at the tail less that at the head; null where one of them has no rows."""
+    bins = position_effect(rows, group, order, metric)
+    mean = lambda part: F.max(F.when(F.col("bin") == part, F.col("mean")))
+    return bins.agg(mean("head").alias("head"), mean("tail").alias("tail")).withColumn("gap", F.round(F.col("tail") - F.col("head"), 6))
+
+
+def scores_by_config(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """scores (config, metric, value) as one row for each config with the mean of each metric, null where it has none."""
+    wanted = scores.filter(F.col("metric").isin(metrics)).groupBy("config").pivot("metric", metrics).agg(F.round(F.avg("value"), 6))
+    return scores.select("config").distinct().join(wanted, "config", "left")
+
+
 def digests(rows: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id_col, md5) of each text."""
     return rows.select(id_col, F.md5(F.col(text).cast("binary")).alias("md5"))

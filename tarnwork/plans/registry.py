@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, terms
 from ..operators import config, dense, deps, lexical, report, stats
-from ..sources import sources, table
+from ..sources import cards, corpus, first_existing, parameter, sources, table, whole_texts
+from ..written import new_path
 
 TOP, WEAK_DIMS = 5, 8
 QUERY = "tion the"
@@ -31,7 +35,7 @@ CONFIGS = [
     ("tuned", "model_name: out/small-zh-ft\n"),
     ("tuned_code", "model_name: out/zh-ft-code\n"),
     ("neither", "model_name: org/e5-small\n"),
-    ("hidden_en", "model_name: tencent/x-ft\n"),
+    ("hidden_en", "model_name: patent/x-ft\n"),
     ("comment_first", "# model_name: old-zh\nmodel_name: new-en\n"),
     ("prefixed_key", "llm_model_name: qwen-MiniLM\n"),
     ("quoted", 'model_name: "Code-base"\n'),
@@ -43,6 +47,37 @@ CONFIGS = [
 SCORES = [("q1", "off", 3.0), ("q2", "off", 8.0), ("q3", "off", 4.0), ("q1", "on", 1.0), ("q2", "on", 2.0), ("q3", "on", 2.0)]
 
 
+#: A literal corpus, a query that only one card's words answer, and the card sought.
+LINES = [("n1", "cache keys expire"), ("n2", "the parser reads header fields"), ("n3", "header and parser tests")]
+CARDS = [
+    "File a/store.py Classes Store Functions put get",
+    "File b/clock.py Functions now sleep",
+    "File c/paths.py Functions clean join a safe upload name",
+    "File d/errors.py Classes Missing Denied",
+    "File e/form.py Classes Form Field",
+]
+ASKED, GOLD = [(100, "clean the name of an upload to be safe", 2)], 2
+METRICS = ["high", "low"]
+
+
+def word_hashes():
+    """A small encoder without a model: counts of words by hash."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 1024))
+        for i, x in enumerate(texts):
+            for w in x.split():
+                out[i, zlib.crc32(w.encode()) % 1024] += 1
+        return out
+
+    return encode
+
+
+def all_alike():
+    """An encoder that tells nothing apart: the wrong one."""
+    return lambda texts: np.ones((len(texts), 4))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stated query set, each row whose id is divisible by 100, and all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -67,8 +102,88 @@ def mean_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.summarise(_ranks(spark, sf_dir))
 
 
+def _both_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant 0 with all components, variant 1 with the first few."""
+    q, rows = _queries(spark, sf_dir)
+    return dense.rank_variants(q, rows, [None, WEAK_DIMS])
+
+
 def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.compare(_ranks(spark, sf_dir), _ranks(spark, sf_dir, WEAK_DIMS))
+    return dense.compare_variants(_both_ranks(spark, sf_dir))
+
+
+def evaluate_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame(ASKED, "query_id int, text string, gold int")
+    return dense.evaluate(asked, cards(spark, CARDS), [word_hashes, all_alike])
+
+
+def compare_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.compare_variants(evaluate_encoders(spark, sf_dir))
+
+
+def replicate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = docs.filter("doc_id % 10 <> 0")
+    return dense.replicate(docs, dense.encode(kept, word_hashes, "doc_id"), word_hashes, "doc_id")
+
+
+def first_hit_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus(spark, LINES)
+    return lexical.first_hit(lexical.any_term(lines, "header parser"), "id", "id", "n2")
+
+
+def any_term_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.concat(F.lit("tion  "), F.col("lang"))
+    return lexical.any_term(table(spark, sf_dir, "documents"), asked).select("doc_id")
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "benchmark").select("item_id", terms(F.col("text")).alias("words"))
+    return found.select("item_id", F.size("words").alias("n_terms"), F.size(F.array_distinct("words")).alias("n_distinct"))
+
+
+def probe_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations in files: the first place that has one wins, and none at all skips."""
+    base, name = new_path(spark, "probe"), parameter(spark, "tarnwork.config", "stack.yaml")
+    here = {f"{base}/{a}/configs/{name}": v for a, v in (("own/work", "model_name: own/small-en\n"), ("own", "model_name: outer-zh\n"), ("outer", "# later\nmodel_name: zh-ft-code\n"))}
+    for path, value in here.items():
+        spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(path)
+    out = None
+    for case in ("own", "outer", "none"):
+        path = first_existing(spark, [f"{base}/{case}/work", f"{base}/{case}"], f"configs/{name}")
+        found = whole_texts(spark, path).select(F.lit(case).alias("path"), "value") if path else spark.createDataFrame([(case, None)], "path string, value string")
+        out = found if out is None else out.unionByName(found)
+    return config.check_configs(out)
+
+
+def guard_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards of every kind, run in order, and the status that the process would end with."""
+
+    def broken() -> str:
+        raise KeyError("x")
+
+    def no_model() -> str:
+        raise OSError("no weights")
+
+    guards = [
+        ("cards", lambda: f"{len(CARDS)} cards"),
+        ("optional", lambda: report.require("no_such_module_anywhere")),
+        ("encoder", lambda: report.or_skip(no_model, "model not loaded")),
+        ("broken", broken),
+        ("after", lambda: None),
+    ]
+    seen = report.run_guards(spark, guards)
+    return seen.withColumn("exit_status", F.lit(report.exit_status(seen)))
+
+
+def score_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores held as JSON: each event type is a configuration, the object's number tells the metric."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), "value", F.from_json("props", "k int")["k"].alias("k"))
+    return stats.scores_by_config(rows.withColumn("metric", F.when(F.col("k") >= 50, "high").otherwise("low")), METRICS)
+
+
+def position_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.position_gap(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"))
 
 
 def lexical_any_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +223,7 @@ def hit_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lexical.any_term(table(spark, sf_dir, "documents"), QUERY)
     schema = lexical.check_schema(hits, "doc_id", "text")
-    both = _ranks(spark, sf_dir).withColumn("full", F.lit(True)).unionByName(_ranks(spark, sf_dir, WEAK_DIMS).withColumn("full", F.lit(False)))
-    means = both.agg(F.avg(F.when(F.col("full"), F.col("rr"))).alias("mrr"), F.avg(F.when(~F.col("full"), F.col("rr"))).alias("weak"))
+    means = _both_ranks(spark, sf_dir).agg(*(F.avg(F.when(F.col("variant") == v, F.col("rr"))).alias(c) for v, c in enumerate(("mrr", "weak"))))
     checked = config_classify(spark, sf_dir)
     made = dependency_card(spark, sf_dir).filter("file_id = 'a_plain.py'")
     guards = [
@@ -172,6 +286,8 @@ QUERIES = {
         vector_topk, reciprocal_rank, mean_reciprocal_rank, variant_compare, lexical_any_filter, lexical_first_hit, lexical_multi_query,
         config_classify, import_extract, dependency_card, link_extract, hit_schema_check, guard_report, guard_counts, cochange_pairs,
         mcnemar_counts, linear_fit, position_effect, content_digest, group_by_language, score_pivot, scorer_difference,
+        evaluate_encoders, compare_encoders, replicate_embeddings, first_hit_expected, any_term_of_row, term_counts, probe_config, guard_run,
+        score_configs, position_gap,
     )
 }
 
@@ -287,5 +403,31 @@ ORACLE_SQL = {
       SELECT sum(CASE WHEN arm = 'off' THEN value::DOUBLE END) AS sum_off, sum(CASE WHEN arm = 'on' THEN value::DOUBLE END) AS sum_on,
              round(avg(CASE WHEN arm = 'off' THEN value::DOUBLE END), 6) AS mean_off, round(avg(CASE WHEN arm = 'on' THEN value::DOUBLE END), 6) AS mean_on
       FROM (VALUES {_values(SCORES)}) v(item, arm, value)) x""",
+    "evaluate_encoders": """
+    SELECT query_id::BIGINT AS query_id, variant::INTEGER AS variant, first_rank::BIGINT AS first_rank, 1.0E0 / first_rank AS rr, first_rank = 1 AS top1
+    FROM (VALUES (100, 0, 1), (100, 1, 3)) v(query_id, variant, first_rank)""",
+    "compare_encoders": "SELECT 100::BIGINT AS query_id, 1.0E0 AS rr_a, true AS top1_a, 1.0E0 / 3 AS rr_b, false AS top1_b, true AS passes",
+    "replicate_embeddings": "SELECT count(*) AS n, coalesce(sum((doc_id % 10 <> 0)::INT), 0)::BIGINT AS n_same, coalesce(sum((doc_id % 10 = 0)::INT), 0)::BIGINT AS n_missing FROM documents",
+    "first_hit_expected": f"""
+    SELECT count(*) AS n_hits, min(id) AS first_id, coalesce(min(id) = 'n2', false) AS as_expected
+    FROM (VALUES {_values(LINES)}) v(id, text) WHERE contains(text, 'header') OR contains(text, 'parser')""",
+    "any_term_of_row": "SELECT doc_id FROM documents WHERE contains(text, 'tion') OR contains(text, lang)",
+    "term_counts": r"""
+    SELECT item_id, len(words)::INTEGER AS n_terms, len(list_distinct(words))::INTEGER AS n_distinct
+    FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words FROM benchmark) x""",
+    "probe_config": f"SELECT path, model_name, status, reason FROM (VALUES {_values([
+        ("own", "own/small-en", "PASS", "model: own/small-en"), ("outer", "zh-ft-code", "PASS", "model: zh-ft-code"), ("none", None, "SKIP", "no config found"),
+    ])}) v(path, model_name, status, reason)",
+    "guard_run": f"SELECT guard, status, reason, place::INTEGER AS place, 1::INTEGER AS exit_status FROM (VALUES {_values([
+        ("cards", "PASS", "5 cards", 0), ("optional", "SKIP", "No module named 'no_such_module_anywhere", 1), ("encoder", "SKIP", "model not loaded: no weights", 2),
+        ("broken", "FAIL", "KeyError: 'x'", 3), ("after", "PASS", "", 4),
+    ])}) v(guard, status, reason, place)",
+    "score_configs": """
+    SELECT event_type AS config, round(avg(CASE WHEN k >= 50 THEN value END), 6) AS high, round(avg(CASE WHEN k < 50 THEN value END), 6) AS low
+    FROM (SELECT event_type, value, json_extract(props, '$.k')::INTEGER AS k FROM events) e GROUP BY event_type""",
+    "position_gap": """
+    SELECT head, tail, round(tail - head, 6) AS gap FROM (
+      SELECT round(avg(CASE WHEN place < 1.0E0 / 3 THEN m END), 6) AS head, round(avg(CASE WHEN place >= 2.0E0 / 3 THEN m END), 6) AS tail FROM (
+        SELECT percent_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS place, length(text)::DOUBLE AS m FROM conversations) p) b""",
     "scorer_difference": "SELECT count(*) AS n, round(avg(quality - toxic), 9) AS mean_difference FROM labels",
 }

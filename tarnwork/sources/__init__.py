@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..session import ship
 
 CORPUS = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("text", T.StringType(), False)])
 SOURCES = T.StructType([T.StructField("file_id", T.StringType(), False), T.StructField("src", T.StringType(), True)])
+SCORES = "run string, config string, item string, metric string, value double"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,11 @@ def whole_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def json_scores(spark: SparkSession, *paths: str) -> DataFrame:
+    """A scores table (run, config, item, metric, value) held as JSON, one object in a line."""
+    return spark.read.schema(SCORES).json(list(paths))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, in whatever file system its scheme names."""
     jvm = spark._jvm
@@ -55,7 +62,7 @@ def first_existing(spark: SparkSession, bases: list[str], relative: str) -> str
 
 def parent_root(path: str) -> str:
     """The directory above the one that holds ``path``."""
-    return os.path.abspath(os.path.join(os.path.dirname(path), ".."))
+    return str(Path(path).absolute().parent.parent)
 
 
 def parameter(spark: SparkSession, name: str, default: str) -> str:

@@ -35,7 +35,8 @@ def brute(vectors, labels, q, dims=None):
 
 
 def test_reciprocal_rank_against_full_sort(spark, monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK", 2)
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 12)
+    monkeypatch.setattr(dense, "SCORES", 100)
     rng = np.random.default_rng(3)
     vectors = np.round(rng.normal(size=(60, 6)), 1).astype(np.float32).tolist()  # coarse, so that scores tie
     labels = rng.integers(0, 12, 60).tolist()
@@ -65,3 +66,34 @@ def test_encoder(spark):
 def test_empty_query_set(spark):
     q, c = frames(spark, [[1.0]], [0], [5])
     assert dense.top_k(q, c, 3).count() == 0 and dense.reciprocal_ranks(q, c).count() == 0
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    """Blocks that are run one after the other give what one block gives; queries of another length look among their like."""
+    rng = np.random.default_rng(8)
+    vectors = np.round(rng.normal(size=(40, 4)), 1).astype(np.float32).tolist() + [[1.0, 2.0], [0.5, 2.0]]
+    q, c = frames(spark, vectors, [0] * 42, [0, 3, 5, 9, 40])
+    want = sorted(map(tuple, dense.top_k(q, c, 3).collect()))
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 4)
+    assert sorted(map(tuple, dense.top_k(q, c, 3).collect())) == want
+    assert {w[1] for w in want if w[0] == 40} == {40, 41}
+
+
+def test_evaluation_from_texts(spark):
+    cards = spark.createDataFrame([(0, "b b"), (1, "a"), (2, "a b")], "card_id int, text string")
+    asked = spark.createDataFrame([(7, "a", 1), (8, "zzz", 2)], "query_id int, text string, gold int")
+
+    def letters():
+        return lambda xs: [[x.count("a"), x.count("b")] for x in xs]
+
+    got = {(r.query_id, r.variant): r.first_rank for r in dense.evaluate(asked, cards, [letters, lambda: lambda xs: [[1.0]] * len(xs)]).collect()}
+    assert got == {(7, 0): 1, (7, 1): 2, (8, 0): 3, (8, 1): 3}
+
+
+def test_replication(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "c")], "id int, text string")
+    load = lambda: lambda xs: [[1.0, len(x)] for x in xs]
+    stored = dense.encode(texts.filter("id < 3"), load, "id")
+    assert tuple(dense.replicate(texts, stored, load, "id").first()) == (3, 2, 1)
+    other = lambda: lambda xs: [[len(x), 1.0] for x in xs]
+    assert tuple(dense.replicate(texts, stored, other, "id").first()) == (3, 1, 1)

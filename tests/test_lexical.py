@@ -45,3 +45,17 @@ def test_many_queries_in_blocks(spark, texts, monkeypatch):
     assert {r.query_id: r.n_hits for r in lexical.count_hits(asked, texts).collect()} == want
     monkeypatch.setattr(lexical, "BLOCK_CHARS", 1)
     assert {r.query_id: r.n_hits for r in lexical.count_hits(asked, texts).collect()} == want
+
+
+def test_first_hit(spark):
+    rows = spark.createDataFrame([(2, "b"), (1, "z"), (1, "c")], "place int, id string")
+    assert tuple(lexical.first_hit(rows, "id", "place", "c").first()) == (3, "c", True)
+    assert tuple(lexical.first_hit(rows, "id", "place", "b").first()) == (3, "c", False)
+    assert tuple(lexical.first_hit(rows.filter("place > 5"), "id", "place", "b").first()) == (0, None, False)
+
+
+def test_count_hits_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", 3)
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "cc"), (3, ""), (4, "q")], "query_id int, text string")
+    texts = spark.createDataFrame([("xaa",), ("bb cc",), (None,)], "text string")
+    assert {r.query_id: r.n_hits for r in lexical.count_hits(asked, texts).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}

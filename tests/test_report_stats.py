@@ -60,3 +60,32 @@ def test_digest_and_groups(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
     assert {r.id: r.md5 for r in stats.digests(rows, "id").collect()} == {1: "0cc175b9c0f1b6a831c399e269772661", 2: None}
     assert tuple(stats.by_group(rows.withColumn("g", F.lit("x")), "g", "id").first()) == ("x", 2, 1.5)
+
+
+def test_an_error_in_a_model_skips(spark):
+    def lost():
+        raise OSError("gone " * 20)
+
+    row = report.run_guards(spark, [("m", lambda: report.or_skip(lost, "not loaded"))]).first()
+    assert row.status == "SKIP" and row.reason == ("not loaded: " + "gone " * 20)[:40]
+    assert report.or_skip(lambda: 3, "x") == 3
+    assert report.run_guards(spark, []).count() == 0
+
+
+def test_cochange_of_a_huge_group(spark):
+    """Dealt into blocks or not, each pair is found once."""
+    rows = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(60)] + [(3, 5), (3, 6), (4, 99)], "g int, i int")
+    want = {(a, b): 3 if (a, b) == (5, 6) else 2 for a in range(60) for b in range(a + 1, 60)}
+    got = stats.cochange_pairs(rows, "g", "i", block=7).collect()
+    assert {(r.a, r.b): r.n for r in got} == want and len(got) == len(want)
+    assert stats.cochange_pairs(rows, "g", "i", support=1, block=7).count() == len(want)
+
+
+def test_scores_and_positions(spark, tmp_path):
+    from tarnwork.sources import json_scores
+
+    (tmp_path / "s.json").write_text('{"run": "r", "config": "c1", "item": "i", "metric": "m", "value": 2}\n{"config": "c1", "metric": "m", "value": 4}\n{"config": "c2", "metric": "x", "value": 1}\n')
+    got = stats.scores_by_config(json_scores(spark, str(tmp_path)), ["m"]).collect()
+    assert {r.config: r.m for r in got} == {"c1": 3.0, "c2": None}
+    rows = spark.createDataFrame([("g", k, float(k)) for k in range(9)], "g string, k int, v double")
+    assert tuple(stats.position_gap(rows, "g", "k", F.col("v")).first()) == (1.0, 7.0, 6.0)
