@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-
+from ..written import delete, new_path
 
 #: Rows of texts that Spark hands to Python at once; its own default would let a task hold thousands of long texts twice.
-BATCH_ROWS = 1000
+BATCH_ROWS = "1000"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the package and, unless the session chose a size itself, makes Arrow batches small enough for long texts."""
+    """Ships the package."""
     ship(spark)
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While a stage is written, Arrow batches are small enough for long texts, unless the session chose a size itself."""
+    before = spark.conf.get(_BATCH)
+    if before == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def tidy() -> None:
@@ -65,25 +73,18 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(c) for i, c in keep])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (as in tests), one is made."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_corpus_dir", None)
-    if not where:
-        where = sc._corpus_dir = "file://" + tempfile.mkdtemp(prefix="corpus-")
-    return where.rstrip("/")
-
-
-def stash(df: DataFrame, what: str, *parts: str) -> DataFrame:
+def stash(df: DataFrame, what: str, *parts: str, path: str | None = None) -> DataFrame:
     """Writes a stage to the shared folder and reads it again: lineage ends here, so a lost executor repeats no more than this stage.
 
     parts: columns by whose values the files are kept apart, so that some can be deleted earlier.
     """
-    prepare(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*parts).parquet(path)
-    release(df.sparkSession)
-    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    prepare(spark)
+    path = path or new_path(spark, what)
+    with small_batches(spark):
+        df.write.partitionBy(*parts).parquet(path)
+    release(spark)
+    again = spark.read.schema(df.schema).parquet(path)
     again._stash_path = path
     return again
 
@@ -91,9 +92,7 @@ def stash(df: DataFrame, what: str, *parts: str) -> DataFrame:
 def unstash(*frames: DataFrame, part: str = "") -> None:
     """Deletes stages, or one part of each (such as "kind=1"), that nothing reads any more."""
     for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{df._stash_path}/{part}" if part else df._stash_path)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, f"{df._stash_path}/{part}" if part else df._stash_path)
 
 
 def release(spark: SparkSession) -> None:

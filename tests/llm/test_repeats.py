@@ -4,8 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnwork.llm import repeats, substring_index, suffix_dedup
-from tarnwork.llm.common import stash
+from tarnwork.llm import chunks, spans, substring_index, suffix_dedup
 
 
 def brute(rows, units, join):
@@ -54,27 +53,58 @@ def test_against_brute_force(spark, way, letters, monkeypatch):
     rows = texts(len(letters), letters, "" if way == "bytes" else " ")
     want = brute(rows, units, join)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
-    monkeypatch.setattr(repeats, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(spans, "TARGET", 150)
     got = remove(df, with_text=True).collect()
     assert sorted(str(tuple(r)[:5]) for r in got) == want
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("group", [suffix_dedup.window_ids, substring_index.verified_ids])
-def test_contents_in_parts(monkeypatch, group):
-    """An anchor with more contents than go together is cut, and its windows still meet."""
-    rng = random.Random(9)
-    contents = [np.array([rng.choice((1, 2)) for _ in range(rng.randint(50, 80))], np.uint8) for _ in range(30)]
-    contents += [np.concatenate([c[3:], np.array([5, 6, 7], np.uint8)]) for c in contents[:12]]
-    sizes = np.array([len(c) for c in contents])
-    ids = np.array([rng.randint(0, 1000) for _ in contents], np.int64)
-    body = np.concatenate(contents)
-    start = np.cumsum(sizes) - sizes
-    for anchor in (np.zeros(len(sizes)), np.arange(len(sizes)) // 42):
-        want = repeats._in_parts(group, body, start, sizes, ids, anchor)
-        monkeypatch.setattr(repeats, "TOGETHER", 400)
-        assert (repeats._in_parts(group, body, start, sizes, ids, anchor) == want).all()
-        monkeypatch.undo()
+def test_hot_anchors_and_many_spans(spark, monkeypatch):
+    """One sentence in every document, with other words around it: its windows go on one by one. Spans are reached in several cuts."""
+    rng = random.Random(3)
+    sentence = "".join(rng.choice("abcdefgh") for _ in range(140))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(20, 90))) + sentence[rng.choice([0, 0, 9]) :] + "".join(rng.choice("xyz") for _ in range(40))) for i in range(80)]
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(spans, "TARGET", 40)
+    monkeypatch.setattr(spans, "FAN", 4)
+    monkeypatch.setattr(spans, "HELD", 200)
+    monkeypatch.setattr(suffix_dedup, "WIDE", 20)
+    monkeypatch.setattr(suffix_dedup, "SPAN_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 300)
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "hot_windows", lambda *a, f=suffix_dedup.hot_windows: seen.append(f(*a)) or seen[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    remove, units, join = WAYS["bytes"]
+    assert sorted(str(tuple(r)[:5]) for r in remove(df).collect()) == brute(rows, units, join)
+    assert seen and seen[0].count() > 0
+    remove, units, join = WAYS["words"]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    monkeypatch.setattr(substring_index, "REQUESTS", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(tuple(r)[:5]) for r in remove(df).collect()) == brute(rows, units, join)
+
+
+def test_groups_stay_whole(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 10)
+    group, size = np.array([0, 0, 1, 1, 1, 2, 3, 3]), np.array([4, 4, 5, 5, 5, 1, 2, 2])
+    parts = list(suffix_dedup._parts(group, size))
+    assert [(p.start, p.stop) for p in parts] == [(0, 2), (2, 5), (5, 8)]
+    assert list(suffix_dedup._parts(group[:0], size[:0])) == []
+
+
+def test_packed_columns(spark):
+    rng = np.random.default_rng(2)
+    layout = spans.Layout(lambda c: c["size"].astype(np.int64), size=np.uint8, id=np.int64)
+    size = rng.integers(0, 9, 500).astype(np.uint8)
+    cols = {"key": np.sort(rng.integers(0, 1 << 64, 500, np.uint64)), "size": size, "id": rng.integers(-5, 5, 500), "body": rng.integers(0, 255, int(size.sum())).astype(np.uint8)}
+    got = [c for _, c in layout.read(layout.table(layout.rows(cols, 16)))]
+    assert len(got) == 16 and all((spans.joined(got)[k] == cols[k]).all() for k in cols)
+    order = rng.permutation(500)
+    mixed = layout.in_order(cols, order)
+    back = layout.in_order(mixed, np.argsort(mixed["key"], kind="stable"))
+    assert all((back[k] == cols[k]).all() for k in cols)
+    assert spans.spans_for(0) == 1 and spans.spans_for(spans.TARGET + 1) == 2
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -114,27 +144,41 @@ def test_lcp_values():
     assert [x if x >= 0 else 3 for x in lcp[1:].tolist()] == [min(w, 3) for w in want]
 
 
-def test_index_in_batches(spark):
-    """Runs stay sorted, are merged when there are many, and each batch meets all before it."""
-    rng = np.random.default_rng(1)
-    index, seen, sizes = substring_index.FingerprintIndex(), set(), []
-    for b in range(5):
-        h = np.unique(rng.integers(0, 400, 60).astype(np.uint32))
-        rows = spark.createDataFrame([(0, b, b, bytearray(h.tobytes()), bytearray(np.packbits(np.zeros(len(h), bool)).tobytes()))], "bucket int, batch int, chunk long, hashes binary, multi binary")
-        again = [np.frombuffer(r.hashes, np.uint32) for r in index.add(stash(rows, "anchors")).collect()]
-        assert set(np.concatenate(again).tolist()) == seen & set(h.tolist())
-        seen |= set(h.tolist())
-        sizes.append(len(index.runs))
-        stored = [np.frombuffer(r.hashes, np.uint32) for run in index.runs for r in run.collect()]
-        assert all((np.diff(x.astype(np.int64)) > 0).all() for x in stored)
-        assert set(np.concatenate(stored).tolist()) == seen
-    assert max(sizes) <= substring_index.MAX_RUNS
-    again = index.add(stash(rows, "anchors"))  # a later call, a batch that was there before
-    assert set(np.frombuffer(again.first().hashes, np.uint32).tolist()) == set(h.tolist())
-
-
-def test_windows_with_one_hash_are_told_apart(monkeypatch):
-    codes = np.arange(200, dtype=np.uint64)
-    monkeypatch.setattr(repeats, "_range", lambda sums, m, first, size: np.zeros(len(first), np.uint64))
-    out = substring_index.verified_ids(np.concatenate([codes[:60], codes[5:60]]), np.array([60, 55]), np.array([7, 3]))
-    assert out.tolist() == [7] * 5 + [3] * 6 + [3] * 6
+def test_index_in_two_sessions(spark, tmp_path, monkeypatch):
+    """A batch is deduplicated against an index that was opened from its folder alone; runs are merged when there are enough of a level."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(spans, "TARGET", 100)
+    rows = [(i, t) for i, t in texts(11, "abcdef", " ") if i is not None]
+    rows = sorted({i: t for i, t in rows}.items())
+    units, join = WAYS["words"][1:]
+    want = brute(rows, units, join)
+    got, path = [], f"file://{tmp_path}/index"
+    for part in (rows[:15], rows[15:16], rows[16:30], rows[30:]):
+        index = substring_index.FingerprintIndex(spark, path)
+        out = substring_index.add_documents(index, spark.createDataFrame(part, "doc_id long, text string"), batches=1)
+        got += [str(tuple(r)[:5]) for r in out.collect()]
+    assert sorted(got) == want
+    index = substring_index.FingerprintIndex(spark, path)
+    assert index.batches == 4
+    for name, layout in (("anchors", substring_index.ANCHOR_RUN), ("windows", substring_index.WINDOW_RUN)):
+        levels = [level for _, level, _ in index.state[name]]
+        assert max(levels) >= 1 and all(levels.count(x) < substring_index.GROWTH for x in levels)
+        for run, _, n in index.state[name]:
+            keys = [c["key"] for b in index._run(run, layout).toArrow().to_batches() for _, c in layout.read(b)]
+            assert all((k[1:] > k[:-1]).all() for k in keys)
+            assert len(np.unique(np.concatenate(keys))) == n
+    again = substring_index.add_documents(index, spark.createDataFrame(rows[:20], "doc_id long, text string"))
+    assert all(r.n_removed == (r.n_units if r.n_units >= 50 else 0) for r in again.collect())
+
+
+def test_windows_with_one_hash_are_told_apart(spark, monkeypatch):
+    """Were all hashes of windows alike, no word would go that has no earlier equal window."""
+    rng = random.Random(6)
+    make = lambda n: [rng.choice("abcdefghij") for _ in range(n)]
+    one, two = make(60), make(70)
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join([*make(9), *one, *make(8)]))]
+    plain = chunks.Chunk.hashes
+    monkeypatch.setattr(chunks.Chunk, "hashes", lambda self, at, count, weight=chunks.WEIGHTS[0]: plain(self, at, count, weight) & np.uint64(0xF << 60 if isinstance(count, int) and count == 50 else (1 << 64) - 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in substring_index.remove_repeats(df, batches=1).collect()}
+    assert got[1] == got[2] == 0 and got[3] <= 60
