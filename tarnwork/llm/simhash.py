@@ -13,9 +13,9 @@ No pair within the bound is missed, and none has to be sought among all others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import ceil, comb, log2
+from math import acos, ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -107,92 +107,82 @@ def exact_keys(nodes: DataFrame, n: int, distance: int) -> DataFrame:
 def links(keys: DataFrame, lanes: DataFrame, n_lanes: int, distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b) between nodes that share a key and are at most ``distance`` bits apart; enough of them to connect all such nodes.
 
-    lanes: (node, lanes binary). Buckets of one node go at once. A bucket over ``block`` is dealt into cells of two blocks.
-    Inside a task all pairs of a cell are compared, but only the links of a spanning forest come out.
+    lanes: (node, lanes binary). Buckets of one node go at once. A bucket over ``block`` is dealt into cells of two blocks. A cell is put in the
+    order of the pivot distance that spreads it most, and only neighbours within ``distance`` in it are looked at; the other
+    distances discard, the bits verify, and only the links of a spanning forest come out.
     """
-    return _compared(shared(keys).join(lanes, "node"), n_lanes, distance, block, "roots")
-
-
-def shared(keys: DataFrame) -> DataFrame:
-    """The rows (key, node) whose key has several nodes, and the number n of them."""
-    counts = stash(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
-    return keys.join(counts, "key")
-
-
-def _compared(members: DataFrame, n_lanes: int, distance: int, block: int, out: str, similarity: float = 0.0) -> DataFrame:
-    """(a, b) from members (key, node, n, lanes, and unless out is "roots" size and label) at most ``distance`` bits apart.
-
-    out: "roots" gives each node with the smallest that it is connected to, "tree" the links of a spanning forest with the
-    nearest pairs first, "apart" all pairs of different labels. Sizes must allow the similarity.
-    """
-    members = members if out != "roots" else members.withColumn("size", F.lit(0)).withColumn("label", F.lit(0).cast("long"))
+    members = shared(keys).join(lanes, "node")
     blocks = F.ceil(F.col("n") / block).cast("long")
     members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
     cells = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).cast("int").alias("side"), "node", "lanes", "size", "label")
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).cast("int")
+    cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), side.alias("side"), "node", "lanes")
     refs = pivots(n_lanes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        waiting = 0
-        for b in batches:
-            rest.append(b)
-            waiting += b.num_rows
-            if waiting < 100_000:
-                continue
-            t = pa.Table.from_batches(rest).combine_chunks()
-            cell = t["cell"].to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            if cut:
-                yield from compare(t.slice(0, cut))
-            rest = t.slice(cut).to_batches()
-            waiting = t.num_rows - cut
-        if rest:
-            yield from compare(pa.Table.from_batches(rest))
-
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, side, node, size, label = (t[c].to_numpy() for c in ("cell", "side", "node", "size", "label"))
-        own = np.frombuffer(b"".join(t["lanes"].to_pylist()), "<u8").reshape(len(cell), n_lanes)
-        table_ = np.stack([np.bitwise_count(own ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+        cell, side, node = (t[c].to_numpy() for c in ("cell", "side", "node"))
+        own = _lanes(t["lanes"], n_lanes)
+        far = np.stack([np.bitwise_count(own ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+        lead = int(np.argmax(far.std(0))) if len(far) else 0
+        order = np.lexsort((far[:, lead], cell))
+        cell, side, node, own, far = cell[order], side[order], node[order], own[order], far[order]
         end = np.searchsorted(cell, cell, side="right")
+        first, others = far[:, lead], [p for p in range(far.shape[1]) if p != lead]
         active, found = np.arange(len(cell)), []
-        for step in range(1, int((end - active).max()) if len(cell) else 0):
+        for step in range(1, len(cell)):
             active = active[end[active] > active + step]
+            active = active[first[active + step] - first[active] <= distance]  # in order, so what is too far now stays too far
+            if not len(active):
+                break
             a, b = active, active + step
             near = (side[a] != side[b]) | (side[a] < 0)
-            if out != "roots":
-                near &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-            if out == "apart":
-                near &= label[a] != label[b]
             a, b = a[near], b[near]
-            for p in range(table_.shape[1]):
-                near = np.abs(table_[a, p] - table_[b, p]) <= distance
+            for p in others:
+                near = np.abs(far[a, p] - far[b, p]) <= distance
                 a, b = a[near], b[near]
-            bits = np.bitwise_count(own[a] ^ own[b]).sum(1, dtype=np.int16)
-            near = bits <= distance
-            found.append((a[near], b[near], bits[near]))
+            near = np.bitwise_count(own[a] ^ own[b]).sum(1, dtype=np.int16) <= distance
+            found.append((node[a[near]], node[b[near]]))
             if sum(len(f[0]) for f in found) > 4_000_000:
-                found = [fewer(found)]
-                if out == "apart":
-                    yield rows(node, *found.pop())
+                found = [local_roots(*map(np.concatenate, zip(*found, strict=True)))]
         if found:
-            yield rows(node, *fewer(found))
+            yield _pairs(*local_roots(*map(np.concatenate, zip(*found, strict=True))))
 
-    def rows(node: np.ndarray, a: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node[x], pa.int64()) for x in (a, b)], names=["a", "b"])
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", compare), "a long, b long")
 
-    def fewer(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, bits = (np.concatenate([f[i] for f in found]) for i in range(3))
-        if out == "roots":
-            a, b = local_roots(a, b)
-            return a, b, np.zeros(len(a), np.int16)
-        if out == "tree":
-            kept = spanning(a, b, bits)
-            return a[kept], b[kept], bits[kept]
-        return a, b, bits
 
-    ordered = cells.repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "a long, b long")
+def _lanes(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, n)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """``work`` on about so many rows at a time, never on a part of a cell (of two blocks at most)."""
+    rest: list[pa.RecordBatch] = []
+    waiting = 0
+    for b in batches:
+        rest.append(b)
+        waiting += b.num_rows
+        if waiting < rows:
+            continue
+        t = pa.Table.from_batches(rest).combine_chunks()
+        cell = t[key].to_numpy()
+        cut = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0  # the last cell may go on in the next batch
+        if cut:
+            yield from work(t.slice(0, cut))
+        rest = t.slice(cut).to_batches()
+        waiting = t.num_rows - cut
+    if rest:
+        yield from work(pa.Table.from_batches(rest))
+    tidy()
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, ...) whose key has several nodes, and the number n of them."""
+    counts = stash(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    return keys.join(counts, "key")
 
 
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -242,11 +232,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Lanes over shingles of five words; they only discard.
-SHINGLE_LANES = 4
-#: Differing bits of these lanes up to which a pair is verified. At 0.8 a bit differs with probability 0.15 (0.19 for the smallest
-#: sets), so of 256 bits more than 88 differ less than once in 10^8 pairs; strangers differ in 128.
-DISCARD_BITS = 88
+#: Lanes of a fingerprint over shingles of five words, 64 bits each; they only discard. The first few of them choose what is verified first.
+SHINGLE_LANES, FIRST_LANES = 8, 4
+#: Share of bits that differ in two sets which are alike to 0.8, and in sets of fewer than 16 shingles (simulated: 0.152 and 0.188 at most).
+DIFFERING, DIFFERING_SMALL = 0.153, 0.19
+#: Of each bucket, neighbours in the order of a pivot distance that are looked at first; pairs of them up to so many differing bits are verified.
+NEIGHBOURS, FIRST_BITS = 16, 64
+#: Keys at the head of its list that a text carries into each bucket, to tell whether a pair also meets in an earlier one.
+HEAD = 4
 #: Documents whose shingles are counted to tell the common ones, and the most that are told; both only save work.
 SAMPLE, COMMON = 20_000, 1_000_000
 ADDED = ("group_id", "kept")
@@ -288,7 +281,7 @@ def common_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most:
 
 
 def shingle_keys(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (id, text) as (id, node, size, lanes, keys): a hash that stands for the set of shingles, their number, 4 lanes of 64 bits, and the rarest ``size - ceil(similarity * size) + 1`` of them."""
+    """docs (id, text) as (id, node, size, lanes, keys): a hash that stands for the set of shingles, their number, the lanes, and the rarest ``size - ceil(similarity * size) + 1`` of them."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(x.tobytes() for x in common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,24 +349,117 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     return out
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int = 5, distance: int = DISCARD_BITS, block: int = BLOCK) -> DataFrame:
+def discard_bits(size: np.ndarray, similarity: float, lanes: int = SHINGLE_LANES) -> np.ndarray:
+    """Differing bits up to which a pair, the smaller set of so many shingles, may be alike enough: six standard deviations and more above the mean at 0.8."""
+    share = np.where(size < 16, DIFFERING_SMALL, DIFFERING) * acos(2 * similarity / (1 + similarity)) / acos(2 * 0.8 / 1.8)
+    return 64 * lanes * share + 6.2 * np.sqrt(64 * lanes * share * (1 - share))
+
+
+def _likely(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): of each bucket, in blocks, the links of a forest of near neighbours. members: (key, node, n, size, lanes); nothing relies on their being complete."""
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / block).cast("long"))
+    cells = members.select(F.xxhash64("key", part).alias("cell"), "node", "size", F.substring("lanes", 1, 8 * FIRST_LANES).alias("lanes"))
+    refs = pivots(FIRST_LANES, 2)
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, node, size = (t[c].to_numpy() for c in ("cell", "node", "size"))
+        own, found = _lanes(t["lanes"], FIRST_LANES), []
+        for r in refs:
+            order = np.lexsort((np.bitwise_count(own ^ r).sum(1), cell))
+            for step in range(1, NEIGHBOURS + 1):
+                a, b = order[:-step], order[step:]
+                near = cell[a] == cell[b]
+                a, b = a[near], b[near]
+                near = similarity * np.maximum(size[a], size[b]) <= np.minimum(size[a], size[b])
+                a, b = a[near], b[near]
+                bits = np.bitwise_count(own[a] ^ own[b]).sum(1, dtype=np.int16)
+                near = bits <= FIRST_BITS
+                found.append((node[a[near]], node[b[near]], bits[near]))
+        a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        kept = spanning(a, b, bits)
+        yield _pairs(a[kept], b[kept])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", compare), "a long, b long")
+
+
+def _apart(members: DataFrame, own: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): all pairs of nodes with different labels that may be alike enough, each under one of the keys that they share.
+
+    members: (key, pos, node, label); own: (node, size, lanes, head). Of each bucket the commonest label's nodes are only compared with the others. A bucket
+    over ``block`` is dealt into cells: blocks of the others with each other and with blocks of the commonest.
+    """
+    counts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+    tops = stash(tops.filter("labels > 1").select("key", "top", "most", (F.col("n") - F.col("most")).alias("rest")), "mixed-keys")
+    dealt = members.join(tops, "key").join(own, "node").withColumn("common", F.col("label") == F.col("top"))
+    dealt = dealt.withColumn("bo", F.ceil(F.col("rest") / block).cast("int")).withColumn("bm", F.ceil(F.col("most") / block).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("common"), F.col("bm")).otherwise(F.col("bo"))).cast("int"))
+    cells = F.expr(f"""CASE WHEN rest + most <= {block} THEN array(struct(0 AS x, 0 AS y, -1 AS side))
+        WHEN common THEN transform(sequence(0, bo - 1), i -> struct(i AS x, bo + mine AS y, 1 AS side))
+        ELSE concat(transform(sequence(0, bo - 1), i -> struct(least(i, mine) AS x, greatest(i, mine) AS y, CASE WHEN i = mine THEN -1 WHEN i > mine THEN 0 ELSE 1 END AS side)),
+                    transform(sequence(0, bm - 1), j -> struct(mine AS x, bo + j AS y, 0 AS side))) END""")
+    cells = dealt.withColumn("cell", F.explode(cells))
+    cells = cells.select(F.xxhash64("key", "cell.x", "cell.y").alias("cell"), "cell.side", "common", "key", "pos", "node", "label", "size", "lanes", "head")
+    refs = pivots(SHINGLE_LANES, 4)
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((t["common"].to_numpy(), t["cell"].to_numpy()))
+        cell, side, key, pos, node, label, size = (t[c].to_numpy()[order] for c in ("cell", "side", "key", "pos", "node", "label", "size"))
+        other, bits = ~t["common"].to_numpy()[order], _lanes(t["lanes"], SHINGLE_LANES)[order]
+        head = np.frombuffer(b"".join(t["head"].to_pylist()), ">i8").reshape(-1, HEAD)[order].astype(np.int64)
+        far = np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+        bound = discard_bits(size, similarity)
+        end = np.searchsorted(cell, cell, side="right")
+        active, found, held = np.flatnonzero(other), [], 0
+        for step in range(1, len(cell)):
+            active = active[end[active] > active + step]
+            if not len(active):
+                break
+            a, b = active, active + step
+            near = ((side[a] != side[b]) | (side[a] < 0)) & (label[a] != label[b])
+            a, b = a[near], b[near]
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            least = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9)  # shingles that they must share
+            near = (small >= similarity * large - 1e-9) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
+            a, b = a[near], b[near]
+            most = np.maximum(bound[a], bound[b])
+            near = (np.abs(far[a] - far[b]) <= most[:, None]).all(1)
+            a, b, most = a[near], b[near], most[near]
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int16) <= most
+            a, b = a[near], b[near]
+            same = (head[a][:, :, None] == head[b][:, None, :]).any(2) & (head[a] != NO_KEY)
+            near = ~same.any(1) | (head[a, same.argmax(1)] == key[a])  # a pair that meets under an earlier key is left to that one
+            found.append((node[a[near]], node[b[near]]))
+            held += int(near.sum())
+            if held > 1_000_000:
+                yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+                found, held = [], 0
+        if found:
+            yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", compare), "a long, b long")
+
+
+#: Fills the head of a short list of keys.
+NO_KEY = -(1 << 63)
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """(node, label) of the groups connected by pairs of nodes at least ``similarity`` alike; no such pair is missed.
 
     classes: (node, rep, size, lanes, keys), keys being the first ``size - ceil(similarity * size) + 1`` shingles in an order
-    that all sets share: two sets with none of these in common can't be alike enough. Of each bucket the nearest pairs that would
-    connect it are verified first, then all pairs that are still in different groups.
+    that all sets share: two sets with none of these in common can't be alike enough, and the first that they share must come so early in
+    both that enough can follow. Likely pairs are verified first, which connects most groups; then all pairs that are still apart.
     """
-    members = stash(shared(classes.select(F.explode("keys").alias("key"), "node")), "members")
-    own = classes.select("node", "size", "lanes")
-    tree = _compared(members.join(own, "node").withColumn("label", F.lit(0).cast("long")), SHINGLE_LANES, distance, block, "tree", similarity)
-    first = verified(tree, classes, docs, similarity, shingle)
+    some = stash(shared(classes.select(F.posexplode("keys").alias("pos", "key"), "node")), "members")
+    head = F.concat(*(F.expr(f"unhex(lpad(hex(coalesce(try_element_at(keys, {i + 1}), {NO_KEY}L)), 16, '0'))") for i in range(HEAD)))
+    own = classes.select("node", "size", "lanes", head.alias("head"))
+    first = verified(_likely(some.select("key", "node", "n").join(own.select("node", "size", "lanes"), "node"), similarity, block), classes, docs, similarity, shingle)
     labels = components(first)
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    apart = _compared(named.join(mixed, "key").join(own, "node"), SHINGLE_LANES, distance, block, "apart", similarity)
-    second = verified(apart, classes, docs, similarity, shingle)
-    unstash(members)
-    return components(first.union(second)) if second.limit(1).count() else labels
+    named = some.select("key", "pos", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    second = verified(_apart(named, own, similarity, block), classes, docs, similarity, shingle)
+    unstash(some)
+    return components(first.union(second)) if not second.isEmpty() else labels
 
 
 def _remix(h: np.ndarray, lane: int) -> np.ndarray:
