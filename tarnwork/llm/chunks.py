@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import pick, stash, tidy
 
 WINDOW = 50
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 NO_ID = (1 << 63) - 1
 #: Two odd numbers whose powers weight the bytes of a hashed range.
 WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -164,7 +164,7 @@ class Chunk:
         ends = np.cumsum(sizes).tolist()
         self.docs = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         self.text, self.start, self.end, self.first = kind.symbols(self.docs, sizes)
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._sums: tuple[int, np.ndarray, np.ndarray] | None = None
 
     def __len__(self) -> int:
         return int(self.first[-1])
@@ -175,9 +175,10 @@ class Chunk:
 
     def hashes(self, at: np.ndarray, count: np.ndarray | int, weight: int = WEIGHTS[0]) -> np.ndarray:
         """Hash of ``count`` symbols from each of the places ``at``."""
-        if weight not in self._sums:
-            self._sums[weight] = weighted(self.text, weight)
-        sums, inverse = self._sums[weight]
+        if self._sums is None or self._sums[0] != weight:
+            self._sums = None
+            self._sums = weight, *weighted(self.text, weight)
+        _, sums, inverse = self._sums
         a, b = self.bounds(at, count)
         return mixed((sums[b] - sums[a]) * inverse[a])
 
@@ -189,30 +190,29 @@ class Chunk:
         n, k = len(self), self.kind.k
         none = np.zeros(0, np.int64)
         sizes = np.diff(self.first)
-        first = self.first[:-1][sizes >= WINDOW]
-        last = self.first[1:][sizes >= WINDOW] - WINDOW
+        first = self.first[:-1][sizes >= WINDOW]  # a document's first window begins a stretch
         if not len(first):
             return none.astype(np.uint64), none, none, none
-        spots, hashed = [], []
+        begins, hashed, before = [], [], -1
         step = 1 << 18
         for at in range(0, n - WINDOW + 1, step):
             h = self.hashes(np.arange(at, min(at + step + WINDOW - k, n - k + 1)), k)
             spot = _least(h, WINDOW - k + 1)
-            spots.append(spot + at)
-            hashed.append(h[spot])
-        spot, hash_ = np.concatenate(spots), np.concatenate(hashed)
-        valid = np.zeros(len(spot) + 1, np.int8)
-        valid[first] += 1
-        valid[last + 1] -= 1
-        valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
-        new = np.ones(len(spot), bool)
-        new[1:] = spot[1:] != spot[:-1]
-        new[first] = True
-        begin = np.flatnonzero(new & valid)
-        # A stretch ends where the next one begins or where its document's last window is.
+            new = np.ones(len(spot), bool)
+            new[1:] = spot[1:] != spot[:-1]
+            new[0] = spot[0] + at != before
+            new[first[np.searchsorted(first, at) : np.searchsorted(first, at + len(spot))] - at] = True
+            before = spot[-1] + at
+            begin = np.flatnonzero(new)
+            begins.append(begin + at)
+            hashed.append(h[spot[begin]])
+        begin, hash_ = np.concatenate(begins), np.concatenate(hashed)
         doc = self.doc_of(begin)
-        stop = np.minimum(np.append(begin[1:], len(spot)), self.first[doc + 1] - WINDOW + 1)
-        return hash_[begin], begin, stop - begin, doc
+        valid = begin <= self.first[doc + 1] - WINDOW
+        begin, hash_, doc = begin[valid], hash_[valid], doc[valid]
+        # A stretch ends where the next one begins or where its document's last window is.
+        stop = np.minimum(np.append(begin[1:], n), self.first[doc + 1] - WINDOW + 1)
+        return hash_, begin, stop - begin, doc
 
 
 def _least(h: np.ndarray, wide: int) -> np.ndarray:
