@@ -1,9 +1,9 @@
 """Packing documents into sequences: best fit, then a swap-based local search.
 
 Pieces are dealt into groups of bounded size by a hash; each group is packed by best fit (longest first) and improved by
-moving pieces, or exchanging one for one or two for one, from an underfull bin to fuller ones. Every accepted step raises
-the sum of squared fills, so bins empty one after the other. The emptiest bins of all groups are opened again and packed
-together in the next round, until one group is left.
+moving pieces, or exchanging one for one or two for one, between underfull bins. Every step raises the sum of squared
+fills, so bins empty one after the other. The underfull bins of all groups, an eighth of a group's at most (the emptiest), are opened
+again and packed together in the next round, until one group is left.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .tokens import default_path, pre_tokenizer
 
 SEQUENCE = 1024
 END_ID = 2
-#: Pieces packed by one task; bins of each group that are opened again in the next round.
-GROUP, REOPENED = 20_000, 48
+#: Pieces packed by one task.
+GROUP = 20_000
 
 
 def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> np.ndarray:
@@ -48,61 +48,81 @@ def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> np.ndarray:
     return out
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, size: int = SEQUENCE, patience: int = 64) -> np.ndarray:
-    """Empties underfull bins: from the emptiest, a piece or two go to a fuller bin, against none or one smaller piece.
-
-    A step takes ``gain`` tokens from the donor to a bin that is at least as full, so the sum of squared fills grows with
-    each step and the search ends. It stops at the least possible number of bins, or after ``patience`` donors in turn that
-    can't give anything.
+def _offers(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What an underfull bin can give: (tokens, bin, piece, second piece or -1), by tokens. Of pairs, one for each two lengths in a bin."""
+    mine = np.flatnonzero(fill[bins] < size)
+    mine = mine[np.lexsort((lengths[mine], bins[mine]))]
+    b, n = bins[mine], lengths[mine]
+    first = np.ones(len(mine), bool)
+    first[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+    second = np.zeros(len(mine), bool)  # two of a length may go together too
+    second[1:] = ~first[1:] & first[:-1]
+    few = mine[first | second]
+    own = bins[few]
+    partners = np.searchsorted(own, own, side="right") - np.arange(len(few)) - 1
+    i = np.repeat(np.arange(len(few)), partners)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners) + i + 1
+    none = np.full(len(mine), -1)
+    total, giver, one, two = (np.concatenate(x) for x in ((n, lengths[few[i]] + lengths[few[j]]), (b, own[i]), (mine, few[i]), (none, few[j])))
+    order = np.argsort(total, kind="stable")
+    return total[order], giver[order], one[order], two[order]
+
+
+def _steps(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """For each place that could take more (a piece of an underfull bin that would go back, or its room as it is) the largest offer from a bin
+    that is no fuller: (gain, taker, piece that goes back or -1, giver, piece, second piece or -1)."""
+    total, giver, one, two = _offers(lengths, bins, fill, size)
+    mine, underfull = np.flatnonzero(fill[bins] < size), np.flatnonzero((fill > 0) & (fill < size))
+    back = np.concatenate([mine, np.full(len(underfull), -1)])
+    taker = np.concatenate([bins[mine], underfull])
+    less = np.concatenate([lengths[mine], np.zeros(len(underfull), lengths.dtype)])
+    low = np.searchsorted(total, less, side="right")
+    high = np.searchsorted(total, less + size - fill[taker], side="right") - 1
+    found = np.full(len(less), -1)
+    left, tries = np.flatnonzero(high >= low), 0
+    at = high[left]
+    while len(left) and tries < 64:  # the largest offers of all places at once
+        good = (taker[left] != giver[at]) & (fill[taker[left]] >= fill[giver[at]])
+        found[left[good]] = at[good]
+        left, at, tries = left[~good], at[~good] - 1, tries + 1
+        left, at = left[at >= low[left]], at[at >= low[left]]
+    for t, top in zip(left.tolist(), at.tolist(), strict=True):  # all others of the few places that are left
+        rest = slice(int(low[t]), top + 1)
+        ok = np.flatnonzero((giver[rest] != taker[t]) & (fill[giver[rest]] <= fill[taker[t]]))
+        if len(ok):
+            found[t] = low[t] + ok[-1]
+    t = np.flatnonzero(found >= 0)
+    o = found[t]
+    return total[o] - less[t], taker[t], back[t], giver[o], one[o], two[o]
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, size: int = SEQUENCE) -> np.ndarray:
+    """Empties underfull bins: a piece or two go from one underfull bin to another that is at least as full, against none or one smaller piece.
+
+    Each step takes ``gain`` tokens to the fuller of two bins, so the sum of squared fills grows with it and the search ends: at the least
+    possible number of bins, or when no step between any two underfull bins is left. In a round all steps are looked for, and
+    those that raise the sum most are taken, each bin once.
     """
     bins = bins.copy()
-    if not len(bins):
-        return bins
     fill = np.bincount(bins, lengths).astype(np.int64)
-    least, used, stuck, failed = -(-int(lengths.sum()) // size), int((fill > 0).sum()), np.zeros(len(fill), bool), 0
-    while used > least and failed < patience:
-        open_bins = np.flatnonzero((fill > 0) & (fill < size) & ~stuck)
-        if len(open_bins) < 2:
+    least = -(-int(lengths.sum()) // size)
+    while int((fill > 0).sum()) > least:
+        gain, taker, back, giver, one, two = _steps(lengths, bins, fill, size)
+        if not len(gain):
             break
-        donor = int(open_bins[np.argmin(fill[open_bins])])
-        moved = False
-        while fill[donor]:
-            mine = np.flatnonzero(bins == donor)
-            fuller = (fill >= fill[donor]) & (np.arange(len(fill)) != donor)
-            offers = [(int(lengths[i]), (int(i),)) for i in mine]
-            offers += [(int(lengths[i] + lengths[j]), (int(i), int(j))) for k, i in enumerate(mine[:12]) for j in mine[k + 1 : 12]]
-            best = (0, None, None, None)
-            free = np.where(fuller & (fill > 0), size - fill, -1)
-            at = free[bins]
-            for total, which in dict((t, w) for t, w in sorted(offers, key=lambda o: -len(o[1]))).items():
-                if len(which) == 1:
-                    roomy = np.where(free >= total, free, size + 1)
-                    target = int(np.argmin(roomy))
-                    if roomy[target] <= size and total > best[0]:
-                        best = (total, which, target, None)
-                gain = total - lengths
-                gain = np.where((gain > 0) & (gain <= at), gain, 0)
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), which, int(bins[k]), k)
-            gain, which, target, back = best
-            if not gain:
-                break
-            moved = True
-            for i in which:
-                bins[i] = target
-            if back is not None:
-                bins[back] = donor
-            fill[target] += gain
-            fill[donor] -= gain
-        if fill[donor] == 0:
-            used, failed = used - 1, 0
-        else:
-            stuck[donor] = True
-            failed += 1
-        if moved:
-            stuck[fill < size] &= False
-            stuck[donor] = fill[donor] > 0
+        touched: set[int] = set()
+        for k in np.argsort(-gain * (fill[taker] - fill[giver] + gain), kind="stable").tolist():
+            to, of = int(taker[k]), int(giver[k])
+            if to in touched or of in touched:
+                continue
+            touched |= {to, of}
+            bins[one[k]] = to
+            if two[k] >= 0:
+                bins[two[k]] = to
+            if back[k] >= 0:
+                bins[back[k]] = of
+            fill[to] += gain[k]
+            fill[of] -= gain[k]
     return bins
 
 
@@ -168,7 +188,7 @@ def _filler(level: int, last: bool, size: int):
         again = np.zeros(len(fills), bool)
         if not last:
             # An eighth of the bins at most, so that every round has fewer pieces.
-            again[np.argsort(fills, kind="stable")[: min(REOPENED, len(fills) // 8)]] = True
+            again[np.argsort(fills, kind="stable")[: len(fills) // 8]] = True
             again &= fills < size
         return pd.DataFrame({"_row": rows["_row"], "length": lengths, "sequence_id": (level << 48) + (int(key[0]) << 20) + bins, "offset": offsets, "again": again[bins]})
 
@@ -208,4 +228,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENC
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1,024 tokens of ``byte_bpe_50k.json``, with id 2 at each document's end.
+
+    doc_id, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long. Defined cases: as for ``pack_documents``.
+    """
     return pack_documents(table(spark, sf_dir, "documents"))
