@@ -1,10 +1,12 @@
-"""Toxicity by two class-conditional Kneser-Ney models of spelling.
-
-Each class, toxic and ordinary, gets an interpolated Kneser-Ney model over the characters of words (order ``ORDER``, counts of
-distinct left contexts below the highest order). Orders up to ``SHARED`` are counted over both classes together, so a rare
-expression falls back to counts that the classes share and says little either way, while one whose longer strings are typical
-of a class stands out even with an ending that was never seen. A text's score is the mean, over its words, of the
-difference between the two log-likelihoods, put through a logistic function fitted on labelled rows that the counts didn't use.
+"""Toxicity by class-conditional Kneser-Ney models of words and of their spelling.
+
+Each class, toxic and ordinary, gets two interpolated Kneser-Ney models. One is over words, each counted once for each document of the
+class that has it; its lower order is counted over both classes together, so a rare word falls back to a count that the classes share.
+The other is over the characters of these words (order ``ORDER``, counts of distinct left contexts below the highest order); its orders up
+to ``SHARED`` are shared too. So an expression speaks for a class as far as that class has it in several documents, and one never seen
+before still does by its stem. A text is judged by two log-likelihood ratios that don't depend on its length: that of its most toxic
+word, and the share of its words whose spelling is the toxic model's. A logistic function of the two, fitted on labelled rows that the
+counts didn't use, gives the score.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,8 @@ from .common import column, pick, replace_columns, stash, table, tidy
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 #: Probability of a character that was never seen.
 UNSEEN = 1 / 3000
+#: A word's spelling counts as toxic in part from the first log ratio on, wholly from the second.
+LEAN_FROM, LEAN_WHOLLY = 2.0, 4.0
 #: Most grams and contexts that are broadcast (12 bytes each), the commonest; words that need others get them by a join.
 MODEL_ROWS = 6_000_000
 #: Rows that the logistic function is fitted on, at most; labels are broadcast up to this many rows, else shuffled.
@@ -47,13 +53,13 @@ def words_of(text: str) -> list[str]:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, c0, c1): occurrences in ordinary and toxic texts; labelled: (toxic, text)."""
+    """(word, c0, c1): ordinary and toxic texts that have the word; labelled: (toxic, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
         for b in batches:
             for y, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held[y].update(words_of(x.as_py() or ""))
+                held[y].update(set(words_of(x.as_py() or "")))
                 if len(held[0]) + len(held[1]) > 300_000:
                     yield rows(held)
                     held = (Counter(), Counter())
@@ -67,6 +73,21 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("toxic", "text").mapInArrow(count, "word string, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
+def word_ratios(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(kind, gram, value, n) with kind 'w': the log ratio of each word's probabilities in the two classes, over a lower order that they share."""
+    kinds = [F.sum(F.expr(f"cast(c{y} > 0 AS long)")).alias(f"u{y}") for y in (0, 1)]
+    sums = words.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), *kinds).first()
+    total = (sums.t0 or 0) + (sums.t1 or 0)
+
+    def p(y: int) -> Column:
+        shared = (F.col("c0") + F.col("c1")) / F.lit(float(total or 1))
+        if not sums[f"t{y}"]:
+            return shared
+        return (F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) + discount * sums[f"u{y}"] * shared) / sums[f"t{y}"]
+
+    return words.select(F.lit("w").alias("kind"), F.col("word").alias("gram"), F.log(p(1) / p(0)).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
+
+
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n0, n1): counts of the character strings of length ``order``; \\x02 pads a word's start, \\x03 ends it."""
 
@@ -92,8 +113,11 @@ def _contexts(grams: DataFrame) -> DataFrame:
     return grams.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), *kinds)
 
 
-def kneser_ney(top: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT) -> DataFrame:
-    """(kind, gram, value, n) of the two models together: kind 'r' has the log ratio of a string's probabilities, kind 'b' that of the weights with which a context falls back."""
+def probabilities(top: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on: (gram, p0, p1, n) of the strings that occur, and (ctx, w0, w1, n): the weights with which a context falls back.
+
+    A character that no text has gets ``UNSEEN`` at the bottom, so over an alphabet of 1 / UNSEEN characters all add up to one.
+    """
     levels = {order: stash(top, f"grams{order}")}
     for n in range(order - 1, 0, -1):
         up = levels[n + 1]
@@ -116,16 +140,22 @@ def kneser_ney(top: DataFrame, order: int = ORDER, shared: int = SHARED, discoun
             seen = (F.greatest(F.col(f"n{y}") - discount, F.lit(0.0)) + discount * F.col(f"u{y}") * F.col(f"q{y}")) / F.col(f"t{y}")
             return F.when(F.col(f"t{y}") > 0, seen).otherwise(F.col(f"q{y}"))
 
-        below = stash(rows.select("gram", p(0).alias("p0"), p(1).alias("p1"), (F.col("n0") + F.col("n1")).alias("n")), f"p{n}")
-        out.append(below.select(F.lit("r").alias("kind"), "gram", F.log(F.col("p1") / F.col("p0")).alias("value"), "n"))
-
         def weight(y: int) -> Column:
             return F.when(F.col(f"t{y}") > 0, discount * F.col(f"u{y}") / F.col(f"t{y}")).otherwise(1.0)
 
-        out.append(ctx.select(F.lit("b").alias("kind"), F.col("ctx").alias("gram"), F.log(weight(1) / weight(0)).alias("value"), (F.col("t0") + F.col("t1")).alias("n")))
-    model = out[0]
-    for o in out[1:]:
-        model = model.unionByName(o)
+        below = stash(rows.select("gram", p(0).alias("p0"), p(1).alias("p1"), (F.col("n0") + F.col("n1")).alias("n")), f"p{n}")
+        out.append((below, ctx.select("ctx", weight(0).alias("w0"), weight(1).alias("w1"), (F.col("t0") + F.col("t1")).alias("n"))))
+    return out
+
+
+def kneser_ney(top: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT) -> DataFrame:
+    """(kind, gram, value, n) of the two models together: kind 'r' has the log ratio of a string's probabilities, kind 'b' that of the weights with which a context falls back."""
+    model = None
+    for seen, fallback in probabilities(top, order, shared, discount):
+        ratios = seen.select(F.lit("r").alias("kind"), "gram", F.log(F.col("p1") / F.col("p0")).alias("value"), "n")
+        weights = fallback.select(F.lit("b").alias("kind"), F.col("ctx").alias("gram"), F.log(F.col("w1") / F.col("w0")).alias("value"), "n")
+        both = ratios.unionByName(weights)
+        model = both if model is None else model.unionByName(both)
     return model
 
 
@@ -143,10 +173,18 @@ def _at(codes: np.ndarray, at: np.ndarray, n: int, kind: int) -> np.ndarray:
     return out
 
 
-def _hash_all(grams: list[str], kinds: list[int]) -> np.ndarray:
+def _hash_words(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode(), 2) for w in words], np.uint64)
+
+
+def _hash_all(grams: list[str], kinds: list[str]) -> np.ndarray:
+    """Keys of rows of the model: kind 'r' for strings, 'b' for contexts, 'w' for words."""
     out, groups = np.empty(len(grams), np.uint64), {}
+    words = [i for i, k in enumerate(kinds) if k == "w"]
+    out[words] = _hash_words([grams[i] for i in words])
     for i, (g, k) in enumerate(zip(grams, kinds, strict=True)):
-        groups.setdefault((len(g), k), []).append(i)
+        if k != "w":
+            groups.setdefault((len(g), int(k == "b")), []).append(i)
     for (n, k), which in groups.items():
         codes = np.frombuffer("".join(grams[i] for i in which).encode("utf-32-le"), np.uint32)
         out[which] = _at(codes, np.arange(len(which)) * n, n, k)
@@ -157,7 +195,9 @@ class Speller:
     """Log-likelihood ratios of words, from sorted hashes and values (12 bytes a row)."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, order: int = ORDER):
-        self.keys, self.values, self.order, self.known = keys, values, order, {}
+        self.keys, self.values, self.order = keys, values, order
+        self.strong: dict[str, float] = {}
+        self.lean: dict[str, float] = {}
 
     def _look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -185,7 +225,16 @@ class Speller:
                 lacks = ~self._look(h)[0]
                 keys.append(h[lacks])
                 places.append(owner[lacks])
-        return np.concatenate(keys), np.concatenate(places)
+        lacks = ~self._look(h := _hash_words(words))[0]
+        return np.concatenate([*keys, h[lacks]]), np.concatenate([*places, np.flatnonzero(lacks)])
+
+    def strength(self, words: list[str]) -> np.ndarray:
+        """The words' own log ratios; 0 for a word that no labelled text has."""
+        return self._look(_hash_words(words))[1].astype(np.float64)
+
+    def leaning(self, words: list[str]) -> np.ndarray:
+        """How far each word's spelling is the toxic model's, from 0 to 1."""
+        return np.clip((self.score(words) - LEAN_FROM) / (LEAN_WHOLLY - LEAN_FROM), 0, 1)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Sum over a word's characters: the ratio of the longest known string that ends there, after the weights of the contexts fallen back from."""
@@ -203,20 +252,22 @@ class Speller:
             total[left] += self._look(_at(codes, at, n - 1, 1))[1]
         return np.bincount(owner, total, len(words))
 
-    def mean(self, text: str) -> float:
+    def features(self, text: str) -> tuple[float, float]:
+        """The strongest word's log ratio, and the (square root of the) share of words whose spelling leans to the toxic side."""
         words = words_of(text)
         if not words:
-            return 0.0
-        known = self.known
-        try:
-            return sum(map(known.__getitem__, words)) / len(words)
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for i in range(0, len(new), 50_000):
-                known.update(zip(new[i : i + 50_000], self.score(new[i : i + 50_000]).tolist(), strict=True))
-            return sum(map(known.__getitem__, words)) / len(words)
+            return 0.0, 0.0
+        distinct, strong, lean = set(words), self.strong, self.lean
+        new = [w for w in distinct if w not in strong]
+        if len(strong) + len(new) > REMEMBERED:
+            strong.clear()
+            lean.clear()
+            new = list(distinct)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            strong.update(zip(part, self.strength(part).tolist(), strict=True))
+            lean.update(zip(part, self.leaning(part).tolist(), strict=True))
+        return max(map(strong.__getitem__, distinct)), sqrt(sum(map(lean.__getitem__, words)) / len(words))
 
 
 class Both(Speller):
@@ -232,15 +283,15 @@ class Both(Speller):
 
 
 class Model:
-    """What scoring needs: the sent table, and the logistic function's slope and intercept."""
+    """What scoring needs: the sent table, and the logistic function's slopes and intercept."""
 
-    def __init__(self, spark: SparkSession, rows: pa.Table, slope: float = 1.0, intercept: float = 0.0, rest: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, rows: pa.Table, rest: DataFrame | None = None):
         order = np.argsort(keys := rows["key"].to_numpy().view(np.uint64), kind="stable")
         self.sent = spark.sparkContext.broadcast((keys[order].tobytes(), rows["value"].to_numpy().astype(np.float32)[order].tobytes()))
-        self.slope, self.intercept, self.rest = slope, intercept, rest
+        self.slopes, self.intercept, self.rest = np.ones(2), 0.0, rest
 
     def _word_scores(self, texts: DataFrame) -> DataFrame:
-        """(word, score) of the distinct words of the column ``text``, with the rows of ``rest``; the same as from one table of all rows."""
+        """(word, strong, lean) of the distinct words of the column ``text``, with the rows of ``rest``; the same as from one table of all rows."""
         sent = self.sent
         words = stash(word_counts(texts.select(F.lit(0).alias("toxic"), "text")).select("word"), "words")
 
@@ -260,12 +311,13 @@ class Model:
                 extra = [c.flatten().to_numpy(zero_copy_only=False) for c in b.columns[1:]]
                 new, at = np.unique(extra[0].astype(np.int64).view(np.uint64), return_index=True)
                 both = Both(Speller(keys, values), Speller(new, extra[1][at].astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both.score(b.column(0).to_pylist()), pa.float64())], names=["word", "score"])
+                own = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both.strength(own), pa.float64()), pa.array(both.leaning(own), pa.float64())], names=["word", "strong", "lean"])
 
-        return words.join(more, "word", "left").select("word", "keys", "values").mapInArrow(score, "word string, score double")
+        return words.join(more, "word", "left").select("word", "keys", "values").mapInArrow(score, "word string, strong double, lean double")
 
-    def _joined_means(self, docs: DataFrame) -> DataFrame:
-        """``means`` where not all rows are broadcast: distinct words are scored once each and joined to the documents that hold them."""
+    def _joined_features(self, docs: DataFrame) -> DataFrame:
+        """``features`` where not all rows are broadcast: distinct words are scored once each and joined to the documents that hold them."""
         rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         scores = stash(self._word_scores(rows), "word-scores")
 
@@ -280,25 +332,25 @@ class Model:
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["_row", "word", "n"])
 
         held = rows.select("_row", "text").mapInArrow(count, "_row long, word string, n long")
-        means = held.join(scores, "word").groupBy("_row").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("_mean"))
-        return rows.join(means, "_row", "left").withColumn("_mean", F.coalesce("_mean", F.lit(0.0))).select(*docs.columns, "_mean")
+        found = held.join(scores, "word").groupBy("_row").agg(F.max("strong").alias("_strong"), F.sqrt(F.sum(F.col("n") * F.col("lean")) / F.sum("n")).alias("_lean"))
+        return rows.join(found, "_row", "left").select(*docs.columns, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("_strong", "_lean")))
 
-    def means(self, docs: DataFrame) -> DataFrame:
-        """docs with the column ``_mean``; docs must have the columns text and any others."""
+    def features(self, docs: DataFrame) -> DataFrame:
+        """docs with the columns ``_strong`` and ``_lean``; docs must have the column text and any others."""
         if self.rest is not None:
-            return self._joined_means(docs)
+            return self._joined_features(docs)
         sent, at = self.sent, docs.columns.index("text")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, values = sent.value
             speller = Speller(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32))
             for b in batches:
-                means = [speller.mean(x.as_py() or "") for x in b.column(at)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(means, pa.float64())], names=[*b.schema.names, "_mean"])
-            speller.known.clear()
+                found = [speller.features(x.as_py() or "") for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], names=[*b.schema.names, "_strong", "_lean"])
             tidy()
 
-        return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_mean", T.DoubleType())]))
+        added = [T.StructField("_strong", T.DoubleType()), T.StructField("_lean", T.DoubleType())]
+        return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
 
 
 def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> Model:
@@ -308,7 +360,8 @@ def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -
     """
     spark = labelled.sparkSession
     words = word_counts(labelled.filter("fit"))
-    model = kneser_ney(gram_counts(words, order), order)
+    words = stash(words, "labelled-words")
+    model = kneser_ney(gram_counts(words, order), order).unionByName(word_ratios(words))
     model = stash(model, "kneser-ney")
     n, rest = model.count(), None
     if n > model_rows:
@@ -324,32 +377,39 @@ def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds, grams, values = (c.to_pylist() for c in b.columns)
-            keys = _hash_all(grams, [int(k == "b") for k in kinds])
+            keys = _hash_all(grams, kinds)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values, pa.float32())], names=["key", "value"])
 
     hash_rows = lambda m: m.select("kind", "gram", "value").mapInArrow(hashed, "key long, value float")
     fitted = Model(spark, hash_rows(model).toArrow(), rest=None if rest is None else stash(hash_rows(rest), "rare-grams"))
     held = labelled.filter(~F.col("fit")).select("toxic", "text")
-    sample = fitted.means(held.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS) if held.count() > CALIBRATION_ROWS else held).select("_mean", "toxic").toArrow()
-    fitted.slope, fitted.intercept = logistic(sample["_mean"].to_numpy(), sample["toxic"].to_numpy().astype(float))
+    sample = held.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS) if held.count() > CALIBRATION_ROWS else held
+    sample = fitted.features(sample).select("_strong", "_lean", "toxic").toArrow()
+    fitted.slopes, fitted.intercept = logistic(np.stack([sample["_strong"].to_numpy(), sample["_lean"].to_numpy()], 1), sample["toxic"].to_numpy().astype(float))
     return fitted
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept of a lightly damped logistic regression, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (not negative) and intercept of a lightly damped logistic regression, by Newton's method."""
     if not len(x) or y.min() == y.max():
-        return 1.0, -1.0
-    mid, wide = x.mean(), x.std() or 1.0
-    z = np.c_[(x - mid) / wide, np.ones(len(x))]
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-9:
-            break
-    slope = max(w[0], 0.0) / wide
-    return float(slope), float(w[1] - slope * mid)
+        return np.ones(x.shape[1]), -8.0
+    mid, wide = x.mean(0), x.std(0)
+    wide[wide == 0] = 1.0
+    use = np.ones(x.shape[1], bool)
+    while True:
+        z = np.c_[((x - mid) / wide)[:, use], np.ones(len(x))]
+        w = np.zeros(z.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+            w += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-9:
+                break
+        if (w[:-1] >= 0).all():
+            slopes = np.zeros(x.shape[1])
+            slopes[use] = w[:-1] / wide[use]
+            return slopes, float(w[-1] - slopes @ mid)
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False  # more of either never makes a text less toxic
 
 
 def fold(doc_id: Column) -> Column:
@@ -379,8 +439,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rest = replace_columns(docs, "score", "predicted")
     names, at = rest.columns, column(rest, text_col)
     plain = rest.toDF(*[f"c{i}" if i != at else "text" for i in range(len(names))])
-    value = 1 / (1 + F.exp(-(F.col("_mean") * model.slope + model.intercept)))
-    out = model.means(plain).withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_mean")
+    value = 1 / (1 + F.exp(-(F.col("_strong") * float(model.slopes[0]) + F.col("_lean") * float(model.slopes[1]) + model.intercept)))
+    out = model.features(plain).withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_strong", "_lean")
     return out.toDF(*names, "score", "predicted")
 
 
