@@ -1,8 +1,9 @@
-"""Token counts without ids: pieces are counted once for each distinct pre-token, then joined to the documents.
+"""Token counts without ids: pieces are counted once for each distinct pre-token, then joined to the documents' frequencies.
 
-The distinct pre-tokens and their frequencies come from all documents. The commonest, up to ``DICTIONARY`` of them,
-reach the documents as a broadcast whose size that number bounds; the others, each rare by construction, are joined by a
-shuffle. So a word that is everywhere is never shuffled, and a vocabulary of any size is still counted whole.
+Each text is split once, into the frequencies of its pre-tokens. Most of these are common words, whose pieces the task already has: a
+dictionary of words that a sample repeats, bounded in words and in bytes, with their pieces counted once each. Which words it holds only decides
+where a word is joined, never a count. All other pre-tokens go on as (row, word, frequency); their distinct words are counted by the
+library once each and joined back by a shuffle. Frequencies times pieces, summed, are the document's tokens.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, pick, replace_columns, stash, table
+from .common import column, pick, prepare, replace_columns, stash, table, tidy
 from .tokens import default_path, pre_tokenizer
 
-DICTIONARY = 400_000
+#: Words and characters in the dictionary, at most, and texts of the sample that it is taken from.
+DICTIONARY, DICTIONARY_CHARS, SAMPLE = 400_000, 16_000_000, 20_000
 #: A task hands its word counts on when it holds so many words or characters.
 HELD_WORDS, HELD_CHARS = 300_000, 64_000_000
-#: Pre-tokens longer than this never enter the dictionary, which so has a bound in bytes too.
-LONGEST = 64
+#: A pre-token longer than this isn't put into the dictionary.
+LONGEST = 4096
 
 #: The dictionary of this worker, by the broadcast that it came with.
 _loaded: dict[str, dict[str, int]] = {}
@@ -54,29 +55,33 @@ def _word_rows(held: Counter) -> pa.RecordBatch:
 
 
 def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, pieces): the library's number of tokens for each word."""
+    """(word, pieces): the library's number of tokens for each word."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pre_tokenizer(path).ids
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, ids(b.column(0).to_pylist())), pa.int64())], names=["word", "n", "pieces"])
-
-    return words.mapInArrow(pieces, "word string, n long, pieces long")
-
-
-def commonest(pieces: DataFrame, most: int = DICTIONARY) -> int:
-    """The frequency from which on words number ``most`` at most; frequencies are looked at in steps of an eighth of a doubling."""
-    step = F.floor(F.log2("n") * 8).alias("step")
-    steps = sorted(pieces.filter(F.length("word") <= LONGEST).groupBy(step).count().collect(), reverse=True)
-    total, least = 0, None
-    for r in steps:
-        if (total := total + r["count"]) > most:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids(b.column(0).to_pylist())), pa.int64())], names=["word", "pieces"])
+
+    return words.select("word").mapInArrow(pieces, "word string, pieces long")
+
+
+def dictionary(texts: DataFrame, path: str, most: int = DICTIONARY, chars: int = DICTIONARY_CHARS, sample: int = SAMPLE) -> pa.Table:
+    """(word, pieces) of the commonest words of a sample, as many as fit. Frequencies are looked at in steps of an eighth of a doubling."""
+    rate = max(1, texts.count() // sample)
+    some = texts.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(rate)) == 0)
+    found = pre_token_counts(some, path).filter((F.col("n") > 1) & (F.length("word") <= LONGEST))
+    found = stash(found.select("word", F.length("word").alias("chars"), F.floor(F.log2("n") * 8).cast("int").alias("step")), "sampled-words")
+    words = held = 0
+    least = None
+    for r in sorted(found.groupBy("step").agg(F.count("*").alias("words"), F.sum("chars").alias("chars")).collect(), reverse=True):
+        words, held = words + r.words, held + r.chars
+        if words > most or held > chars:
             break
-        least = r["step"]
-    return -1 if least is None else int(least)
+        least = r.step
+    return count_pieces(found.filter(F.col("step") >= least if least is not None else F.lit(False)), path).toArrow()
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, text_col: str = "text", words: int = DICTIONARY) -> DataFrame:
     """All columns of ``docs`` but the text, plus n_bytes, n_tokens and over_limit.
 
     Defined cases: a null text counts as empty (0 bytes, 0 tokens); special strings inside texts are what the library
@@ -90,10 +95,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, tex
     plain = rest.toDF(*[f"c{i}" if i != at else "text" for i in range(len(rest.columns))])
     kept = [c for c in plain.columns if c != "text"]
 
-    pieces = stash(count_pieces(pre_token_counts(plain, path), path), "pieces")
-    least = commonest(pieces, dictionary)
-    common = (F.floor(F.log2("n") * 8) >= least) & (F.length("word") <= LONGEST) if least >= 0 else F.lit(False)
-    known = pieces.filter(common).select("word", "pieces").toArrow()
+    prepare(docs.sparkSession)
+    known = dictionary(plain.select("text"), path, words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, known.schema) as w:
         w.write_table(known)
@@ -105,26 +108,35 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, tex
             _loaded.clear()
             t = pa.ipc.open_stream(sent.value).read_all()
             _loaded[key] = dict(zip(t["word"].to_pylist(), t["pieces"].to_pylist(), strict=True))
-        get, has = _loaded[key].get, _loaded[key].__contains__
+        get = _loaded[key].get
         for b in batches:
-            n_bytes, n_known, rare = [], [], []
+            n_bytes, n_known, rare, often = [], [], [], []
             for x in b.column(b.schema.get_field_index("text")):
-                text = x.as_py() or ""
-                words = split(text)
+                text, total, others = x.as_py() or "", 0, {}
+                for word, n in Counter(split(text)).items():
+                    if (pieces := get(word)) is None:
+                        others[word] = n
+                    else:
+                        total += n * pieces
                 n_bytes.append(len(text.encode()))
-                n_known.append(sum(map(get, words, repeat(0))))
-                rare.append(list(filterfalse(has, words)))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n_bytes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(rare, pa.list_(pa.string()))], names=[*kept, "n_bytes", "known", "rare"])
+                n_known.append(total)
+                rare.append(list(others))
+                often.append(list(others.values()))
+            cols = [*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n_bytes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(rare, pa.list_(pa.string())), pa.array(often, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "n_bytes", "known", "rare", "often"])
+        tidy()
 
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "n_bytes long", "known long", "rare array<string>"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "n_bytes long", "known long", "rare array<string>", "often array<long>"])
     counted = stash(plain.mapInArrow(count, schema).withColumn("_row", F.monotonically_increasing_id()), "counted")
-    others = counted.select("_row", F.explode("rare").alias("word")).join(pieces.filter(~common).select("word", "pieces"), "word")
-    more = others.groupBy("_row").agg(F.sum("pieces").alias("more"))
+    each = counted.select("_row", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("_row", F.col("w.rare").alias("word"), F.col("w.often").alias("n"))
+    pieces = stash(count_pieces(each.groupBy("word").agg(F.count("*")), path), "pieces")
+    more = each.join(pieces, "word").groupBy("_row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     total = F.col("known") + F.coalesce("more", F.lit(0))
-    out = counted.drop("rare").join(more, "_row", "left").select(*kept, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    out = counted.drop("rare", "often").join(more, "_row", "left").select(*kept, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
     return out.toDF(*names, "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every whole text by ``byte_bpe_50k.json``: doc_id, n_bytes long, n_tokens long, over_limit boolean. Defined cases: as for ``count_tokens``."""
     return count_tokens(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))

@@ -30,8 +30,8 @@ def test_texts(tok, text):
 
 def test_counts(awkward, awkward_rows, tok):
     want = sorted((str(i), len((t or "").encode()), len(tok.library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in awkward_rows)
-    for dictionary in (token_counts.DICTIONARY, 100, 0):
-        got = token_counts.count_tokens(awkward, dictionary=dictionary)
+    for words in (token_counts.DICTIONARY, 5, 0):
+        got = token_counts.count_tokens(awkward, words=words)
         assert got.columns == ["doc_id", "TEXT", "kept", "score", "shard", "group_id", "n_bytes", "n_tokens", "over_limit"]
         rows = got.collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == want
