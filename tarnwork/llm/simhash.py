@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import column, pick, replace_columns, stash, table, tidy, unstash
 from .components import components, local_roots
-from .exact_dedup import bitmap_of, in_bitmap
+from .exact_dedup import flagged
 
 SEED = 42
 #: Spread references whose distances are compared before verification.
@@ -207,7 +207,8 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def link_components(prints: DataFrame, distance: int = 3) -> DataFrame:
     """prints (id, fp), written, as (id, fp, component): the smallest id reachable over links of at most ``distance`` bits.
 
-    Only distinct fingerprints are compared. An id may repeat; null ids take part and are nobody's component unless all are null.
+    Only distinct fingerprints are compared. Defined cases: an id may repeat, each of its rows has its own fingerprint's component; null ids
+    take part and are nobody's component unless all are null; equal smallest ids are one component's name; no rows give no rows.
     """
     classes = stash(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("rep")), "classes")
     nodes = classes.select("node")
@@ -225,6 +226,11 @@ def _spread(prints: DataFrame, classes: DataFrame, labels: DataFrame, key: str)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest doc_id reachable over at most 3 differing bits: doc_id, fingerprint string, component_id.
+
+    Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; repeated rows are repeated; as for
+    ``link_components`` otherwise.
+    """
     docs = pick(table(spark, sf_dir, "documents"), id="doc_id", text="text")
     linked = link_components(stash(fingerprints(docs), "prints"))
     return linked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -326,11 +332,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     """The pairs (a, b) of nodes whose sets are at least ``similarity`` alike, written.
 
     docs: (id, text). Only texts of the pairs' nodes are read again, of equal sets the one with the id ``rep``; they are told by a
-    bitmap of fixed size, and what it lets through by chance goes in the join.
+    bitmap of bounded size, and what it lets through by chance goes in the join.
     """
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node"), "wanted")
-    read = some_sets(in_bitmap(docs, bitmap_of(wanted.select(F.xxhash64("rep").alias("key"))), F.xxhash64("id"), "_wanted").filter("_wanted"), shingle).join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
+    reps = stash(wanted.select(F.xxhash64("rep").alias("key")).distinct(), "wanted-ids")
+    read = some_sets(flagged(docs, reps, F.xxhash64("id"), "_wanted").filter("_wanted"), shingle).join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
     read = stash(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "compared-sets")
     both = pairs.join(read.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(read.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
