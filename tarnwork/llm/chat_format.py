@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, prepare, table
 
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
 SHOWN = {"user": "User", "assistant": "Assistant", "system": "System"}
@@ -69,6 +69,38 @@ def _body_end(text: str, at: int) -> int:
     raise NotInGrammar(at)
 
 
+class Reader:
+    """Reads a conversation's text as it comes, in pieces that needn't end where turns do; holds no more than the unfinished turn.
+
+    take() takes the next piece. under() gives the text between two places of the conversation that are still held. turns() gives, and lets go
+    of, the turns that are complete: role, body, and where the body stands in the conversation.
+    """
+
+    def __init__(self):
+        self.held, self.begin = "", 0
+
+    def take(self, piece: str) -> None:
+        self.held += piece
+
+    def turns(self) -> Iterator[tuple[str, str, int, int]]:
+        at = 0
+        while at < len(self.held):
+            try:
+                role, body, start, end = next(parse(self.held[at:] if at else self.held))
+            except NotInGrammar:
+                break  # so far: the rest may follow
+            yield role, body, self.begin + at + start, self.begin + at + end
+            at += end + len(END)
+        self.held, self.begin = self.held[at:], self.begin + at
+
+    def under(self, start: int, end: int) -> str:
+        return self.held[start - self.begin : end - self.begin]
+
+    def close(self) -> None:
+        if self.held:
+            raise NotInGrammar(self.begin)
+
+
 def _show(role: str, level: int) -> str:
     if role in SHOWN:
         return SHOWN[role]
@@ -106,6 +138,7 @@ def format_turns(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
     long, is ever gathered here. Defined cases: a null text or role counts as empty; a null turn comes first; rows without
     conv_id form one conversation; repeated rows stay repeated; an empty table gives an empty table; other columns are left out.
     """
+    prepare(turns.sparkSession)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,9 +159,12 @@ DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """Reads formatted conversations back: one row for each, from its segments alone.
+    """Reads formatted conversations back, each from its text alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Segments stream through in order, so a conversation of any length takes the memory of one turn.
+    The segments of a conversation are put together again and parsed as one text; where its turns end is for the parser to find. The text
+    under the loss mask is cut out of that same text. Segments stream through in order, so a conversation of any length takes the
+    memory of one turn. Defined cases: repeated segments count as often as they are there; a null conv_id is a conversation; a text that
+    isn't in the grammar is an error; no rows give no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +172,16 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         state = None
         for b in batches:
             for conv, segment, start, end in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if state is None or state[0] != conv:
+                if state is None or state.conv != conv:
                     if state is not None:
-                        done.append(_close(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[5] += len(segment)
-                for role, body, _, _ in parse(segment):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{body}\n".encode())
-                if start is not None:
-                    loss = unescape(segment[start:end])
-                    state[3] += len(loss)
-                    state[4].update(loss.encode())
+                        done.append(state.close())
+                    state = _Conversation(conv)
+                state.add(segment, start, end)
             if len(done) >= 5000:
                 yield _rows(done, kind)
                 done = []
         if state is not None:
-            done.append(_close(state))
+            done.append(state.close())
         if done:
             yield _rows(done, kind)
 
@@ -163,8 +192,30 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(read, f"conv_id {dict(formatted.dtypes)['conv_id']}, {DIGEST}")
 
 
-def _close(state: list) -> tuple:
-    return state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]
+class _Conversation:
+    """What is read back from a conversation's text, piece by piece."""
+
+    def __init__(self, conv):
+        self.conv, self.reader = conv, Reader()
+        self.turns, self.chars, self.loss_chars = 0, 0, 0
+        self.digest, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, segment: str, start: int | None, end: int | None) -> None:
+        """start, end: the part of the segment under the loss mask, moved here to where the conversation's text has come to."""
+        mask = None if start is None else (self.chars + start, self.chars + end)
+        self.chars += len(segment)
+        self.reader.take(segment)
+        if mask is not None:
+            masked = unescape(self.reader.under(*mask))
+            self.loss_chars += len(masked)
+            self.loss.update(masked.encode())
+        for role, body, _, _ in self.reader.turns():
+            self.turns += 1
+            self.digest.update(f"{role}\n{body}\n".encode())
+
+    def close(self) -> tuple:
+        self.reader.close()
+        return self.conv, self.turns, self.digest.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -174,6 +225,8 @@ def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one, -7, formatted and read back: conv_id, n_turns long, turns_sha256 string, loss_chars long, loss_sha256
+    string, formatted_chars long. Defined cases: as for ``format_turns`` and ``digest_conversations``."""
     tricky = r"\### Assistant: </turn> ok"
     rows = pick(table(spark, sf_dir, "conversations"), conv_id="conv_id", turn="turn", role="role", text="text")
     planted = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")

@@ -1,9 +1,10 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnwork.llm.chat_format import _full, digest_conversations, format_turns, parse, render_turn, unescape
+from tarnwork.llm.chat_format import NotInGrammar, Reader, _full, digest_conversations, format_turns, parse, render_turn, unescape
 
 PART = st.sampled_from(["\\", "###", "### ", ": ", "</turn>", "</turn>\n", "\n", "a", "user", "Assistant", "<", ":", "é", " "])
 TEXT = st.lists(PART, max_size=8).map("".join) | st.text(max_size=12)
@@ -18,6 +19,27 @@ def test_round_trip(turns):
     assert all(unescape(text[a:b]) == t[1] for (text, a, b), t in zip(parts, turns))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]) | TEXT, TEXT), max_size=4), st.lists(st.integers(1, 9), min_size=1, max_size=5))
+def test_reader_finds_the_turns_wherever_the_text_is_cut(turns, sizes):
+    whole = "".join(render_turn(*t)[0] for t in turns)
+    reader, got, at, k = Reader(), [], 0, 0
+    while at < len(whole):
+        reader.take(whole[at : at + sizes[k % len(sizes)]])
+        at, k = at + sizes[k % len(sizes)], k + 1
+        got += [(role, body, unescape(whole[a:b])) for role, body, a, b in reader.turns()]
+    reader.close()
+    assert [g[:2] for g in got] == turns and all(g[1] == g[2] for g in got)
+
+
+def test_what_is_no_turn_is_an_error():
+    reader = Reader()
+    reader.take("### User: a")
+    assert list(reader.turns()) == []
+    with pytest.raises(NotInGrammar):
+        reader.close()
+
+
 def test_full_escape_is_in_the_grammar():
     assert list(parse(_full("a: b", "x</turn>\n")[0]))[0][:2] == ("a: b", "x</turn>\n")
 
