@@ -30,7 +30,7 @@ from .spans import Columns, Layout, by_chunk, by_span, first_cut, groups, pack,
 #: Stretches of one anchor that may meet in one task; with more, its windows go on one by one.
 WIDE = 20_000
 #: Bytes of contents in a span, and for one transform (a group that shares an anchor is never parted; it has WIDE contents at most).
-SPAN_BYTES, TOGETHER = 2_000_000, 2_000_000
+SPAN_BYTES, TOGETHER = 4_000_000, 2_000_000
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
