@@ -74,7 +74,10 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def word_ratios(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """(kind, gram, value, n) with kind 'w': the log ratio of each word's probabilities in the two classes, over a lower order that they share."""
+    """(kind, gram, value, n) with kind 'w': the log ratio of each word's probabilities in the two classes, over a lower order that they share.
+
+    Words that speak for the ordinary class are left out: they count as 0, as unknown ones do.
+    """
     kinds = [F.sum(F.expr(f"cast(c{y} > 0 AS long)")).alias(f"u{y}") for y in (0, 1)]
     sums = words.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), *kinds).first()
     total = (sums.t0 or 0) + (sums.t1 or 0)
@@ -85,7 +88,8 @@ def word_ratios(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
             return shared
         return (F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) + discount * sums[f"u{y}"] * shared) / sums[f"t{y}"]
 
-    return words.select(F.lit("w").alias("kind"), F.col("word").alias("gram"), F.log(p(1) / p(0)).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
+    ratios = words.select(F.lit("w").alias("kind"), F.col("word").alias("gram"), F.log(p(1) / p(0)).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
+    return ratios.filter("value > 0")
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -229,7 +233,7 @@ class Speller:
         return np.concatenate([*keys, h[lacks]]), np.concatenate([*places, np.flatnonzero(lacks)])
 
     def strength(self, words: list[str]) -> np.ndarray:
-        """The words' own log ratios; 0 for a word that no labelled text has."""
+        """The words' own log ratios; 0 for a word that speaks for the ordinary class or that no labelled text has."""
         return self._look(_hash_words(words))[1].astype(np.float64)
 
     def leaning(self, words: list[str]) -> np.ndarray:
