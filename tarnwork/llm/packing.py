@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, stash, table, tidy
+from .common import pick, prepare, stash, table, tidy
 from .tokens import default_path, pre_tokenizer
 
 SEQUENCE = 1024
@@ -145,6 +145,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
     A longer document's pieces are full but for the first. ids, if asked for, are little-endian unsigned 32-bit numbers.
     """
     path = path or default_path()
+    prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pre_tokenizer(path)

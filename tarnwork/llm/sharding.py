@@ -94,6 +94,10 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 15 by the law ``rows``: doc_id, size long, text_crc32 long, law string, shard int, slot long, grown_shard int (null).
+
+    Defined cases: as for ``shard_rows``; a null text counts as empty.
+    """
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     text = F.coalesce("text", F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, pick, replace_columns, stash, table, tidy, unstash
+from .common import column, pick, prepare, replace_columns, stash, table, tidy, unstash
 from .components import components, local_roots
 from .exact_dedup import flagged
 
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
             fps = np.array([majority(_shingles(_words(x.as_py()), shingle, seed)) for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    prepare(docs.sparkSession)
     return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, fp long")
 
 

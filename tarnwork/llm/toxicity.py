@@ -449,7 +449,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document: doc_id, held_out boolean, score double, predicted int. Only labels outside fold 0 are learned from.
+
+    Defined cases: as for ``train`` and ``score``; a document without an id isn't held out, as no label can name it.
+    """
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
     scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -33,10 +33,10 @@ def test_stages(steps, spark, sf):
     sets = {r["doc_id"]: shingles(r["text"]) for r in single}
     kept = {r["doc_id"] for r in distinct}
     similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    left = [(a, b) for a in kept for b in kept if a < b and similar(a, b) >= 0.85]
+    left = [(a, b) for a in kept for b in kept if a < b and similar(a, b) >= 0.8]
     assert not left
     for gone in sets.keys() - kept:  # something alike stays, or led to what stays
-        assert max(similar(gone, other) for other in sets if other != gone) > 0.6
+        assert max(similar(gone, other) for other in sets if other != gone) >= 0.8
     items = decontamination.Index([(r.item_id, decontamination.words_of(r.text)) for r in table(spark, sf, "benchmark").collect()])
     assert sorted(r["doc_id"] for r in clean) == sorted(r["doc_id"] for r in distinct if not items.search(decontamination.words_of(r["text"])))
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean}
@@ -52,3 +52,25 @@ def test_run_gives_the_last_stage(steps, spark, sf):
 
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_awkward_rows_and_empty_tables(spark, sf, awkward, awkward_rows, nothing):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns."""
+    docs, none = awkward, nothing
+    left = [r[:2] for r in awkward_rows]
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stash(stage(spark, docs, sf), name), stage(spark, none, sf)
+        assert empty.count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in got.collect()} == {i for i, _ in left}
+            break
+        assert got.columns == awkward.columns and empty.columns == nothing.columns
+        rows = [(r[0], r[1]) for r in got.collect()]
+        assert not set(rows) - set(left)
+        if name in ("toxicity", "decontamination"):
+            assert sorted(map(str, rows)) == sorted(map(str, left))
+        elif name == "exact_dedup":
+            assert len({t or "" for _, t in rows}) == len(rows) == len({t or "" for _, t in left})
+        else:  # of the text with one more word at its end, and the text itself, one stays
+            assert len(rows) == len(left) - 1
+        docs, none, left = got, empty, rows
