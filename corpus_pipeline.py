@@ -1,6 +1,9 @@
 """The corpus pipeline: stages that each write their result, which the next one reads as its documents.
 
 toxicity -> exact dedup -> SimHash near-dedup -> benchmark decontamination -> best-fit packing
+
+All stages bear null ids and texts, empty and very long texts, repeated rows, other columns of any name, and empty tables; all but the last
+return the columns that they got.
 """
 
 from __future__ import annotations
@@ -12,7 +15,10 @@ from tarnwork.llm.common import pick, stash, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on the labelled ones among the stage's own, doesn't call toxic."""
+    """Documents that the model, trained on the labelled ones among the stage's own, doesn't call toxic.
+
+    Without any label nothing is called toxic. A null or empty text stays; of equal texts all stay or all go.
+    """
     labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
     model = toxicity.train(pick(docs, doc_id="doc_id", text="text"), labels)
     scored = toxicity.score(docs, model)
@@ -20,18 +26,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id; null and empty texts are equal to each other."""
     return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are connected by five-word shingles with a similarity of 0.8 or more, the row with the smallest id; texts without words stay."""
     return simhash.near_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found; null and empty texts stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in its sequence of 1,024 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs)
 
 
