@@ -8,10 +8,19 @@ return the columns that they got.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm import decontamination, exact_dedup, packing, simhash, toxicity
-from tarnwork.llm.common import pick, stash, table
+from tarnwork.llm.common import column, pick, stash, table
+
+
+def kept(docs: DataFrame, operator: Callable[..., DataFrame], condition: str) -> DataFrame:
+    """The rows that the operator marks, with all their columns as they were, whatever their names."""
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    marked = operator(plain, id_col=f"_{column(docs, 'doc_id')}", text_col=f"_{column(docs, 'text')}")
+    return marked.filter(condition).select(*plain.columns).toDF(*docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +30,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", toxic="toxic")
     model = toxicity.train(pick(docs, doc_id="doc_id", text="text"), labels)
-    scored = toxicity.score(docs, model)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return kept(docs, lambda plain, **named: toxicity.score(plain, model, **named), "predicted = 0")
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id; null and empty texts are equal to each other."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    return kept(docs, exact_dedup.exact_dedup, "kept")
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are connected by five-word shingles with a similarity of 0.8 or more, the row with the smallest id; texts without words stay."""
-    return simhash.near_dedup(docs).filter("kept").select(*docs.columns)
+    return kept(docs, simhash.near_dedup, "kept")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
