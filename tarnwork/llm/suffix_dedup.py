@@ -8,7 +8,7 @@ value. Expansion stops at the minimum length; neighbours without a value by then
 
 1. Equal texts are folded; texts are dealt into chunks.
 2. A chunk sends each of its anchors once. Anchors in two documents at least are hot.
-3. A hot anchor that has more than ``WIDE`` stretches in all would be too much for one task (a sentence that is in every document, with
+3. A hot anchor of which more than ``WIDE`` contents would be sent is too much for one task (a sentence that is in every document, with
    other words around it). Its windows are looked at one by one: those in two documents at least go on, each under its own hash.
 4. The contents of hot stretches, and those windows, meet span by span; the transform tells which strings are equal.
 5. Each chunk learns the smallest id of each of its windows and removes what an earlier document has.
@@ -27,8 +27,8 @@ from .chunks import DONE, NOTE, WEIGHTS, WINDOW, Bytes, Chunk, beside, chunked,
 from .common import stash, table, unstash
 from .spans import Columns, Layout, by_chunk, by_span, first_cut, groups, pack, pack_sorted, ranges, spans_for, unpack, unpack_sorted
 
-#: Stretches of one anchor that may meet in one task; with more, its windows go on one by one.
-WIDE = 20_000
+#: Contents of one anchor that may meet in one task; with more, its windows go on one by one.
+WIDE = 30_000
 #: Bytes of contents in a span, and for one transform (a group that shares an anchor is never parted; it has WIDE contents at most).
 SPAN_BYTES, TOGETHER = 4_000_000, 2_000_000
 
@@ -131,29 +131,32 @@ def window_ids(symbols: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length:
 
 # ---------------------------------------------------------------- what goes between chunks and spans
 
-ANCHORS = Layout(chunk=np.int64, stretches=np.uint32, several=np.uint8)
+ANCHORS = Layout(chunk=np.int64, contents=np.uint32, several=np.uint8)
 WINDOWS = Layout(chunk=np.int64, several=np.uint8)
 CONTENTS = Layout(lambda c: c["count"].astype(np.int64) + WINDOW - 1, chunk=np.int64, number=np.uint32, least=np.int64, count=np.uint8)
 #: Notes for a chunk: its hot anchors, its anchors that are too hot, hot windows of the latter; what it sent, and what came back.
 NARROW, TOO_HOT, HOT_WINDOWS, SENT, BACK = range(5)
 
 
-def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, how often each, whether several documents have it)."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    at, number = groups(key)
-    last = np.append(at[1:], len(key)) - 1
-    return key[at], np.bincount(number, minlength=len(at)), (doc[at] != doc[last]) if len(at) else np.zeros(0, bool)
+def _distinct(key: np.ndarray, doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, how many different contents each has, whether several documents have it)."""
+    if not len(key):
+        return key, np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.lexsort((content, key))
+    key, doc, content = key[order], doc[order], content[order]
+    at, _ = groups(key)
+    new = np.ones(len(key), np.int64)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    return key[at], np.add.reduceat(new, at), np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
 
 
 def anchor_entries(chunks: DataFrame, spans: int) -> DataFrame:
     have = first_cut(spans)
 
     def work(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        h, _, _, doc = chunk.stretches()
-        key, n, several = _distinct(h, doc)
-        yield ANCHORS.table(ANCHORS.rows({"key": key, "chunk": np.full(len(key), chunk.number), "stretches": n.astype(np.uint32), "several": several.astype(np.uint8)}, have))
+        h, first, count, doc = chunk.stretches()
+        key, n, several = _distinct(h, doc, chunk.hashes(first, count + WINDOW - 1))
+        yield ANCHORS.table(ANCHORS.rows({"key": key, "chunk": np.full(len(key), chunk.number), "contents": n.astype(np.uint32), "several": several.astype(np.uint8)}, have))
 
     return ANCHORS.exchange(each_chunk(chunks, Bytes, work, ANCHORS.schema), spans)
 
@@ -164,14 +167,14 @@ def _told(rows: list[tuple], what: int, chunk: np.ndarray, key: np.ndarray) -> N
 
 
 def hot_anchors(entries: DataFrame, wide: int) -> DataFrame:
-    """Notes: each chunk's anchors that two documents have, apart by whether they have more than ``wide`` stretches in all."""
+    """Notes: each chunk's anchors that two documents have, apart by whether chunks would send more than ``wide`` contents of them in all."""
 
     def work(cols: Columns) -> Iterator[pa.RecordBatch]:
         order = np.argsort(cols["key"], kind="stable")
         key, chunk = cols["key"][order], cols["chunk"][order]
         _, number = groups(key)
         hot = (np.bincount(number) > 1) | (np.bincount(number, cols["several"][order]) > 0)
-        many = hot & (np.bincount(number, cols["stretches"][order]) > wide)
+        many = hot & (np.bincount(number, cols["contents"][order]) > wide)
         rows: list[tuple] = []
         for what, chosen in ((NARROW, hot & ~many), (TOO_HOT, many)):
             mine = chosen[number]
@@ -199,7 +202,7 @@ def hot_windows(chunks: DataFrame, told: DataFrame, spans: int) -> DataFrame:
         h, first, count, _ = chunk.stretches()
         mine = isin_sorted(h, wanted)
         at = ranges(first[mine], count[mine])
-        key, _, several = _distinct(chunk.hashes(at, WINDOW), chunk.doc_of(at))
+        key, _, several = _distinct(own := chunk.hashes(at, WINDOW), chunk.doc_of(at), own)
         yield WINDOWS.table(WINDOWS.rows({"key": key, "chunk": np.full(len(key), chunk.number), "several": several.astype(np.uint8)}, have))
 
     def hot(cols: Columns) -> Iterator[pa.RecordBatch]:
