@@ -34,19 +34,16 @@ LEAN_FROM, LEAN_WHOLLY = 2.0, 4.0
 MODEL_ROWS = 6_000_000
 #: Rows that the logistic function is fitted on, at most; labels are broadcast up to this many rows, else shuffled.
 CALIBRATION_ROWS, BROADCAST_LABELS = 50_000, 2_000_000
-#: Words whose score a worker remembers.
-REMEMBERED = 200_000
+#: Words whose score a worker remembers, and texts that it looks at together.
+REMEMBERED, TOGETHER = 300_000, 200
 LONGEST_WORD = 64
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST_WORD)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case; runs over ``LONGEST_WORD`` letters count as several words."""
-    found = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    return _WORD.findall(text.lower())
 
 
 # ---------------------------------------------------------------- counting
@@ -256,22 +253,25 @@ class Speller:
             total[left] += self._look(_at(codes, at, n - 1, 1))[1]
         return np.bincount(owner, total, len(words))
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The strongest word's log ratio, and the (square root of the) share of words whose spelling leans to the toxic side."""
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0
-        distinct, strong, lean = set(words), self.strong, self.lean
-        new = [w for w in distinct if w not in strong]
+    def features(self, texts: list[str]) -> tuple[list[float], list[float]]:
+        """For each text the strongest word's log ratio, and the (square root of the) share of words whose spelling leans to the toxic side.
+
+        Words that weren't met before are looked up for all the texts at once.
+        """
+        words = [words_of(x) for x in texts]
+        distinct = [set(w) for w in words]
+        strong, lean = self.strong, self.lean
+        new = list(set().union(*distinct).difference(strong))
         if len(strong) + len(new) > REMEMBERED:
             strong.clear()
             lean.clear()
-            new = list(distinct)
+            new = list(set().union(*distinct))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             strong.update(zip(part, self.strength(part).tolist(), strict=True))
             lean.update(zip(part, self.leaning(part).tolist(), strict=True))
-        return max(map(strong.__getitem__, distinct)), sqrt(sum(map(lean.__getitem__, words)) / len(words))
+        most = [max(map(strong.__getitem__, d), default=0.0) for d in distinct]
+        return most, [sqrt(sum(map(lean.__getitem__, w)) / len(w)) if w else 0.0 for w in words]
 
 
 class Both(Speller):
@@ -349,8 +349,10 @@ class Model:
             keys, values = sent.value
             speller = Speller(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32))
             for b in batches:
-                found = [speller.features(x.as_py() or "") for x in b.column(at)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], names=[*b.schema.names, "_strong", "_lean"])
+                for i in range(0, b.num_rows, TOGETHER):
+                    part = b.slice(i, TOGETHER)
+                    found = speller.features([x or "" for x in part.column(at).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(f, pa.float64()) for f in found)], names=[*b.schema.names, "_strong", "_lean"])
             tidy()
 
         added = [T.StructField("_strong", T.DoubleType()), T.StructField("_lean", T.DoubleType())]
