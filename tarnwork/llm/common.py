@@ -95,9 +95,19 @@ def unstash(*frames: DataFrame, part: str = "") -> None:
         delete(df.sparkSession, f"{df._stash_path}/{part}" if part else df._stash_path)
 
 
+#: Seconds that pass between two requests to collect garbage, at least: short stages leave little behind.
+RELEASE_EVERY = 3.0
+_released = 0.0
+
+
 def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that own them; each written stage asks for it."""
+    """Shuffle files go when the driver's JVM collects the plans that own them; written stages ask for it now and then."""
     import gc
+    import time
 
+    global _released
+    if time.monotonic() - _released < RELEASE_EVERY:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
