@@ -5,7 +5,10 @@ from __future__ import annotations
 from .chat_format import op7_chat_format
 from .decontamination import op5_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .line_dedup import OP12_SQL, op12_line_dedup
 from .packing import op2_packing
+from .periodic_runs import op11_periodic_runs
+from .resampling import op13_resampling
 from .sharding import op10_feistel_shards
 from .simhash import op1_simhash
 from .substring_index import op9_substring_index
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_index": op9_substring_index,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_resampling": op13_resampling,
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op12_line_dedup": OP12_SQL}

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -14,6 +15,8 @@ from tarnwork.llm.sharding import ROUNDS, SEED
 from tarnwork.llm.tokens import default_path
 
 from .test_chat_format import conversation
+from .test_periodic_runs import all_runs, kept
+from .test_resampling import resampled
 from .test_simhash import fingerprint, roots
 
 COLUMNS = {
@@ -27,6 +30,9 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_substring_index": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op10_feistel_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op13_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 
 
@@ -124,12 +130,13 @@ def test_op5(results, docs, sf):
     assert {(r["doc_id"], r["item_id"]) for r in results["op5_decontamination"]} == want and want
 
 
-def test_op6(results, sf, docs):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(results, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    rel = con.execute(ORACLE_SQL["op6_exact_dedup"])
+    rel = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in rel.description]
-    assert sorted(tuple(r[n] for n in names) for r in results["op6_exact_dedup"]) == sorted(rel.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in results[name]) == sorted(rel.fetchall())
 
 
 def test_op7(results, sf):
@@ -195,3 +202,27 @@ def test_op10(results, docs):
         want[i] = (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", place % 16, place // 16, None)
     assert by_doc(results["op10_feistel_shards"], "size", "text_crc32", "law", "shard", "slot", "grown_shard") == want
     assert len(set(want.values())) == len(docs)
+
+
+def test_op11(results, docs):
+    want = {}
+    for i, t in docs:
+        words = t.encode().split()
+        h, n = zlib.crc32(str(i).encode()), len(words)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (k - a) % p] for k in range(a, n)]
+        runs = all_runs(words)
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        shown = "".join(f"{s},{length},{p}\n" for s, length, p in runs)
+        want[i] = (len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2], hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(kept(words, runs)).hexdigest())
+    assert by_doc(results["op11_periodic_runs"], "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256") == want
+    assert any(w[0] for w in want.values())
+
+
+def test_op13(results, docs, sf):
+    target = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()]
+    want = {i: rest for i, *rest in resampled(docs, target)}
+    assert {i: list(r) for i, r in by_doc(results["op13_resampling"], "n_features", "weight", "score", "rank").items()} == want

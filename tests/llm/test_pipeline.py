@@ -51,7 +51,7 @@ def test_run_gives_the_last_stage(steps, spark, sf):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_awkward_rows_and_empty_tables(spark, sf, awkward, awkward_rows, nothing):
