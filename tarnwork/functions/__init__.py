@@ -24,12 +24,8 @@ def cut(message: Column, length: int = 40) -> Column:
     return F.substring(message, 1, length)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def unit(v: Column) -> Column:
-    """The vector at length one; the zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    """The vector at length one; the zero vector stays as it is. Vector and length are bound once, as a lambda works out for each element what it names."""
+    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    bound = F.transform(F.array(v), lambda w: F.struct(w.alias("v"), length(w).alias("n")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["v"], lambda x: F.coalesce(F.try_divide(x.cast("double"), b["n"]), F.lit(0.0)))), F.lit(0))

@@ -2,82 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, terms
+from ..functions import fixed, terms, unit
 from ..operators import config, dense, deps, lexical, report, stats
-from ..sources import cards, corpus, first_existing, parameter, sources, table, whole_texts
+from ..sources import exists, first_of_places, parameter, placed_texts, table
 from ..written import new_path
+from . import extended, rendered
 
 TOP, WEAK_DIMS = 5, 8
 QUERY = "tion the"
+KNOWN_MODULE = "economy"
 
-#: Sources that show each rule of import extraction.
-PY_SOURCES = [
-    ("a_plain.py", "import json\nfrom os import path\nfrom .tools import load\n"),
-    ("b_alias.py", "import numpy as np, pkg.sub as s\nimport json\nimport json\n"),
-    ("c_nested.py", "def f():\n    if True:\n        from deep.er import x\n    return x\nimport sys\n"),
-    ("d_relative.py", "from . import sibling\nfrom ..up import y\n"),
-    ("e_empty.py", ""),
-    ("f_broken.py", "def (:\n"),
-]
-
-#: Configuration texts for each branch of the check.
-CONFIGS = [
-    ("none", None),
-    ("no_key", "dim: 384\n"),
-    ("english", "model_name: org/small-en-v2\n"),
-    ("chinese", "model_name: org/small-zh-v2\n"),
-    ("tuned", "model_name: out/small-zh-ft\n"),
-    ("tuned_code", "model_name: out/zh-ft-code\n"),
-    ("neither", "model_name: org/e5-small\n"),
-    ("hidden_en", "model_name: patent/x-ft\n"),
-    ("comment_first", "# model_name: old-zh\nmodel_name: new-en\n"),
-    ("prefixed_key", "llm_model_name: qwen-MiniLM\n"),
-    ("quoted", 'model_name: "Code-base"\n'),
-    ("next_line", "model_name:\n  dim: 3\n"),
-    ("note_only", "model_name: # none yet\n"),
-]
-
-#: Scores of two arms with and without a second ranking stage.
-SCORES = [("q1", "off", 3.0), ("q2", "off", 8.0), ("q3", "off", 4.0), ("q1", "on", 1.0), ("q2", "on", 2.0), ("q3", "on", 2.0)]
-
-
-#: A literal corpus, a query that only one card's words answer, and the card sought.
-LINES = [("n1", "cache keys expire"), ("n2", "the parser reads header fields"), ("n3", "header and parser tests")]
-CARDS = [
-    "File a/store.py Classes Store Functions put get",
-    "File b/clock.py Functions now sleep",
-    "File c/paths.py Functions clean join a safe upload name",
-    "File d/errors.py Classes Missing Denied",
-    "File e/form.py Classes Form Field",
-]
-ASKED, GOLD = [(100, "clean the name of an upload to be safe", 2)], 2
 METRICS = ["high", "low"]
 
 
-def word_hashes():
-    """A small encoder without a model: counts of words by hash."""
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 1024))
-        for i, x in enumerate(texts):
-            for w in x.split():
-                out[i, zlib.crc32(w.encode()) % 1024] += 1
-        return out
-
-    return encode
-
-
-def all_alike():
-    """An encoder that tells nothing apart: the wrong one."""
-    return lambda texts: np.ones((len(texts), 4))
-
-
 def _queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stated query set, each row whose id is divisible by 100, and all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -113,8 +53,11 @@ def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(ASKED, "query_id int, text string, gold int")
-    return dense.evaluate(asked, cards(spark, CARDS), [word_hashes, all_alike])
+    """Which item the first half of each benchmark item's words finds, by counts of all letters and of vowels alone."""
+    items = table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("query_id"), rendered.first_half(F.col("text")).alias("text"), F.col("item_id").alias("gold"))
+    models = [rendered.count_letters(), rendered.count_letters(rendered.VOWELS)]
+    return dense.evaluate(asked, items.select(F.col("item_id").alias("card_id"), "text"), models)
 
 
 def compare_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +65,15 @@ def compare_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stored by a column expression, a tenth missing and a seventh off in one letter, against the encoder's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = docs.filter("doc_id % 10 <> 0")
-    return dense.replicate(docs, dense.encode(kept, word_hashes, "doc_id"), word_hashes, "doc_id")
+    counts = rendered.letter_counts(F.col("text"))
+    stored = F.when(F.col("doc_id") % 7 == 0, F.transform(counts, lambda x, i: F.when(i == 0, x + 1).otherwise(x))).otherwise(counts)
+    return dense.replicate(docs, docs.filter("doc_id % 10 <> 0").select("doc_id", unit(stored).alias("embedding")), rendered.count_letters(), "doc_id")
 
 
 def first_hit_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = corpus(spark, LINES)
-    return lexical.first_hit(lexical.any_term(lines, "header parser"), "id", "id", "n2")
+    return lexical.first_hit(lexical.any_term(table(spark, sf_dir, "documents"), QUERY), "doc_id", "doc_id", 0)
 
 
 def any_term_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,35 +86,39 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", F.size("words").alias("n_terms"), F.size(F.array_distinct("words")).alias("n_distinct"))
 
 
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered.settings(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+
+
 def probe_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations in files: the first place that has one wins, and none at all skips."""
-    base, name = new_path(spark, "probe"), parameter(spark, "tarnwork.config", "stack.yaml")
-    here = {f"{base}/{a}/configs/{name}": v for a, v in (("own/work", "model_name: own/small-en\n"), ("own", "model_name: outer-zh\n"), ("outer", "# later\nmodel_name: zh-ft-code\n"))}
-    for path, value in here.items():
-        spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(path)
-    out = None
-    for case in ("own", "outer", "none"):
-        path = first_existing(spark, [f"{base}/{case}/work", f"{base}/{case}"], f"configs/{name}")
-        found = whole_texts(spark, path).select(F.lit(case).alias("path"), "value") if path else spark.createDataFrame([(case, None)], "path string, value string")
-        out = found if out is None else out.unionByName(found)
-    return config.check_configs(out)
+    """Configurations in files, at two places for each supplier: the first that has one wins, and none at all skips."""
+    configs = _settings(spark, sf_dir)
+    base = f"{new_path(spark, 'probe')}/{parameter(spark, 'tarnwork.configs', 'configs')}"
+    rendered.placed(configs).repartition("case").write.partitionBy("case", "place").text(base)
+    found = placed_texts(spark, base) if exists(spark, base) else rendered.placed(configs).limit(0)
+    chosen = first_of_places(found, configs.select(F.col("key").alias("case")))
+    return config.check_configs(chosen.select(F.concat(F.lit("supplier_"), F.col("case").cast("string")).alias("path"), "value"))
 
 
 def guard_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guards of every kind, run in order, and the status that the process would end with."""
+    """Guards of every kind over the documents, run in order, and the status that the process would end with."""
+    docs = table(spark, sf_dir, "documents")
 
-    def broken() -> str:
-        raise KeyError("x")
+    def has(column: str) -> str:
+        row = lexical.check_schema(docs, column).first()
+        if not row.ok:
+            raise KeyError(column)
+        return f"{row.n_rows} rows with {column}"
 
     def no_model() -> str:
         raise OSError("no weights")
 
     guards = [
-        ("cards", lambda: f"{len(CARDS)} cards"),
+        ("text", lambda: has("text")),
         ("optional", lambda: report.require("no_such_module_anywhere")),
         ("encoder", lambda: report.or_skip(no_model, "model not loaded")),
-        ("broken", broken),
-        ("after", lambda: None),
+        ("title", lambda: has("title")),
+        ("long", lambda: str(docs.filter("n_chars >= 1000").count())),
     ]
     seen = report.run_guards(spark, guards)
     return seen.withColumn("exit_status", F.lit(report.exit_status(seen)))
@@ -200,16 +148,16 @@ def lexical_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config.check_configs(spark.createDataFrame(CONFIGS, "path string, value string"))
+    return config.check_configs(_settings(spark, sf_dir))
 
 
 def import_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deps.extract_imports(sources(spark, PY_SOURCES))
+    return deps.extract_imports(rendered.source_files(table(spark, sf_dir, "part")))
 
 
 def dependency_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = deps.cards_of(deps.extract_imports(sources(spark, PY_SOURCES)))
-    return made.select("file_id", F.size("modules").alias("n_modules"), "card", deps.holds(F.col("modules"), "os", "tools").alias("holds_known"))
+    made = deps.cards_of(import_extract(spark, sf_dir))
+    return made.select("file_id", F.size("modules").alias("n_modules"), "card", deps.holds(F.col("modules"), KNOWN_MODULE).alias("holds_known"))
 
 
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +173,9 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = lexical.check_schema(hits, "doc_id", "text")
     means = _both_ranks(spark, sf_dir).agg(*(F.avg(F.when(F.col("variant") == v, F.col("rr"))).alias(c) for v, c in enumerate(("mrr", "weak"))))
     checked = config_classify(spark, sf_dir)
-    made = dependency_card(spark, sf_dir).filter("file_id = 'a_plain.py'")
+    made = dependency_card(spark, sf_dir).agg(F.count_if("holds_known").alias("n"))
     guards = [
-        made.select(*report.outcome(F.col("holds_known"), "cards_not_empty", F.col("card"))),
+        made.select(*report.outcome(F.col("n") > 0, "cards_hold_known", F.concat(F.col("n").cast("string"), F.lit(" cards")))),
         schema.select(*report.outcome(F.col("ok") & (F.col("n_rows") > 0), "hits_have_schema", F.concat(F.col("n_rows").cast("string"), F.lit(" hits")))),
         checked.select(F.concat(F.lit("config_"), F.col("path")).alias("guard"), "status", "reason"),
         means.select(*report.outcome(F.col("mrr") > F.col("weak"), "full_beats_weak", F.concat_ws(" ", fixed(F.col("mrr")), fixed(F.col("weak"))))),
@@ -272,7 +220,9 @@ def group_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.pivot_scores(spark.createDataFrame(SCORES, "item string, arm string, value double"), ["off", "on"])
+    """The number in an event's props as its score, views before clicks."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.from_json("props", "k int")["k"].cast("double").alias("value"))
+    return stats.pivot_scores(rows, ["view", "click"])
 
 
 def scorer_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,47 +257,16 @@ def _rank_sql(dims: int) -> str:
     WHERE first_rank IS NOT NULL"""
 
 
-def _values(rows: list[tuple]) -> str:
-    def show(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x)
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
-
-    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
-
-
 _HAS = "(contains(text, 'tion') OR contains(text, 'the'))"
 _MEAN = "SELECT count(*) AS n_queries, round(avg(rr), 9) AS mrr, round(avg(top1::INT::DOUBLE), 9) AS hit1 FROM ({ranks}) x"
-_CONFIG = f"""
-    SELECT path, name AS model_name,
-           CASE WHEN value IS NULL THEN 'SKIP' WHEN name IS NULL THEN 'FAIL'
-                WHEN contains(low, 'zh') AND NOT contains(low, '-ft') THEN 'FAIL'
-                WHEN contains(low, 'en') OR contains(low, 'code') OR contains(low, 'minilm') THEN 'PASS' ELSE 'FAIL' END AS status,
-           CASE WHEN value IS NULL THEN 'no config found' WHEN name IS NULL THEN 'no model_name'
-                WHEN contains(low, 'zh') AND NOT contains(low, '-ft') THEN 'model for Chinese: ' || name
-                WHEN contains(low, 'en') OR contains(low, 'code') OR contains(low, 'minilm') THEN 'model: ' || name
-                ELSE 'unknown kind of model: ' || name END AS reason
-    FROM (SELECT path, value, name, lower(name) AS low FROM (
-            SELECT path, value, nullif(regexp_extract(value, 'model_name:\\s*([^\\s#]+)', 1), '') AS name
-            FROM (VALUES {_values([(p, None if v is None else v.replace(chr(10), "~")) for p, v in CONFIGS])}) v0(path, raw),
-                 LATERAL (SELECT replace(raw, '~', chr(10)) AS value) l) n) c"""
-_CARDS = _values([
-    ("a_plain.py", 3, "File a_plain.py Imports json os tools", True),
-    ("b_alias.py", 4, "File b_alias.py Imports numpy pkg.sub json json", False),
-    ("c_nested.py", 2, "File c_nested.py Imports deep.er sys", False),
-    ("d_relative.py", 1, "File d_relative.py Imports up", False),
-    ("e_empty.py", 0, "File e_empty.py", False),
-    ("f_broken.py", 0, "File f_broken.py", False),
-])
 _GUARDS = f"""
-    SELECT 'cards_not_empty' AS guard, 'PASS' AS status, 'File a_plain.py Imports json os tools' AS reason
+    SELECT 'cards_hold_known' AS guard, CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS status, n::VARCHAR || ' cards' AS reason
+    FROM (SELECT coalesce(sum(holds_known::INT), 0)::BIGINT AS n FROM ({rendered.CARDS_SQL}) k) c
     UNION ALL
     SELECT 'hits_have_schema', CASE WHEN n > 0 AND bad = 0 THEN 'PASS' ELSE 'FAIL' END, n::VARCHAR || ' hits'
     FROM (SELECT count(*) AS n, coalesce(sum((doc_id IS NULL OR text IS NULL)::INT), 0) AS bad FROM documents WHERE {_HAS}) h
     UNION ALL
-    SELECT 'config_' || path, status, reason FROM ({_CONFIG}) c
+    SELECT 'config_' || path, status, reason FROM ({rendered.CONFIG_SQL}) c
     UNION ALL
     SELECT 'full_beats_weak', CASE WHEN a.mrr > b.mrr THEN 'PASS' ELSE 'FAIL' END, printf('%.2f', a.mrr) || ' ' || printf('%.2f', b.mrr)
     FROM ({_MEAN.format(ranks=_rank_sql(64))}) a, ({_MEAN.format(ranks=_rank_sql(WEAK_DIMS))}) b"""
@@ -368,15 +287,9 @@ ORACLE_SQL = {
     "lexical_multi_query": r"""
     SELECT b.item_id AS query_id, sum((len(list_filter(list_filter(string_split_regex(b.text, '\s+'), lambda w: w <> ''), lambda w: contains(d.text, w))) > 0)::INT)::BIGINT AS n_hits
     FROM benchmark b, documents d GROUP BY b.item_id""",
-    "config_classify": _CONFIG,
-    "import_extract": f"""
-    SELECT file_id, pos::INTEGER AS pos, kind, level::INTEGER AS level, module, error FROM (VALUES {_values([
-        ("a_plain.py", 0, "import", 0, "json", None), ("a_plain.py", 1, "from", 0, "os", None), ("a_plain.py", 2, "from", 1, "tools", None),
-        ("b_alias.py", 0, "import", 0, "numpy", None), ("b_alias.py", 1, "import", 0, "pkg.sub", None), ("b_alias.py", 2, "import", 0, "json", None), ("b_alias.py", 3, "import", 0, "json", None),
-        ("c_nested.py", 0, "from", 0, "deep.er", None), ("c_nested.py", 1, "import", 0, "sys", None),
-        ("d_relative.py", 0, "from", 2, "up", None), ("e_empty.py", None, None, None, None, None), ("f_broken.py", None, None, None, None, "SyntaxError"),
-    ])}) v(file_id, pos, kind, level, module, error)""",
-    "dependency_card": f"SELECT file_id, n_modules::INTEGER AS n_modules, card, holds_known FROM (VALUES {_CARDS}) v(file_id, n_modules, card, holds_known)",
+    "config_classify": rendered.CONFIG_SQL,
+    "import_extract": rendered.IMPORTS_SQL,
+    "dependency_card": rendered.CARDS_SQL,
     "link_extract": """
     SELECT page_id, (i - 1)::INTEGER AS pos, links[i] AS href
     FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages) p) x""",
@@ -398,30 +311,25 @@ ORACLE_SQL = {
         SELECT percent_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS place, length(text)::DOUBLE AS m FROM conversations) p) b GROUP BY bin""",
     "content_digest": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "group_by_language": "SELECT lang, count(*) AS n, round(avg(quality), 9) AS mean FROM documents JOIN labels USING (doc_id) GROUP BY lang",
-    "score_pivot": f"""
-    SELECT sum_off, sum_on, mean_off, mean_on, sum_off - sum_on AS "drop", round(mean_off / mean_on, 6) AS factor FROM (
-      SELECT sum(CASE WHEN arm = 'off' THEN value::DOUBLE END) AS sum_off, sum(CASE WHEN arm = 'on' THEN value::DOUBLE END) AS sum_on,
-             round(avg(CASE WHEN arm = 'off' THEN value::DOUBLE END), 6) AS mean_off, round(avg(CASE WHEN arm = 'on' THEN value::DOUBLE END), 6) AS mean_on
-      FROM (VALUES {_values(SCORES)}) v(item, arm, value)) x""",
-    "evaluate_encoders": """
-    SELECT query_id::BIGINT AS query_id, variant::INTEGER AS variant, first_rank::BIGINT AS first_rank, 1.0E0 / first_rank AS rr, first_rank = 1 AS top1
-    FROM (VALUES (100, 0, 1), (100, 1, 3)) v(query_id, variant, first_rank)""",
-    "compare_encoders": "SELECT 100::BIGINT AS query_id, 1.0E0 AS rr_a, true AS top1_a, 1.0E0 / 3 AS rr_b, false AS top1_b, true AS passes",
-    "replicate_embeddings": "SELECT count(*) AS n, coalesce(sum((doc_id % 10 <> 0)::INT), 0)::BIGINT AS n_same, coalesce(sum((doc_id % 10 = 0)::INT), 0)::BIGINT AS n_missing FROM documents",
-    "first_hit_expected": f"""
-    SELECT count(*) AS n_hits, min(id) AS first_id, coalesce(min(id) = 'n2', false) AS as_expected
-    FROM (VALUES {_values(LINES)}) v(id, text) WHERE contains(text, 'header') OR contains(text, 'parser')""",
+    "score_pivot": """
+    SELECT sum_view, sum_click, mean_view, mean_click, sum_view - sum_click AS "drop", round(factor, 6) AS factor FROM (
+      SELECT coalesce(sum(CASE WHEN arm = 'view' THEN value END), 0) AS sum_view, coalesce(sum(CASE WHEN arm = 'click' THEN value END), 0) AS sum_click,
+             round(avg(CASE WHEN arm = 'view' THEN value END), 6) AS mean_view, round(avg(CASE WHEN arm = 'click' THEN value END), 6) AS mean_click, mean_view / nullif(mean_click, 0) AS factor
+      FROM (SELECT event_type AS arm, json_extract(props, '$.k')::DOUBLE AS value FROM events) v) x""",
+    "evaluate_encoders": rendered.ENCODERS_SQL,
+    "compare_encoders": rendered.COMPARED_SQL,
+    "replicate_embeddings": rendered.REPLICATE_SQL,
+    "first_hit_expected": f"SELECT count(*) AS n_hits, min(doc_id) AS first_id, coalesce(min(doc_id) = 0, false) AS as_expected FROM documents WHERE {_HAS}",
     "any_term_of_row": "SELECT doc_id FROM documents WHERE contains(text, 'tion') OR contains(text, lang)",
     "term_counts": r"""
     SELECT item_id, len(words)::INTEGER AS n_terms, len(list_distinct(words))::INTEGER AS n_distinct
     FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words FROM benchmark) x""",
-    "probe_config": f"SELECT path, model_name, status, reason FROM (VALUES {_values([
-        ("own", "own/small-en", "PASS", "model: own/small-en"), ("outer", "zh-ft-code", "PASS", "model: zh-ft-code"), ("none", None, "SKIP", "no config found"),
-    ])}) v(path, model_name, status, reason)",
-    "guard_run": f"SELECT guard, status, reason, place::INTEGER AS place, 1::INTEGER AS exit_status FROM (VALUES {_values([
-        ("cards", "PASS", "5 cards", 0), ("optional", "SKIP", "No module named 'no_such_module_anywhere", 1), ("encoder", "SKIP", "model not loaded: no weights", 2),
-        ("broken", "FAIL", "KeyError: 'x'", 3), ("after", "PASS", "", 4),
-    ])}) v(guard, status, reason, place)",
+    "probe_config": rendered.PROBE_SQL,
+    "guard_run": """
+    SELECT guard, status, reason, place::INTEGER AS place, 1::INTEGER AS exit_status FROM (
+      SELECT 'text' AS guard, 'PASS' AS status, (SELECT count(*) FROM documents)::VARCHAR || ' rows with text' AS reason, 0 AS place
+      UNION ALL SELECT 'long', 'PASS', (SELECT count(*) FROM documents WHERE n_chars >= 1000)::VARCHAR, 4
+      UNION ALL FROM (VALUES ('optional', 'SKIP', 'No module named ''no_such_module_anywhere', 1), ('encoder', 'SKIP', 'model not loaded: no weights', 2), ('title', 'FAIL', 'KeyError: ''title''', 3)) v) g""",
     "score_configs": """
     SELECT event_type AS config, round(avg(CASE WHEN k >= 50 THEN value END), 6) AS high, round(avg(CASE WHEN k < 50 THEN value END), 6) AS low
     FROM (SELECT event_type, value, json_extract(props, '$.k')::INTEGER AS k FROM events) e GROUP BY event_type""",
@@ -431,3 +339,6 @@ ORACLE_SQL = {
         SELECT percent_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS place, length(text)::DOUBLE AS m FROM conversations) p) b""",
     "scorer_difference": "SELECT count(*) AS n, round(avg(quality - toxic), 9) AS mean_difference FROM labels",
 }
+
+QUERIES |= extended.QUERIES
+ORACLE_SQL |= extended.ORACLE_SQL | {"vector_topk_pruned": ORACLE_SQL["vector_topk"], "trigram_multi_query": ORACLE_SQL["lexical_multi_query"]}

@@ -60,6 +60,17 @@ def first_existing(spark: SparkSession, bases: list[str], relative: str) -> str
     return next((p for b in bases if exists(spark, p := f"{b.rstrip('/')}/{relative}")), None)
 
 
+def placed_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(case, place, value) of whole text files under ``base/case=.../place=...``, in one scan for all cases."""
+    return spark.read.text(base, wholetext=True).select(F.col("case").cast("long").alias("case"), F.col("place").cast("int").alias("place"), "value")
+
+
+def first_of_places(found: DataFrame, cases: DataFrame) -> DataFrame:
+    """cases (case) as (case, value): the text at the lowest place where one was found, null where none was."""
+    first = found.groupBy("case").agg(F.min_by("value", "place").alias("value"))
+    return cases.join(first, "case", "left").select("case", "value")
+
+
 def parent_root(path: str) -> str:
     """The directory above the one that holds ``path``."""
     return str(Path(path).absolute().parent.parent)
