@@ -4,9 +4,10 @@ Each class, toxic and ordinary, gets two interpolated Kneser-Ney models. One is
 class that has it; its lower order is counted over both classes together, so a rare word falls back to a count that the classes share.
 The other is over the characters of these words (order ``ORDER``, counts of distinct left contexts below the highest order); its orders up
 to ``SHARED`` are shared too. So an expression speaks for a class as far as that class has it in several documents, and one never seen
-before still does by its stem. A text is judged by two log-likelihood ratios that don't depend on its length: that of its most toxic
-word, and the share of its words whose spelling is the toxic model's. A logistic function of the two, fitted on labelled rows that the
-counts didn't use, gives the score.
+before still does by its stem. A text's two log-likelihoods are compared by length: for each stretch of up to ``SPAN`` words the log ratio of its
+likelihoods over the number of its words and one neutral word more, of which the highest decides what a long text holds in one place;
+the same over the whole text; and the share of its words whose spelling is the toxic model's. A logistic function of the three, fitted on labelled
+rows that the counts didn't use, gives the score.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import sqrt
 
 import numpy as np
@@ -30,8 +32,10 @@ ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 UNSEEN = 1 / 3000
 #: A word's spelling counts as toxic in part from the first log ratio on, wholly from the second.
 LEAN_FROM, LEAN_WHOLLY = 2.0, 4.0
-#: Most grams and contexts that are broadcast (12 bytes each), the commonest; words that need others get them by a join.
-MODEL_ROWS = 6_000_000
+#: Words of a stretch, at most.
+SPAN = 20
+#: Most words, grams and contexts that are broadcast (12 bytes each), the commonest; words that need others get them by a join.
+MODEL_ROWS = 10_000_000
 #: Rows that the logistic function is fitted on, at most; labels are broadcast up to this many rows, else shuffled.
 CALIBRATION_ROWS, BROADCAST_LABELS = 50_000, 2_000_000
 #: Words whose score a worker remembers, and texts that it looks at together.
@@ -71,10 +75,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def word_ratios(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """(kind, gram, value, n) with kind 'w': the log ratio of each word's probabilities in the two classes, over a lower order that they share.
-
-    Words that speak for the ordinary class are left out: they count as 0, as unknown ones do.
-    """
+    """(kind, gram, value, n) with kind 'w': the log ratio of each word's probabilities in the two classes, over a lower order that they share."""
     kinds = [F.sum(F.expr(f"cast(c{y} > 0 AS long)")).alias(f"u{y}") for y in (0, 1)]
     sums = words.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), *kinds).first()
     total = (sums.t0 or 0) + (sums.t1 or 0)
@@ -85,8 +86,7 @@ def word_ratios(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
             return shared
         return (F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) + discount * sums[f"u{y}"] * shared) / sums[f"t{y}"]
 
-    ratios = words.select(F.lit("w").alias("kind"), F.col("word").alias("gram"), F.log(p(1) / p(0)).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
-    return ratios.filter("value > 0")
+    return words.select(F.lit("w").alias("kind"), F.col("word").alias("gram"), F.log(p(1) / p(0)).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -162,6 +162,21 @@ def kneser_ney(top: DataFrame, order: int = ORDER, shared: int = SHARED, discoun
 
 # ---------------------------------------------------------------- scoring
 
+#: What a text is judged by.
+FEATURES = ("_span", "_mean", "_lean")
+
+
+def text_features(ratios: np.ndarray, leaning: np.ndarray, span: int = SPAN) -> tuple[float, float, float]:
+    """From the log ratios of a text's words in order: the highest of a stretch and that of the whole text, each over its length and one neutral
+    word; and from how far their spelling leans, the square root of the mean. Without words all are 0."""
+    n = len(ratios)
+    if not n:
+        return 0.0, 0.0, 0.0
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    best = max(float((sums[m:] - sums[:-m]).max()) / (m + 1) for m in range(1, min(span, n) + 1))
+    return best, float(sums[-1]) / (n + 1), sqrt(float(leaning.sum()) / n)
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,7 +245,7 @@ class Speller:
         return np.concatenate([*keys, h[lacks]]), np.concatenate([*places, np.flatnonzero(lacks)])
 
     def strength(self, words: list[str]) -> np.ndarray:
-        """The words' own log ratios; 0 for a word that speaks for the ordinary class or that no labelled text has."""
+        """The words' own log ratios; 0 for one that no labelled text has."""
         return self._look(_hash_words(words))[1].astype(np.float64)
 
     def leaning(self, words: list[str]) -> np.ndarray:
@@ -253,25 +268,23 @@ class Speller:
             total[left] += self._look(_at(codes, at, n - 1, 1))[1]
         return np.bincount(owner, total, len(words))
 
-    def features(self, texts: list[str]) -> tuple[list[float], list[float]]:
-        """For each text the strongest word's log ratio, and the (square root of the) share of words whose spelling leans to the toxic side.
-
-        Words that weren't met before are looked up for all the texts at once.
-        """
+    def features(self, texts: list[str]) -> list[tuple[float, float, float]]:
+        """``text_features`` of each text. Words that weren't met before are looked up for all the texts at once."""
         words = [words_of(x) for x in texts]
-        distinct = [set(w) for w in words]
         strong, lean = self.strong, self.lean
-        new = list(set().union(*distinct).difference(strong))
+        new = list(set().union(*words).difference(strong))
         if len(strong) + len(new) > REMEMBERED:
             strong.clear()
             lean.clear()
-            new = list(set().union(*distinct))
+            new = list(set().union(*words))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             strong.update(zip(part, self.strength(part).tolist(), strict=True))
             lean.update(zip(part, self.leaning(part).tolist(), strict=True))
-        most = [max(map(strong.__getitem__, d), default=0.0) for d in distinct]
-        return most, [sqrt(sum(map(lean.__getitem__, w)) / len(w)) if w else 0.0 for w in words]
+        every = list(chain.from_iterable(words))
+        ends = np.cumsum([0, *map(len, words)])
+        ratios, leaning = (np.fromiter(map(d.__getitem__, every), np.float64, len(every)) for d in (strong, lean))
+        return [text_features(ratios[i:j], leaning[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
 class Both(Speller):
@@ -292,7 +305,7 @@ class Model:
     def __init__(self, spark: SparkSession, rows: pa.Table, rest: DataFrame | None = None):
         order = np.argsort(keys := rows["key"].to_numpy().view(np.uint64), kind="stable")
         self.sent = spark.sparkContext.broadcast((keys[order].tobytes(), rows["value"].to_numpy().astype(np.float32)[order].tobytes()))
-        self.slopes, self.intercept, self.rest = np.ones(2), 0.0, rest
+        self.slopes, self.intercept, self.rest = np.ones(len(FEATURES)), 0.0, rest
 
     def _word_scores(self, texts: DataFrame) -> DataFrame:
         """(word, strong, lean) of the distinct words of the column ``text``, with the rows of ``rest``; the same as from one table of all rows."""
@@ -325,22 +338,35 @@ class Model:
         rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         scores = stash(self._word_scores(rows), "word-scores")
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own, words, n = [], [], []
+                own, words, places = [], [], []
                 for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    held = Counter(words_of(x.as_py() or ""))
+                    held: dict[str, list[int]] = {}
+                    for k, w in enumerate(words_of(x.as_py() or "")):
+                        held.setdefault(w, []).append(k)
                     own += [i] * len(held)
                     words += held.keys()
-                    n += held.values()
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["_row", "word", "n"])
-
-        held = rows.select("_row", "text").mapInArrow(count, "_row long, word string, n long")
-        found = held.join(scores, "word").groupBy("_row").agg(F.max("strong").alias("_strong"), F.sqrt(F.sum(F.col("n") * F.col("lean")) / F.sum("n")).alias("_lean"))
-        return rows.join(found, "_row", "left").select(*docs.columns, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("_strong", "_lean")))
+                    places += held.values()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["_row", "word", "places"])
+
+        @F.arrow_udf("struct<_span:double,_mean:double,_lean:double>")
+        def judge(texts: pa.Array) -> pa.Array:
+            out = []
+            for words in texts.to_pylist():
+                n = sum(len(w["places"]) for w in words)
+                ratios, leaning = np.zeros(n), np.zeros(n)
+                for w in words:
+                    ratios[w["places"]], leaning[w["places"]] = w["strong"], w["lean"]
+                out.append(text_features(ratios, leaning))
+            return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.float64()) for k in range(3)], list(FEATURES))
+
+        held = rows.select("_row", "text").mapInArrow(place, "_row long, word string, places array<int>")
+        found = held.join(scores, "word").groupBy("_row").agg(F.collect_list(F.struct("places", "strong", "lean")).alias("words")).select("_row", judge("words").alias("_found"))
+        return rows.join(found, "_row", "left").select(*docs.columns, *(F.coalesce(F.col(f"_found.{c}"), F.lit(0.0)).alias(c) for c in FEATURES))
 
     def features(self, docs: DataFrame) -> DataFrame:
-        """docs with the columns ``_strong`` and ``_lean``; docs must have the column text and any others."""
+        """docs with the columns of ``FEATURES``; docs must have the column text and any others."""
         if self.rest is not None:
             return self._joined_features(docs)
         sent, at = self.sent, docs.columns.index("text")
@@ -351,11 +377,11 @@ class Model:
             for b in batches:
                 for i in range(0, b.num_rows, TOGETHER):
                     part = b.slice(i, TOGETHER)
-                    found = speller.features([x or "" for x in part.column(at).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(f, pa.float64()) for f in found)], names=[*b.schema.names, "_strong", "_lean"])
+                    found = np.array(speller.features([x or "" for x in part.column(at).to_pylist()]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(f.copy(), pa.float64()) for f in found.T)], names=[*b.schema.names, *FEATURES])
             tidy()
 
-        added = [T.StructField("_strong", T.DoubleType()), T.StructField("_lean", T.DoubleType())]
+        added = [T.StructField(c, T.DoubleType()) for c in FEATURES]
         return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -390,8 +416,8 @@ def fit(labelled: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -
     fitted = Model(spark, hash_rows(model).toArrow(), rest=None if rest is None else stash(hash_rows(rest), "rare-grams"))
     held = labelled.filter(~F.col("fit")).select("toxic", "text")
     sample = held.orderBy(F.xxhash64("text")).limit(CALIBRATION_ROWS) if held.count() > CALIBRATION_ROWS else held
-    sample = fitted.features(sample).select("_strong", "_lean", "toxic").toArrow()
-    fitted.slopes, fitted.intercept = logistic(np.stack([sample["_strong"].to_numpy(), sample["_lean"].to_numpy()], 1), sample["toxic"].to_numpy().astype(float))
+    sample = fitted.features(sample).select(*FEATURES, "toxic").toArrow()
+    fitted.slopes, fitted.intercept = logistic(np.stack([sample[c].to_numpy() for c in FEATURES], 1), sample["toxic"].to_numpy().astype(float))
     return fitted
 
 
@@ -445,8 +471,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rest = replace_columns(docs, "score", "predicted")
     names, at = rest.columns, column(rest, text_col)
     plain = rest.toDF(*[f"c{i}" if i != at else "text" for i in range(len(names))])
-    value = 1 / (1 + F.exp(-(F.col("_strong") * float(model.slopes[0]) + F.col("_lean") * float(model.slopes[1]) + model.intercept)))
-    out = model.features(plain).withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_strong", "_lean")
+    total = F.lit(float(model.intercept))
+    for c, slope in zip(FEATURES, model.slopes):
+        total = total + F.col(c) * float(slope)
+    value = 1 / (1 + F.exp(-total))
+    out = model.features(plain).withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*FEATURES)
     return out.toDF(*names, "score", "predicted")
 
 

@@ -133,7 +133,7 @@ def test_word_probabilities(spark):
             p[y][r[0]] = (max(r[1 + y] - 0.75, 0) + 0.75 * u * (r[1] + r[2]) / total) / t
         assert sum(p[y].values()) == pytest.approx(1)
     want = {w: np.log(p[1][w] / p[0][w]) for w in p[0]}
-    assert got == pytest.approx({w: x for w, x in want.items() if x > 0}) and set(got) == {"idiot", "rare"}
+    assert got == pytest.approx(want) and {w for w, x in want.items() if x > 0} == {"idiot", "rare"}
     assert toxicity.word_ratios(spark.createDataFrame([("a", 0, 2)], "word string, c0 long, c1 long")).count() <= 1  # no ordinary text
     assert toxicity.word_ratios(spark.createDataFrame([], "word string, c0 long, c1 long")).count() == 0
 
@@ -181,3 +181,48 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, labelled, model):
     got = toxicity.score(some, few)
     assert len(few.sent.value[0]) <= 500 * 8 and got.columns == ["doc_id", "text", "score", "predicted"]
     assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_whole_scores_by_definition(spark):
+    """Scores from counts of words and of their characters, by the formulas, for all stretches of each text."""
+    rng, rows = random.Random(8), []
+    for i in range(160):
+        words = [rng.choice(("ab", "ba", "abab", "cab", "bb")) for _ in range(rng.randint(1, 40))]
+        toxic = int(i % 4 == 0)
+        words[0] = rng.choice(("zax", "zaz")) if toxic else words[0]
+        rng.shuffle(words)
+        rows.append((toxic, " ".join(words), i % 3 > 0))
+    model = toxicity.fit(spark.createDataFrame(rows, "toxic int, text string, fit boolean"), order=toxicity.ORDER)
+    texts = ["", "12", "zax", "ab ba cab", "zaz " * 3 + "ab " * 30, *(r[1] for r in rows[:20])]
+    got = {r.i: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model).collect()}
+
+    counts = {}
+    for toxic, text, fit in rows:
+        for w in set(text.split()) if fit else ():
+            counts.setdefault(w, [0, 0])[toxic] += 1
+    total = [sum(c[y] for c in counts.values()) for y in (0, 1)]
+    kinds = [sum(c[y] > 0 for c in counts.values()) for y in (0, 1)]
+    p = lambda w, y: (max(counts[w][y] - 0.75, 0) + 0.75 * kinds[y] * sum(counts[w]) / sum(total)) / total[y]
+    ratio = lambda w: np.log(p(w, 1) / p(w, 0)) if w in counts else 0.0
+    global WORDS
+    before, WORDS = WORDS, [(w, *c) for w, c in counts.items()]
+    try:
+        plain = Plain(toxicity.ORDER, toxicity.SHARED)
+    finally:
+        WORDS = before
+    n = toxicity.ORDER - 1
+
+    def lean(w):
+        x = "\x02" * n + w + "\x03"
+        found = sum(np.log(plain.p(x[i - n : i + 1], 1) / plain.p(x[i - n : i + 1], 0)) for i in range(n, len(x)))
+        return min(max((found - toxicity.LEAN_FROM) / (toxicity.LEAN_WHOLLY - toxicity.LEAN_FROM), 0), 1)
+
+    for i, text in enumerate(texts):
+        words = toxicity.words_of(text)
+        found = (0, 0, 0)
+        if words:
+            v = [ratio(w) for w in words]
+            spans = [sum(v[a:b]) / (b - a + 1) for a in range(len(v)) for b in range(a + 1, min(a + toxicity.SPAN, len(v)) + 1)]
+            found = (max(spans), sum(v) / (len(v) + 1), np.sqrt(np.mean([lean(w) for w in words])))
+        want = 1 / (1 + np.exp(-(np.dot(found, model.slopes) + model.intercept)))
+        assert got[i] == pytest.approx(want, abs=1e-4)
