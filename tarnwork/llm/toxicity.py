@@ -4,10 +4,10 @@ Each class, toxic and ordinary, gets two interpolated Kneser-Ney models. One is
 class that has it; its lower order is counted over both classes together, so a rare word falls back to a count that the classes share.
 The other is over the characters of these words (order ``ORDER``, counts of distinct left contexts below the highest order); its orders up
 to ``SHARED`` are shared too. So an expression speaks for a class as far as that class has it in several documents, and one never seen
-before still does by its stem. A text's two log-likelihoods are compared by length: for each stretch of up to ``SPAN`` words the log ratio of its
-likelihoods over the number of its words and one neutral word more, of which the highest decides what a long text holds in one place;
-the same over the whole text; and the share of its words whose spelling is the toxic model's. A logistic function of the three, fitted on labelled
-rows that the counts didn't use, gives the score.
+before still does by its stem. The two log-likelihoods are compared stretch by stretch and by length, as an expression is as bad in a long text as
+in a short one: the highest log ratio of a single word; the highest of a stretch of up to ``SPAN`` words, over the number of its words
+and one neutral word more; and the share of words whose spelling is the toxic model's. A logistic function of the three, fitted on
+labelled rows that the counts didn't use, gives the score.
 """
 
 from __future__ import annotations
@@ -163,18 +163,18 @@ def kneser_ney(top: DataFrame, order: int = ORDER, shared: int = SHARED, discoun
 # ---------------------------------------------------------------- scoring
 
 #: What a text is judged by.
-FEATURES = ("_span", "_mean", "_lean")
+FEATURES = ("_word", "_span", "_lean")
 
 
 def text_features(ratios: np.ndarray, leaning: np.ndarray, span: int = SPAN) -> tuple[float, float, float]:
-    """From the log ratios of a text's words in order: the highest of a stretch and that of the whole text, each over its length and one neutral
-    word; and from how far their spelling leans, the square root of the mean. Without words all are 0."""
+    """From the log ratios of a text's words in order: the highest of a word, and the highest of a stretch over its length and one neutral word;
+    and from how far their spelling leans, the square root of the mean. Without words all are 0."""
     n = len(ratios)
     if not n:
         return 0.0, 0.0, 0.0
     sums = np.concatenate([[0.0], np.cumsum(ratios)])
     best = max(float((sums[m:] - sums[:-m]).max()) / (m + 1) for m in range(1, min(span, n) + 1))
-    return best, float(sums[-1]) / (n + 1), sqrt(float(leaning.sum()) / n)
+    return float(ratios.max()), best, sqrt(float(leaning.sum()) / n)
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -350,7 +350,7 @@ class Model:
                     places += held.values()
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["_row", "word", "places"])
 
-        @F.arrow_udf("struct<_span:double,_mean:double,_lean:double>")
+        @F.arrow_udf("struct<_word:double,_span:double,_lean:double>")
         def judge(texts: pa.Array) -> pa.Array:
             out = []
             for words in texts.to_pylist():
