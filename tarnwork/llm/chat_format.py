@@ -31,7 +31,6 @@ _CONTROL = re.compile(r"###|</turn>|: |\n")
 _ALL = re.compile(r"###|</turn>|: |\n|\\")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _ROLE = re.compile(r"((?:[^\\:]|\\.|:(?! ))*): ", re.DOTALL)
-_BODY = re.compile(r"((?:[^\\<]|\\.|<(?!/turn>\n))*)</turn>\n", re.DOTALL)
 
 
 class NotInGrammar(ValueError):

@@ -4,11 +4,11 @@ A fingerprint is one or more 64-bit lanes. Reference fingerprints (pivots) turn
 inequality two fingerprints at most ``d`` apart differ by at most ``d`` in each of these distances, so pairs whose largest
 coordinate difference is greater are discarded, and what survives is verified bit by bit.
 
-Which pairs are looked at at all also comes from the table. Besides the spread references it has, for a base reference P and
-each bit i, the reference P with bit i flipped; a fingerprint is one nearer or farther from it than from P, depending on that bit
-alone. The coordinates of all references that flip inside one segment therefore pack into ``(x ^ P) & segment``. If at most ``d``
-of ``s`` segments can differ, ``s - d`` segments agree in all their coordinates: pairs meet under one of ``C(s, d)`` equal packed rows.
-No pair within the bound is missed, and none has to be sought among all others.
+Which pairs are looked at at all doesn't come from these distances: random fingerprints are about equally far from any reference, so a few
+distances let most strangers through (figures in the README). Pairs meet in buckets of agreeing bits: a fingerprint is cut into ``s`` segments, of
+which at most ``d`` can differ, so two within the bound agree in ``s - d`` segments and meet under one of ``C(s, d)`` keys, each the
+fingerprint's bits under a mask. No pair within the bound is missed, and none has to be sought among all others. Inside a bucket the
+tables order and discard.
 """
 
 from __future__ import annotations
