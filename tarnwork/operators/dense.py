@@ -217,7 +217,8 @@ def encode(texts: DataFrame, load, id_col: str, text_col: str = "text") -> DataF
 def evaluate(queries: DataFrame, cards: DataFrame, models: list) -> DataFrame:
     """(query_id, variant, first_rank, rr, top1) of each encoder, from texts: cards and queries are encoded, ranked and measured.
 
-    queries: (query_id, text, gold), gold being the card_id sought; cards: (card_id, text); models: one ``load`` for each variant.
+    queries: (query_id, text, gold), gold being the card_id sought; cards: (card_id, text); models: one ``load`` for each variant. Null
+    texts are encoded as empty ones; a query whose gold is null or no card's id is left out; without cards or queries there is no row.
     """
     out = None
     for v, load in enumerate(models):

@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -53,7 +53,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 
 def cards_of(imports: DataFrame) -> DataFrame:
-    """(file_id, modules, card): a card's text names the file and what it imports, in order."""
+    """(file_id, modules, card): a card's text names the file and what it imports, in order. A file without imports, or one that can't be parsed, has a card that only names it; of a null file the card is null."""
     ordered = F.array_sort(F.collect_list(F.when(F.col("module").isNotNull(), F.struct("pos", "module"))))
     listed = imports.groupBy("file_id").agg(F.transform(ordered, lambda s: s["module"]).alias("modules"))
     text = F.concat(F.lit("File "), F.col("file_id"), F.when(F.size("modules") > 0, F.concat(F.lit(" Imports "), F.concat_ws(" ", "modules"))).otherwise(""))
@@ -61,7 +61,7 @@ def cards_of(imports: DataFrame) -> DataFrame:
 
 
 def holds(modules: Column, *expected: str) -> Column:
-    """Whether a card isn't empty and has all the expected modules."""
+    """Whether a card isn't empty and has all the expected modules; null for null modules."""
     out = F.size(modules) > 0
     for m in expected:
         out = out & F.array_contains(modules, m)
@@ -74,3 +74,22 @@ def extract_links(pages: DataFrame) -> DataFrame:
     Only lower-case, double-quoted ``href`` counts. Defined cases: pages without links, empty or null ones included, give no row.
     """
     return pages.select("page_id", F.posexplode(F.expr("""regexp_extract_all(html, 'href="([^"]*)"', 1)""")).alias("pos", "href"))
+
+
+def register_imports(spark: SparkSession, name: str = "imports_of") -> None:
+    """Makes import extraction a table function of SQL: ``imports_of(src)`` gives (pos, kind, level, module, error), nothing for a source without imports.
+
+    With ``LEFT JOIN LATERAL imports_of(src) i ON true`` a file without imports keeps its row.
+    """
+
+    @F.udtf(returnType="pos int, kind string, level int, module string, error string")
+    class ImportsOf:
+        def eval(self, src: str):
+            try:
+                for i, (kind, level, module) in enumerate(modules_of(src or "")):
+                    yield i, kind, level, module, None
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                yield None, None, None, None, type(e).__name__
+
+    ship(spark)
+    spark.udtf.register(name, ImportsOf)

@@ -39,7 +39,7 @@ def first_hit(hits: DataFrame, id_col: str, place: str, expected) -> DataFrame:
 
 
 def check_schema(hits: DataFrame, *required: str) -> DataFrame:
-    """One row: whether the columns exist (looked at before any row is), and how many rows lack a value."""
+    """One row: whether the columns exist (looked at before any row is), and how many rows lack a value. Without rows all is well; a row that lacks several counts once; an empty text is a value."""
     missing = [c for c in required if c not in hits.columns]
     if missing:
         return hits.agg(F.lit(False).alias("ok"), F.count("*").alias("n_bad"), F.count("*").alias("n_rows"))
@@ -85,9 +85,10 @@ def _counter(sent, kind: pa.DataType):
         for i, (_, ws) in enumerate(sent.value):
             for w in ws:
                 words.setdefault(w, set()).add(i)
+        owners = list(words.values())
         found = ahocorasick.Automaton()
-        for w, owners in words.items():
-            found.add_word(w, tuple(owners))
+        for i, w in enumerate(words):
+            found.add_word(w, i)
         counts = [0] * len(sent.value)
         if words:
             found.make_automaton()
@@ -95,8 +96,8 @@ def _counter(sent, kind: pa.DataType):
             for x in b.column(0):
                 if text := x.as_py():
                     hit: set[int] = set()
-                    for _, owners in found.iter(text):
-                        hit.update(owners)
+                    for i in {i for _, i in found.iter(text)}:  # a word's queries are counted once, however often it occurs
+                        hit |= owners[i]
                         if len(hit) == len(counts):
                             break
                     for i in hit:

@@ -63,5 +63,5 @@ def count_statuses(outcomes: DataFrame) -> DataFrame:
 
 
 def exit_status(outcomes: DataFrame) -> int:
-    """1 if any guard failed, else 0."""
+    """1 if any guard failed, else 0: skipped guards and those without a status don't fail, and no guards neither."""
     return int(not outcomes.filter("status = 'FAIL'").isEmpty())

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 SECOND = 1_000_000
 
 
-def micros(df: DataFrame, name: str, prefix: str) -> Column:
-    """Column ``name`` of df, renamed by ``_plain``, in microseconds: a timestamp with or without zone, a date, or a number that is that already."""
-    i, kind = df.columns.index(name), dict(df.dtypes)[name]
+def micros_of(kind: str, name: str) -> Column:
+    """A column of this type in microseconds: a timestamp with or without zone, a date, or a number that is that already."""
     if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {prefix}{i})")
-    return F.unix_micros(F.col(f"{prefix}{i}").cast("timestamp")) if kind in ("timestamp", "date") else F.col(f"{prefix}{i}").cast("long")
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {name})")
+    return F.unix_micros(F.col(name).cast("timestamp")) if kind in ("timestamp", "date") else F.col(name).cast("long")
+
+
+def micros(df: DataFrame, name: str, prefix: str) -> Column:
+    """Column ``name`` of df, renamed by ``_plain``, in microseconds."""
+    return micros_of(dict(df.dtypes)[name], f"{prefix}{df.columns.index(name)}")
 
 
 def _plain(df: DataFrame, prefix: str) -> DataFrame:
@@ -104,3 +108,19 @@ def within(points: DataFrame, intervals: DataFrame, by: str | tuple[str, str], t
     asked = asked.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bins("_t"))
     pairs = asked.join(dealt, ["_k", "_level", "_bin"]).filter("_low <= _t AND _t < _high")
     return pairs.select(*[F.col(f"l{n}").alias(c) for n, c in enumerate(points.columns)], *[F.col(f"r{n}").alias(f"{c}{suffix}") for n, c in enumerate(intervals.columns)])
+
+
+def islands(rows: DataFrame, by: str, time: str, tie: str, gap_seconds: int, slice_seconds: int = 86_400) -> DataFrame:
+    """All rows and columns plus island_start: the time at which the row's island began.
+
+    Rows of a key belong together as long as less than ``gap_seconds`` pass from one to the next. tie: a column that tells rows apart.
+    Two as-of joins: one finds the row before each, and with it where islands begin, the other the last beginning up to each row; so a key with
+    most of the rows is split by time here too. Defined cases: rows without key or time have no island; rows of one time share theirs.
+    """
+    kind = dict(rows.dtypes)[time]
+    plain = rows.select(F.col(by).alias("k"), F.col(time).alias("t"), F.col(tie).alias("tie"))
+    named = as_of(plain, plain, "k", "t", "tie", slice_seconds, strict=True).toDF("c0", "c1", "c2", "c3", "c4", "c5")
+    apart = micros_of(kind, "c1") - micros_of(kind, "c4")
+    starts = named.filter(F.col("c4").isNull() | (apart >= gap_seconds * SECOND)).select(F.col("c0").alias("k"), F.col("c1").alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").distinct()
+    found = as_of(rows, starts, (by, "k"), (time, "t"), "t", slice_seconds, suffix="__start")
+    return found.toDF(*rows.columns, "_k", "island_start").drop("_k")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, pruned, temporal, trigrams
+from ..operators import deps, graph, pruned, sketches, stats, temporal, trigrams
 from ..sources import table
 from ..streaming.windows import in_arrivals, sessions, windowed
 from ..written import new_path
+from . import rendered
 
 TOP = 5
-NEAR_SECONDS, MAX_HOPS, LOTS = 600, 3, 4
+NEAR_SECONDS, MAX_HOPS, LOTS, REPLICATES = 600, 3, 4, 200
 PHRASE_WORDS = 3
 
 
@@ -121,11 +122,53 @@ def part_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(a.join(b, ["o", "n"]).select("a", "b"), starts, MAX_HOPS)
 
 
+def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's runs of events with less than twelve hours between them."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    found = temporal.islands(rows, "user_id", "ts", "event_id", 12 * 3600)
+    since = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c})")
+    return found.groupBy("user_id", "island_start").agg(F.count("*").alias("n"), since("max(ts)").alias("ends")).select("user_id", since("island_start").alias("starts"), "ends", "n")
+
+
+def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mcnemar_p(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+def scorer_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean difference of the two labels, with its bootstrap interval."""
+    return stats.bootstrap_mean(table(spark, sf_dir, "labels").withColumn("d", F.col("quality") - F.col("toxic")), "doc_id", "d", REPLICATES)
+
+
+def lineitem_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, quantity and parts by flag, year and status: by all three, by the first two, by year, and in all."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.year("l_shipdate").alias("ship_year"), "l_linestatus", "l_quantity", "l_partkey")
+    return stats.grouped(lines, [["l_returnflag", "ship_year", "l_linestatus"], ["l_returnflag", "ship_year"], ["ship_year"], []], "l_quantity", "l_partkey")
+
+
+def import_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import extraction as a table function in SQL; files without imports keep their row."""
+    deps.register_imports(spark)
+    files = rendered.source_files(table(spark, sf_dir, "part"))
+    return spark.sql("SELECT f.file_id, i.pos, i.kind, i.level, i.module, i.error FROM {files} f LEFT JOIN LATERAL imports_of(f.src) i ON true", files=files)
+
+
+def sketched_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the median price of each year's lines, from sketches of its months, and whether they are within their bounds of the exact figures."""
+    lines = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("ship_year"), F.month("l_shipdate").alias("ship_month"), "l_partkey", "l_extendedprice")
+    months = sketches.build(lines, ["ship_year", "ship_month"], "l_partkey", "l_extendedprice", new_path(spark, "sketches"))
+    years = sketches.estimates(sketches.merge(months, ["ship_year"]), 0.5).withColumnRenamed("n", "sketched")
+    both = lines.join(years, "ship_year").groupBy("ship_year").agg(
+        F.count("*").alias("n"), F.countDistinct("l_partkey").alias("n_parts"), F.max("n_distinct").alias("guess"), F.avg((F.col("l_extendedprice") <= F.col("q0")).cast("double")).alias("rank")
+    )
+    return both.select("ship_year", "n", "n_parts", (F.abs(F.col("guess") - F.col("n_parts")) <= 0.03 * F.col("n_parts") + 1).alias("parts_within"), (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_within"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_pruned, vector_pruned_work, trigram_multi_query, trigram_phrases, stream_tumbling, stream_sliding, stream_sessions,
         event_previous, event_last_order, event_pairs_near, orders_while_shipping, part_closure,
+        event_islands, mcnemar_p, scorer_interval, lineitem_levels, import_sql, sketched_years,
     )
 }
 
@@ -177,4 +220,23 @@ ORACLE_SQL = {
       SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0
       UNION SELECT start, b, hops + 1 FROM reach JOIN edges ON node = a WHERE hops < {MAX_HOPS})
     SELECT start, node, min(hops)::INTEGER AS hops FROM reach GROUP BY start, node""",
+    "event_islands": """
+    WITH s AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR)::INT, 1) AS opens FROM events),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM s)
+    SELECT user_id, epoch_us(min(ts)) AS starts, epoch_us(max(ts)) AS ends, count(*) AS n FROM g GROUP BY user_id, nth""",
+    "mcnemar_p": f"""
+    SELECT b, c, round(chi2, 9) AS chi2, {stats.chi2_p_sql("round(chi2, 9)")} AS p FROM (SELECT b, c, (b - c) * (b - c)::DOUBLE / nullif(b + c, 0) AS chi2 FROM (
+      SELECT coalesce(sum((quality = 1 AND toxic <> 1)::INT), 0)::BIGINT AS b, coalesce(sum((quality <> 1 AND toxic = 1)::INT), 0)::BIGINT AS c FROM labels) x) y""",
+    "scorer_interval": f"""
+    WITH drawn AS (SELECT r, quality - toxic AS v, ('0x' || substr(md5('0:' || doc_id || ':' || r), 1, 8))::BIGINT / 4294967296.0E0 AS u FROM labels, range({REPLICATES}) g(r)),
+    sums AS (SELECT r, sum(w) AS w, sum(w * v) AS s FROM (SELECT r, v, {stats.poisson_sql("u")} AS w FROM drawn) d GROUP BY r),
+    m AS (SELECT list_sort(list(s::DOUBLE / w) FILTER (WHERE w > 0)) AS m FROM sums)
+    SELECT (SELECT count(*) FROM labels) AS n, (SELECT round(avg(quality - toxic), 9) FROM labels) AS mean,
+           round(m[floor(len(m) * {(1 - 0.95) / 2!r})::INT + 1], 9) AS low, round(m[len(m) - floor(len(m) * {(1 - 0.95) / 2!r})::INT], 9) AS high FROM m""",
+    "lineitem_levels": """
+    SELECT l_returnflag, ship_year::INTEGER AS ship_year, l_linestatus, grouping(l_returnflag, ship_year, l_linestatus)::BIGINT AS level, count(*) AS n, sum(l_quantity) AS total, count(DISTINCT l_partkey) AS n_distinct
+    FROM (SELECT *, year(l_shipdate) AS ship_year FROM lineitem) l GROUP BY GROUPING SETS ((l_returnflag, ship_year, l_linestatus), (l_returnflag, ship_year), (ship_year), ())""",
+    "import_sql": rendered.IMPORTS_SQL,
+    "sketched_years": """
+    SELECT year(l_shipdate)::INTEGER AS ship_year, count(*) AS n, count(DISTINCT l_partkey) AS n_parts, true AS parts_within, true AS median_within FROM lineitem GROUP BY year(l_shipdate)""",
 }

@@ -39,3 +39,10 @@ def test_holds(spark):
 def test_links(spark):
     pages = spark.createDataFrame([(1, '<a href="/x">x</a><a href="">y</a>'), (2, "none")], "page_id long, html string")
     assert sorted((r.page_id, r.pos, r.href) for r in deps.extract_links(pages).collect()) == [(1, 0, "/x"), (1, 1, "")]
+
+
+def test_imports_in_sql(spark):
+    deps.register_imports(spark)
+    files = sources(spark, [("a", "import x, y\nfrom . import z\n"), ("e", ""), ("n", None), ("b", "def (:")])
+    got = spark.sql("SELECT f.file_id, i.module, i.error FROM {files} f LEFT JOIN LATERAL imports_of(f.src) i ON true", files=files).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", "x", None), ("a", "y", None), ("e", None, None), ("n", None, None), ("b", None, "SyntaxError")]))

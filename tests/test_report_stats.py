@@ -89,3 +89,68 @@ def test_scores_and_positions(spark, tmp_path):
     assert {r.config: r.m for r in got} == {"c1": 3.0, "c2": None}
     rows = spark.createDataFrame([("g", k, float(k)) for k in range(9)], "g string, k int, v double")
     assert tuple(stats.position_gap(rows, "g", "k", F.col("v")).first()) == (1.0, 7.0, 6.0)
+
+
+def test_p_of_chi_squared(spark):
+    values = [0.0, 0.1, 0.45, 1.0, 2.706, 3.841, 6.635, 10.83, 40.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in values], "chi2 double").selectExpr(f"{stats.chi2_p_sql('chi2')} AS p").collect()]
+    assert got == pytest.approx([stats.chi2_p(v) for v in values], abs=2e-6)
+    alone = spark.createDataFrame([(True, True)], "x boolean, y boolean")
+    row = stats.mcnemar_p(alone, F.col("x"), F.col("y")).first()
+    assert (row.b, row.c, row.chi2, row.p) == (0, 0, None, None)
+
+
+def test_bootstrap(spark):
+    """The same weights by hand; the same interval in another partitioning; no rows, and null values."""
+    import hashlib
+    import math
+
+    rows = [(i, float(i % 7)) for i in range(60)] + [(None, 3.0), (99, None)]
+    df = spark.createDataFrame(rows, "i long, v double")
+    got = stats.bootstrap_mean(df.repartition(5), "i", "v", 50).first()
+    assert got == stats.bootstrap_mean(df.repartition(1), "i", "v", 50).first()
+    steps = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
+    means = []
+    for r in range(50):
+        w = [(sum(int(hashlib.md5(f"0:{'null' if i is None else i}:{r}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in steps), v) for i, v in rows if v is not None]
+        means.append(sum(n * v for n, v in w) / sum(n for n, _ in w))
+    means.sort()
+    assert (got.n, got.low, got.high) == (61, pytest.approx(means[1], abs=1e-8), pytest.approx(means[48], abs=1e-8)) and got.low < got["mean"] < got.high
+    assert tuple(stats.bootstrap_mean(df.filter("i < 0"), "i", "v", 5).first()) == (0, None, None, None)
+
+
+def test_grouping_sets_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 5), ("a", None, 2.0, 5), (None, 1, 3.0, 6)], "x string, y int, t double, d int")
+    got = {(r.x, r.y, r.level): (r.n, r.total, r.n_distinct) for r in stats.grouped(df, [["x", "y"], ["x"], []], "t", "d").collect()}
+    assert got == {
+        ("a", 1, 0): (1, 1.0, 1), ("a", None, 0): (1, 2.0, 1), (None, 1, 0): (1, 3.0, 1),
+        ("a", None, 1): (2, 3.0, 1), (None, None, 1): (1, 3.0, 1), (None, None, 3): (3, 6.0, 2),
+    }
+
+
+def test_merged_sketches(spark, tmp_path):
+    from tarnwork.operators import sketches
+
+    df = spark.range(20_000).selectExpr("id % 3 AS a", "id % 10 AS b", "id % 5000 AS item", "cast(id AS double) AS v").union(spark.sql("SELECT 1L, 1L, null, null"))
+    built = sketches.build(df, ["a", "b"], "item", "v", f"file://{tmp_path}/s")
+    rows = {r.a: r for r in sketches.estimates(sketches.merge(sketches.reopen(spark, f"file://{tmp_path}/s"), ["a"]), 0.1, 0.9).collect()}
+    assert built.count() == 30 and rows[1].n == 6668
+    assert all(abs(r.n_distinct - 5000) < 200 and abs(r.q0 - 2000) < 500 and abs(r.q1 - 18_000) < 500 for r in rows.values())
+
+
+def test_statistics_of_nulls_and_nothing(spark):
+    points = spark.createDataFrame([(1.0, None), (None, 2.0), (3.0, 5.0), (4.0, 7.0)], "x double, y double")
+    assert tuple(stats.linear_fit(points, "x", "y").first()) == (2.0, -1.0, 1.0)
+    assert tuple(stats.linear_fit(points.filter("x < 0"), "x", "y").first()) == (None, None, None)
+    pairs = spark.createDataFrame([(True, None), (None, None), (True, False), (True, False), (False, True)], "x boolean, y boolean")
+    assert tuple(stats.mcnemar(pairs, F.col("x"), F.col("y")).first())[:2] == (2, 1)
+    texts = spark.createDataFrame([(1, None), (2, ""), (2, "")], "i int, text string")
+    assert sorted(map(str, map(tuple, stats.digests(texts, "i").collect()))) == sorted(map(str, [(1, None), (2, "d41d8cd98f00b204e9800998ecf8427e"), (2, "d41d8cd98f00b204e9800998ecf8427e")]))
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0), ("b", None)], "g string, v double")
+    assert {r.g: (r.n, r["mean"]) for r in stats.by_group(rows, "g", "v").collect()} == {"a": (2, 1.0), None: (1, 2.0), "b": (1, None)}
+    arms = rows.withColumnRenamed("g", "arm").withColumnRenamed("v", "value")
+    row = stats.pivot_scores(arms, ["a", "b"]).first()
+    assert (row.sum_a, row.sum_b, row.mean_b, row.factor) == (1.0, 0.0, None, None)
+    one = spark.createDataFrame([(1, 5), (2, None), (None, 1)], "i int, v int")
+    assert tuple(stats.paired_difference(one, one.filter("i < 2"), "i", "v").first()) == (1, 0.0)
+    assert tuple(stats.paired_difference(one, one.filter("i > 9"), "i", "v").first()) == (0, None)

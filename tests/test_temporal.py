@@ -76,3 +76,17 @@ def test_a_hot_key_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) >= 4 and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("slice_seconds", [600, 86_400])
+def test_islands(spark, kind, slice_seconds):
+    rows = made(9, 150)
+    df = frames(spark, kind, rows)[0]
+    starts, last = {}, {}
+    for k, t in sorted({(k, t) for _, k, t in rows if k is not None and t}):
+        starts[k, t] = t if k not in last or (t - last[k]).total_seconds() >= 7200 else starts[k, last[k]]
+        last[k] = t
+    got = temporal.islands(df, "k", "t", "id", 7200, slice_seconds)
+    assert got.columns == ["id", "k", "t", "island_start"]
+    assert sorted(map(str, ((r.id, r.island_start) for r in got.collect()))) == sorted(map(str, ((i, starts.get((k, t))) for i, k, t in rows)))
+    assert len(set(starts.values())) > 5
