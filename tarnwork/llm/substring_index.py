@@ -7,26 +7,30 @@ the 50-word windows around such hot anchors, each with its place in the texts: w
 
 A batch is put into chunks. Its anchors are merge-joined with the anchor runs; those met again, in the index or in the batch, are hot. Where
 an anchor of the index was alone until now, its holder's windows are added. The batch's windows around hot anchors are merge-joined with
-the window runs and each other. Hits are verified word by word against the text at the place found, which is all that is read of
+the window runs and each other. What a task has gathered of a batch is joined there first, so that of an anchor or a window which is in
+every chunk one entry for each task goes on, and hits point at many places. Hits are verified word by word against the text at the place found, which is all that is read of
 earlier texts. Then the batch's hashes become runs; ``GROWTH`` runs of one level are merged into one of the next.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..written import delete, new_path
 from .chunks import CHUNK, CHUNK_SQL, DONE, NOTE, WINDOW, Chunk, Words, beside, chunked, each_chunk, fold_equal, isin_sorted, notes, per_row, without
-from .common import prepare, stash, table, unstash
-from .spans import Columns, Layout, by_chunk, by_span, first_cut, groups, pack, pack_sorted, ranges, spans_for, unpack, unpack_sorted
+from .common import prepare, stash, table, tidy, unstash
+from .spans import Columns, Layout, by_chunk, by_span, first_cut, groups, joined, pack, pack_sorted, ranges, spans_for, unpack, unpack_sorted
 
 BATCHES = 3
+#: Entries that a task gathers before it joins them with each other.
+GATHERED = 1_000_000
 #: Runs of one level that are merged into one of the next.
 GROWTH = 2
 #: Requests for the text of one chunk that one copy of it answers.
@@ -39,8 +43,8 @@ IN_RUN, EARLIER = -(1 << 63), -(1 << 63) + 1
 ANCHORS = Layout(holder=np.int64, kind=np.uint8)
 WINDOWS = Layout(chunk=np.int64, spot=np.uint32, id=np.int64)
 ANCHOR_RUN, WINDOW_RUN = Layout(holder=np.int64), Layout(chunk=np.int64, spot=np.uint32)
-#: Kinds of an anchor entry: of one document of the batch, of several, of the index.
-ALONE, SEVERAL, KNOWN = range(3)
+#: Kinds of an anchor entry: of one document of the batch, of several, of several whose chunks know it already, of the index.
+ALONE, SEVERAL, TOLD, KNOWN = range(4)
 #: Notes for chunks: hot anchors; places whose words the chunk already has in an earlier place; hits; requests and answers. RUN: rows of a new run.
 HOT_ANCHORS, SAME, HITS, WANTED, GIVEN, RUN, ENTRIES = range(7)
 
@@ -62,10 +66,36 @@ def _recut(df: DataFrame, run: Layout, full: Layout, spans: int, **more) -> Data
     return df.select(*run.names).mapInArrow(cut, full.schema)
 
 
+def _gathered(noted: DataFrame, layout: Layout, join: Callable[[Columns], list[tuple]]) -> DataFrame:
+    """Notes in which the ENTRIES that a task has at hand are replaced by what ``join`` makes of them; other notes pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Columns] = []
+        n = 0
+        for b in batches:
+            mine = pc.equal(b.column(0), ENTRIES)
+            others = b.filter(pc.invert(mine))
+            if others.num_rows:
+                yield others
+            own = b.filter(mine)
+            for _, cols in layout.read(pa.RecordBatch.from_arrays(own.columns[1 : 1 + len(layout.names)], names=layout.names)):
+                held.append(cols)
+                n += len(cols["key"])
+                if n >= GATHERED:
+                    yield notes(join(joined(held)))
+                    held, n = [], 0
+        if held:
+            yield notes(join(joined(held)))
+        tidy()
+
+    return noted.mapInArrow(run, NOTE)
+
+
 # ---------------------------------------------------------------- anchors
 
 
 def _anchor_entries(chunks: DataFrame, spans: int) -> DataFrame:
+    """ENTRIES: a batch's anchors, one for each task. HOT_ANCHORS: those that a task has already found in two documents."""
     have = first_cut(spans)
 
     def work(chunk: Chunk) -> Iterator[pa.RecordBatch]:
@@ -75,9 +105,18 @@ def _anchor_entries(chunks: DataFrame, spans: int) -> DataFrame:
         at, _ = groups(h)
         last = np.append(at[1:], len(h)) - 1 if len(at) else at
         kind = np.where(doc[at] != doc[last], SEVERAL, ALONE).astype(np.uint8)
-        yield ANCHORS.table(ANCHORS.rows({"key": h[at], "holder": np.full(len(at), chunk.number), "kind": kind}, have))
+        yield notes([(ENTRIES, *r) for r in ANCHORS.rows({"key": h[at], "holder": np.full(len(at), chunk.number), "kind": kind})])
 
-    return each_chunk(chunks, Words, work, ANCHORS.schema)
+    def join(cols: Columns) -> list[tuple]:
+        cols = _sorted(cols, "key", "holder")
+        key, holder = cols["key"], cols["holder"]
+        at, number = groups(key)
+        hot = (np.bincount(number) > 1) | (np.bincount(number, cols["kind"] == SEVERAL) > 0)
+        told = hot[number]
+        rows = [(HOT_ANCHORS, chunk, len(mine), pack_sorted(key[told][mine])) for chunk, mine in by_chunk(holder[told])]
+        return rows + [(ENTRIES, *r) for r in ANCHORS.rows({"key": key[at], "holder": holder[at], "kind": np.where(hot, TOLD, ALONE).astype(np.uint8)}, have)]
+
+    return _gathered(each_chunk(chunks, Words, work, NOTE), ANCHORS, join)
 
 
 def _merge_anchors(cols: Columns) -> Iterator[pa.RecordBatch]:
@@ -89,8 +128,8 @@ def _merge_anchors(cols: Columns) -> Iterator[pa.RecordBatch]:
     n_fresh = np.bincount(number, fresh)
     in_index = np.bincount(number, known) > 0
     hot_before = np.bincount(number, known & (holder == HOT)) > 0
-    hot = (n_fresh > 0) & (in_index | (n_fresh > 1) | (np.bincount(number, kind == SEVERAL) > 0))
-    wanted = hot[number] & (fresh | (known & ~hot_before[number]))
+    hot = (n_fresh > 0) & (in_index | (n_fresh > 1) | (np.bincount(number, kind == TOLD) > 0))
+    wanted = hot[number] & ((kind == ALONE) | (known & ~hot_before[number]))
     rows = [(HOT_ANCHORS, chunk, len(mine), pack_sorted(key[wanted][mine])) for chunk, mine in by_chunk(holder[wanted])]
     new = (n_fresh > 0) & ~hot_before & (~in_index | hot)  # not in the index, or no longer alone
     if new.any():
@@ -103,7 +142,8 @@ def _merge_anchors(cols: Columns) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(chunks: DataFrame, told: DataFrame, earlier: bool) -> DataFrame:
-    """ENTRIES: a chunk's windows around hot anchors, each with its first place. SAME: other places of a batch, each with that first place."""
+    """ENTRIES: windows around hot anchors, each with the earliest place that the task has. SAME: other places in a chunk, each with the first
+    there. HITS: a batch's first places in chunks for which the task has an earlier one."""
 
     def work(chunk: Chunk, noted: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         wanted = np.sort(np.concatenate([unpack_sorted(r["a"], r["n"]) for r in noted]))
@@ -124,19 +164,33 @@ def _windows(chunks: DataFrame, told: DataFrame, earlier: bool) -> DataFrame:
             rows.append((SAME, chunk.number, int(other.sum()), pack(spot[other].astype(np.uint32)), pack(lead[other].astype(np.uint32))))
         yield notes(rows)
 
-    return beside(chunks, told, Words, work, NOTE)
+    def join(cols: Columns) -> list[tuple]:
+        cols, _, lead, hit = _led(cols)
+        stay = ~hit & ((cols["id"] != EARLIER) | (lead == np.arange(len(lead))))  # with the id of the place before: a smaller id may turn up elsewhere
+        return _hits(cols, lead, hit) + [(ENTRIES, *r) for r in WINDOWS.rows({k: a[stay] for k, a in cols.items()})]
+
+    return _gathered(beside(chunks, told, Words, work, NOTE), WINDOWS, join)
+
+
+def _led(cols: Columns) -> tuple[Columns, np.ndarray, np.ndarray, np.ndarray]:
+    """(windows in order, place of each group's first one, that of each one's group, which of the batch have a smaller id before them)."""
+    cols = _sorted(cols, "key", "id", "chunk", "spot")
+    at, number = groups(cols["key"])
+    lead = at[number] if len(at) else number
+    ids = cols["id"]
+    return cols, at, lead, (ids > EARLIER) & (ids > ids[lead])
+
+
+def _hits(cols: Columns, lead: np.ndarray, hit: np.ndarray) -> list[tuple]:
+    chunk, spot = cols["chunk"], cols["spot"]
+    return [(HITS, own, len(mine), pack(spot[hit][mine]), pack(chunk[lead[hit]][mine]), pack(spot[lead[hit]][mine])) for own, mine in by_chunk(chunk[hit])]
 
 
 def _merge_windows(cols: Columns) -> Iterator[pa.RecordBatch]:
     """Notes HITS: windows of the batch's chunks with the place of an earlier equal hash; and the rows of the batch's run."""
-    cols = _sorted(cols, "key", "id", "chunk", "spot")
+    cols, at, lead, hit = _led(cols)
     key, chunk, spot, ids = (cols[c] for c in ("key", "chunk", "spot", "id"))
-    at, number = groups(key)
-    lead = at[number] if len(at) else number
-    hit = (ids > EARLIER) & (ids > ids[lead])
-    rows = []
-    for own, mine in by_chunk(chunk[hit]):
-        rows.append((HITS, own, len(mine), pack(spot[hit][mine]), pack(chunk[lead[hit]][mine]), pack(spot[lead[hit]][mine])))
+    rows = _hits(cols, lead, hit)
     new = at[ids[at] != IN_RUN]
     rows += [(RUN, *r) for r in WINDOW_RUN.rows({"key": key[new], "chunk": chunk[new], "spot": spot[new]})]
     yield notes(rows)
@@ -303,9 +357,11 @@ class FingerprintIndex:
 
         spans = spans_for(self._entries("anchors") + raw // 100)
         known = self._recut_runs("anchors", ANCHOR_RUN, ANCHORS, spans, kind=KNOWN)
-        entries = ANCHORS.exchange(_union([_anchor_entries(chunks, spans), *known]), spans)
+        near = stash(_anchor_entries(chunks, spans), "anchors", "what")
+        entries = ANCHORS.exchange(_union([_rows(near.filter(F.col("what") == ENTRIES), ANCHORS), *known]), spans)
         met = stash(by_span(entries, ANCHORS, _merge_anchors, NOTE), "", "what", path=f"{mark}-anchors")
-        told = met.filter(F.col("what") == HOT_ANCHORS)
+        unstash(near, part=f"what={ENTRIES}")
+        told = near.unionByName(met).filter(F.col("what") == HOT_ANCHORS)
 
         found = _windows(chunks, told, False)
         if earlier is not None:
@@ -319,7 +375,7 @@ class FingerprintIndex:
         merged = stash(by_span(entries, WINDOWS, _merge_windows, NOTE), "", "what", path=f"{mark}-windows")
         unstash(found, part=f"what={ENTRIES}")
 
-        wanted = stash(_requests(merged.filter(F.col("what") == HITS)), "wanted")
+        wanted = stash(_requests(found.unionByName(merged).filter(F.col("what") == HITS)), "wanted")
         held = chunks.select(*CHUNK) if earlier is None else chunks.select(*CHUNK).unionByName(earlier)
         given = _answers(held, wanted)
         done = _remove(chunks, found.filter(F.col("what") == SAME).select(*given.columns).unionByName(given), with_text)
@@ -332,7 +388,7 @@ class FingerprintIndex:
         self._save()
         for path in old:
             delete(self.spark, path)
-        unstash(found, wanted)
+        unstash(near, found, wanted)
         for noted, what in ((met, HOT_ANCHORS), (merged, HITS)):
             unstash(noted, part=f"what={what}")
         return done

@@ -85,6 +85,34 @@ def test_hot_anchors_and_many_spans(spark, monkeypatch):
     assert sorted(str(tuple(r)[:5]) for r in remove(df).collect()) == brute(rows, units, join)
 
 
+def test_an_entry_for_each_task_not_each_chunk(spark, monkeypatch):
+    """A sentence that is in every chunk: of its anchors and windows a task lets out one entry each, and tells its chunks the rest itself."""
+    rng = random.Random(8)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    sentence = make(70)
+    rows = [(i, f"{make(rng.randint(5, 30))} {sentence} {make(5)}") for i in range(80)]
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 700)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    _, texts_ = chunks.fold_equal(df, "doc_id", "text")
+    made = chunks.chunked(texts_, chunks.Words, []).coalesce(2).cache()
+    n = made.count()
+    assert n > 30
+
+    def most(noted, layout):
+        keys = [c["key"] for b in substring_index._rows(noted.filter(f"what = {substring_index.ENTRIES}"), layout).toArrow().to_batches() for _, c in layout.read(b)]
+        return int(np.unique(np.concatenate(keys), return_counts=True)[1].max())
+
+    anchors = substring_index._anchor_entries(made, 1).cache()
+    assert most(anchors, substring_index.ANCHORS) <= 2
+    told = anchors.filter(f"what = {substring_index.HOT_ANCHORS}")
+    assert told.select("chunk").distinct().count() == n
+    windows = substring_index._windows(made, told, False).coalesce(2).cache()
+    assert most(windows, substring_index.WINDOWS) <= windows.rdd.getNumPartitions() * 4 < n
+    hits = windows.filter(f"what = {substring_index.HITS}").select("chunk", "n", "b").collect()
+    there = np.concatenate([spans.unpack(r.b, r.n, np.int64) for r in hits])
+    assert len({r.chunk for r in hits}) > n // 2 and len(set(there.tolist())) > 1
+
+
 def test_groups_stay_whole(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", 10)
     group, size = np.array([0, 0, 1, 1, 1, 2, 3, 3]), np.array([4, 4, 5, 5, 5, 1, 2, 2])
