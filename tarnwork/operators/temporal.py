@@ -74,7 +74,7 @@ def near(left: DataFrame, right: DataFrame, by: str, time: str, seconds: int, su
     """Pairs of a left and a right row of the same key whose times are at most so many seconds apart.
 
     Time is cut into bins of that length; a right row goes to its own bin and both neighbours, so that a pair meets once and only where it
-    may be near, and an exact filter follows. Defined cases: rows without key or time are in no pair; repeated rows are pairs of their own;
+    may be near, and an exact filter follows. As in ``within`` no side is broadcast: Spark's estimate leaves out what explode adds. Defined cases: rows without key or time are in no pair; repeated rows are pairs of their own;
     no seconds: equal times.
     """
     width = max(1, seconds * SECOND)
@@ -84,7 +84,7 @@ def near(left: DataFrame, right: DataFrame, by: str, time: str, seconds: int, su
     at = lambda t: F.floor(t / width).cast("long")
     a = lefts.withColumn("_k", k_l).withColumn("_bin", at(t_l))
     b = rights.withColumn("_k", k_r).withColumn("_bin", F.explode(F.array(*[at(t_r) + d for d in (-1, 0, 1)])))
-    pairs = a.join(b, ["_k", "_bin"]).filter(F.abs(t_l - t_r) <= seconds * SECOND)
+    pairs = a.join(b.hint("merge"), ["_k", "_bin"]).filter(F.abs(t_l - t_r) <= seconds * SECOND)
     return pairs.select(*[F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"r{i}").alias(f"{c}{suffix}") for i, c in enumerate(right.columns)])
 
 
@@ -92,7 +92,8 @@ def within(points: DataFrame, intervals: DataFrame, by: str | tuple[str, str], t
     """Pairs of a point and an interval [start, end) of the same key that holds it, for intervals of any mix of lengths.
 
     An interval belongs to the level whose bins are as long as itself or up to twice as long, so that it touches two bins at most; a point
-    goes to one bin of each level that occurs (64 at most, a small aggregate). Defined cases: an interval that doesn't end after its
+    goes to one bin of each level that occurs (64 at most, a small aggregate). The sides meet by sort and shuffle: before explode the points may
+    look small enough to be broadcast, and the driver would build a table of them for all levels. Defined cases: an interval that doesn't end after its
     start, or lacks a bound or key, holds nothing; points without key or time are in none; repeated rows are pairs of their own.
     """
     by_p, by_i = by if isinstance(by, tuple) else (by, by)
@@ -106,7 +107,7 @@ def within(points: DataFrame, intervals: DataFrame, by: str | tuple[str, str], t
     levels = sorted(r[0] for r in sized.select("_level").distinct().collect())
     asked = p.withColumn("_t", t).withColumn("_k", k_p).filter("_k IS NOT NULL AND _t IS NOT NULL")
     asked = asked.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", bins("_t"))
-    pairs = asked.join(dealt, ["_k", "_level", "_bin"]).filter("_low <= _t AND _t < _high")
+    pairs = asked.join(dealt.hint("merge"), ["_k", "_level", "_bin"]).filter("_low <= _t AND _t < _high")
     return pairs.select(*[F.col(f"l{n}").alias(c) for n, c in enumerate(points.columns)], *[F.col(f"r{n}").alias(f"{c}{suffix}") for n, c in enumerate(intervals.columns)])
 
 

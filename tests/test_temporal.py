@@ -90,3 +90,12 @@ def test_islands(spark, kind, slice_seconds):
     assert got.columns == ["id", "k", "t", "island_start"]
     assert sorted(map(str, ((r.id, r.island_start) for r in got.collect()))) == sorted(map(str, ((i, starts.get((k, t))) for i, k, t in rows)))
     assert len(set(starts.values())) > 5
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """Spark estimates them without what explode adds, so that the driver would hold each point once for every level."""
+    points = spark.range(100).selectExpr("id", "id % 5 AS k", "timestamp_seconds(id * 60) AS t")
+    spans = points.selectExpr("id", "k", "t AS low", "timestamp_seconds(id * 60 + pow(2, id % 20)) AS high")
+    for pairs in (temporal.within(points, spans, "k", "t", "low", "high"), temporal.near(points, points, "k", "t", 600)):
+        assert pairs.count() > 100
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
