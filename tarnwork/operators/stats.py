@@ -144,13 +144,39 @@ def bootstrap_mean(rows: DataFrame, item: str, value: str, replicates: int = 200
     return out.select("n", F.round("mean", 9).alias("mean"), F.round(F.get("m", cut), 9).alias("low"), F.round(F.get("m", F.size("m") - 1 - cut), 9).alias("high"))
 
 
-def grouped(rows: DataFrame, sets: list[list[str]], total: str, distinct: str) -> DataFrame:
+#: Finest groups whose parts ``grouped`` tells by the bits of one number.
+CELLS = 63
+
+
+def grouped(rows: DataFrame, sets: list[list[str]], total: str, distinct: str, cells: int = CELLS) -> DataFrame:
     """(columns of all sets, level, n, total, n_distinct) for each grouping set: rows, the sum of a column, distinct values of another.
 
     level: the number whose bits, first column first, tell which columns are summed over, so that a null in the data isn't taken for one
-    of them. Spark expands a row for each set and aggregates before the shuffle, distinct values too. Without rows only the empty set has one.
+    of them. Without rows only the empty set has one. The finest groups are aggregated first, and the sets from these few rows. A distinct
+    value becomes one row with a bit for each finest group that holds it, so the table is shuffled once, not once for each set; groups of all sets then
+    count the rows that have one of their bits. With more than ``cells`` finest groups Spark expands the rows for each set instead.
     """
     columns = list(dict.fromkeys(c for s in sets for c in s))
     keyed = rows.select(*columns, F.col(total).alias("_total"), F.col(distinct).alias("_distinct"))
-    made = keyed.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
-    return made.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum("_total").alias("total"), F.countDistinct("_distinct").alias("n_distinct"))
+    sums = F.count("*").alias("n"), F.sum("_total").alias("total")
+    by_set = lambda df: df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    level = F.grouping_id().cast("long").alias("level")
+    finest = keyed.groupBy(*columns).agg(*sums)
+    known = finest.limit(cells + 1).collect()
+    if len(known) > cells:
+        return by_set(keyed).agg(level, *sums, F.countDistinct("_distinct").alias("n_distinct"))
+    if not known:
+        kinds, whole = dict(keyed.dtypes), keyed.agg(*sums, F.countDistinct("_distinct").alias("n_distinct")).filter(F.lit([] in sets))
+        return whole.select(*[F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.lit((1 << len(columns)) - 1).cast("long").alias("level"), "n", "total", "n_distinct")
+    few = rows.sparkSession.createDataFrame([(*r, 1 << i) for i, r in enumerate(known)], finest.schema.add("_bit", "long"))
+    groups = by_set(few).agg(level, F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"), F.coalesce(F.bit_or("_bit"), F.lit(0)).alias("_bits"))
+    bits = few.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], "_bit")
+    same = F.lit(True)
+    for i, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    held = keyed.filter("_distinct IS NOT NULL").join(F.broadcast(bits), same).groupBy("_distinct").agg(F.bit_or("_bit").alias("_held"))
+    held = held.groupBy("_held").agg(F.count("*").alias("_values"))
+    met = held.join(F.broadcast(groups.select("level", "_bits").distinct()), F.col("_held").bitwiseAND(F.col("_bits")) != 0)
+    counted = met.groupBy("level", "_bits").agg(F.sum("_values").alias("n_distinct"))
+    out = groups.join(F.broadcast(counted), ["level", "_bits"], "left")
+    return out.select(*columns, "level", "n", "total", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))

@@ -154,3 +154,20 @@ def test_statistics_of_nulls_and_nothing(spark):
     one = spark.createDataFrame([(1, 5), (2, None), (None, 1)], "i int, v int")
     assert tuple(stats.paired_difference(one, one.filter("i < 2"), "i", "v").first()) == (1, 0.0)
     assert tuple(stats.paired_difference(one, one.filter("i > 9"), "i", "v").first()) == (0, None)
+
+
+@pytest.mark.parametrize("cells", [63, 3])
+def test_grouped_shuffles_the_table_once(spark, cells):
+    """Nulls in groups and values, empty tables, more finest groups than bits; below that no row is expanded for each set."""
+    rows = [(["x", "y", None][i % 3], [1, None][i % 2], float(i), None if i % 5 == 0 else i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b int, v double, w int")
+    got = stats.grouped(df, [["a", "b"], ["b"], []], "v", "w", cells=cells)
+    want = {}
+    for level, pick in ((0, lambda r: (r[0], r[1])), (2, lambda r: (None, r[1])), (3, lambda r: (None, None))):
+        for r in rows:
+            want.setdefault((level, *pick(r)), []).append(r)
+    assert {(r.level, r.a, r.b): (r.n, r.total, r.n_distinct) for r in got.collect()} == {k: (len(x), sum(r[2] for r in x), len({r[3] for r in x} - {None})) for k, x in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert cells == 3 or "_distinct" not in "".join(line for line in plan.splitlines() if "Expand" in line)
+    none = stats.grouped(df.filter("v < 0"), [["a", "b"], ["b"], []], "v", "w", cells=cells).collect()
+    assert [tuple(r) for r in none] == [(None, None, 3, 0, None, 0)]
