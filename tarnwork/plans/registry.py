@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, terms, unit
 from ..operators import config, dense, deps, lexical, report, stats
-from ..sources import exists, first_of_places, parameter, placed_texts, table
+from ..sources import first_of_places, parameter, placed_texts, table, write_placed
 from ..written import new_path
 from . import extended, rendered
 
@@ -94,9 +94,8 @@ def probe_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations in files, at two places for each supplier: the first that has one wins, and none at all skips."""
     configs = _settings(spark, sf_dir)
     base = f"{new_path(spark, 'probe')}/{parameter(spark, 'tarnwork.configs', 'configs')}"
-    rendered.placed(configs).repartition("case").write.partitionBy("case", "place").text(base)
-    found = placed_texts(spark, base) if exists(spark, base) else rendered.placed(configs).limit(0)
-    chosen = first_of_places(found, configs.select(F.col("key").alias("case")))
+    write_placed(rendered.placed(configs), base)
+    chosen = first_of_places(placed_texts(spark, base), configs.select(F.col("key").alias("case")))
     return config.check_configs(chosen.select(F.concat(F.lit("supplier_"), F.col("case").cast("string")).alias("path"), "value"))
 
 

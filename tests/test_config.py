@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import config
-from tarnwork.sources import first_existing, parameter, parent_root, whole_texts
+from tarnwork.sources import first_existing, first_of_places, parameter, parent_root, placed_texts, whole_texts, write_placed
 
 
 @pytest.mark.parametrize(
@@ -46,3 +46,15 @@ def test_parameters(spark, monkeypatch):
     assert parameter(spark, "SOME_PATH", "default") == "there"
     assert parameter(spark, "SOME_OTHER_PATH", "default") == "default"
     assert parent_root("/a/b/c.py") == "/a"
+
+
+def test_placed_texts_of_many_cases_lie_in_few_files(spark, tmp_path):
+    """The text at the lowest place wins; line breaks, empty and null texts come back as they are; cases don't make files."""
+    odd = {0: "a: 1\r\nb: \u2028\"x\"\n", 1: "", 2: None}
+    texts = spark.createDataFrame([(i, p, odd.get(i, f"{p}/{i}\n")) for i in range(400) for p in (0, 1) if (i + p) % 5], "case long, place int, value string")
+    write_placed(texts.repartition(3), f"file://{tmp_path}/placed")
+    assert len(list(tmp_path.rglob("*.json"))) <= 6
+    got = {r.case: r.value for r in first_of_places(placed_texts(spark, f"file://{tmp_path}/placed"), spark.range(401).toDF("case")).collect()}
+    assert got == {i: odd.get(i, f"{0 if i % 5 else 1}/{i}\n") for i in range(400)} | {400: None}
+    write_placed(texts.limit(0), f"file://{tmp_path}/none")
+    assert placed_texts(spark, f"file://{tmp_path}/none").count() == 0
