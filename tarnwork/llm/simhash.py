@@ -329,31 +329,41 @@ def some_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are at least ``similarity`` alike, written.
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of distinct nodes (node), written.
 
-    docs: (id, text). Only texts of the pairs' nodes are read again, of equal sets the one with the id ``rep``; they are told by a
+    docs: (id, text). Only texts of these nodes are read again, of equal sets the one with the id ``rep``; they are told by a
     bitmap of bounded size, and what it lets through by chance goes in the join.
     """
-    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node"), "wanted")
+    wanted = stash(nodes.join(classes.select("node", "rep"), "node"), "wanted")
     reps = stash(wanted.select(F.xxhash64("rep").alias("key")).distinct(), "wanted-ids")
     read = some_sets(flagged(docs, reps, F.xxhash64("id"), "_wanted").filter("_wanted"), shingle).join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("rep")))
     read = stash(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "compared-sets")
+    unstash(wanted)
+    return read
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= similarity * (len(x) + len(y) - same) - 1e-9
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are at least ``similarity`` alike, written. docs: (id, text)."""
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    read = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), classes, docs, shingle)
     both = pairs.join(read.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(read.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             alike = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+                alike.append(_alike(x.values.to_numpy(), y.values.to_numpy(), similarity))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
         tidy()
 
     out = stash(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
-    unstash(pairs, wanted, read)
+    unstash(pairs, read)
     return out
 
 
@@ -391,10 +401,11 @@ def _likely(members: DataFrame, similarity: float, block: int) -> DataFrame:
 
 
 def _apart(members: DataFrame, own: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b): all pairs of nodes with different labels that may be alike enough, each under one of the keys that they share.
+    """(CELLS): nodes that in a cell may be alike enough to one with another label; each such pair has a key, that they share, in whose cell both are.
 
     members: (key, pos, node, label); own: (node, size, lanes, head). Of each bucket the commonest label's nodes are only compared with the others. A bucket
-    over ``block`` is dealt into cells: blocks of the others with each other and with blocks of the commonest.
+    over ``block`` is dealt into cells: blocks of the others with each other and with blocks of the commonest. Nodes come out, not their pairs, of which
+    a group of texts that are all nearly alike enough has as many as its square.
     """
     counts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     tops = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
@@ -408,23 +419,39 @@ def _apart(members: DataFrame, own: DataFrame, similarity: float, block: int) ->
                     transform(sequence(0, bm - 1), j -> struct(mine AS x, bo + j AS y, 0 AS side))) END""")
     cells = dealt.withColumn("cell", F.explode(cells))
     cells = cells.select(F.xxhash64("key", "cell.x", "cell.y").alias("cell"), "cell.side", "common", "key", "pos", "node", "label", "size", "lanes", "head")
-    refs = pivots(SHINGLE_LANES, 4)
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((t["common"].to_numpy(), t["cell"].to_numpy()))
-        cell, side, key, pos, node, label, size = (t[c].to_numpy()[order] for c in ("cell", "side", "key", "pos", "node", "label", "size"))
-        other, bits = ~t["common"].to_numpy()[order], _lanes(t["lanes"], SHINGLE_LANES)[order]
-        head = np.frombuffer(b"".join(t["head"].to_pylist()), ">i8").reshape(-1, HEAD)[order].astype(np.int64)
-        far = np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in refs], 1)
-        bound = discard_bits(size, similarity)
-        end = np.searchsorted(cell, cell, side="right")
-        active, found, held = np.flatnonzero(other), [], 0
+    def find(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, pairs = _in_cells(t, similarity)
+        met = np.zeros(t.num_rows, bool)
+        for a, b in pairs(np.unique(t["label"].to_numpy(), return_inverse=True)[1]):
+            met[a] = met[b] = True
+        yield from t.filter(pa.array(met)).to_batches()
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", find), CELLS)
+
+
+#: A node in a cell, as ``_apart`` compares it.
+CELLS = "cell long, side int, common boolean, key long, pos int, node long, label long, size int, lanes binary, head binary"
+
+
+def _in_cells(t: pa.Table, similarity: float) -> tuple[pa.Table, Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Whole cells in order, and their pairs of rows that may be alike enough, for an array of groups in which a pair need not be told; the caller may join groups on the way."""
+    t = t.take(pa.array(np.lexsort((t["common"].to_numpy(), t["cell"].to_numpy()))))
+    cell, side, key, pos, size = (t[c].to_numpy() for c in ("cell", "side", "key", "pos", "size"))
+    other, bits = ~t["common"].to_numpy(), _lanes(t["lanes"], SHINGLE_LANES)
+    head = np.frombuffer(b"".join(t["head"].to_pylist()), ">i8").reshape(-1, HEAD).astype(np.int64)
+    far = np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in pivots(SHINGLE_LANES, 4)], 1)
+    bound = discard_bits(size, similarity)
+    end = np.searchsorted(cell, cell, side="right")
+
+    def pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        active = np.flatnonzero(other)
         for step in range(1, len(cell)):
             active = active[end[active] > active + step]
             if not len(active):
                 break
             a, b = active, active + step
-            near = ((side[a] != side[b]) | (side[a] < 0)) & (label[a] != label[b])
+            near = ((side[a] != side[b]) | (side[a] < 0)) & (group[a] != group[b])
             a, b = a[near], b[near]
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             least = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9)  # shingles that they must share
@@ -437,15 +464,43 @@ def _apart(members: DataFrame, own: DataFrame, similarity: float, block: int) ->
             a, b = a[near], b[near]
             same = (head[a][:, :, None] == head[b][:, None, :]).any(2) & (head[a] != NO_KEY)
             near = ~same.any(1) | (head[a, same.argmax(1)] == key[a])  # a pair that meets under an earlier key is left to that one
-            found.append((node[a[near]], node[b[near]]))
-            held += int(near.sum())
-            if held > 1_000_000:
-                yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
-                found, held = [], 0
-        if found:
-            yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+            if near.any():
+                yield a[near], b[near]
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", compare), "a long, b long")
+    return t, pairs
+
+
+def _verified_in_cells(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs in cells (CELLS) that are alike enough by their sets (node, shingles), as many as connect all such; a pair that is connected by now isn't looked at."""
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, pairs = _in_cells(t, similarity)
+        node, shingles = t["node"].to_numpy(), t["shingles"]
+        names, group = np.unique(t["label"].to_numpy(), return_inverse=True)
+        root, out = np.arange(len(names)), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for a, b in pairs(group):
+            joined = False
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = top(group[i]), top(group[j])
+                if x != y and _alike(shingles[i].values.to_numpy(), shingles[j].values.to_numpy(), similarity):
+                    root[max(x, y)] = min(x, y)
+                    out.append((node[i], node[j]))
+                    joined = True
+            if joined:
+                while (root[root] != root).any():
+                    root[:] = root[root]
+                group[:] = root[group]
+        if out:
+            yield _pairs(*map(np.array, zip(*out, strict=True)))
+
+    both = cells.join(sets, "node").select(*cells.columns, "shingles")
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _whole(batches, "cell", compare, 10_000), "a long, b long")
 
 
 #: Fills the head of a short list of keys.
@@ -465,8 +520,10 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingl
     first = verified(_likely(some.select("key", "node", "n").join(own.select("node", "size", "lanes"), "node"), similarity, block), classes, docs, similarity, shingle)
     labels = components(first)
     named = some.select("key", "pos", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    second = verified(_apart(named, own, similarity, block), classes, docs, similarity, shingle)
-    unstash(some)
+    met = stash(_apart(named, own, similarity, block), "apart")
+    sets = sets_of(met.select("node").distinct(), classes, docs, shingle)
+    second = stash(_verified_in_cells(met, sets, similarity), "alike")
+    unstash(some, met, sets)
     return components(first.union(second)) if not second.isEmpty() else labels
 
 

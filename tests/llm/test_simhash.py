@@ -235,3 +235,48 @@ def test_huge_group_and_dealt_buckets(spark):
 def test_spanning_takes_the_lightest_links():
     a, b = np.array([7, 7, 8, 1, 2]), np.array([8, 9, 9, 2, 1])
     assert sorted(simhash.spanning(a, b, np.array([5, 1, 2, 4, 3])).tolist()) == [1, 2, 4]
+
+
+def test_a_group_that_is_almost_alike_makes_no_pairs(spark):
+    """Texts of one group that miss the similarity by little are compared where they meet: out come rows for nodes and links, not for pairs; one real link is found."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for n in range(120):  # three words that only this text has, far apart: 15 of 196 shingles differ from the base, 30 from each other
+        words = list(base)
+        for i in range(3):
+            words[20 + i * 60 + rng.randrange(40)] = f"own{n}x{i}"
+        for i in range(6):
+            words.append(f"tail{n}x{i}")
+        texts.append(" ".join(words))
+    texts.append(texts[0] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    sets = simhash.shingle_keys(docs, 5, 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.uint8)))
+    classes = stash(sets.selectExpr("node", "id AS rep", "size", "lanes", "keys"), "classes")
+    members = stash(simhash.shared(classes.selectExpr("posexplode(keys) AS (pos, key)", "node")).selectExpr("key", "pos", "node", "node AS label"), "members")
+    own = classes.selectExpr("node", "size", "lanes", f"unhex(repeat('8000000000000000', {simhash.HEAD})) AS head")
+    met = stash(simhash._apart(members, own, 0.8, 50), "apart")
+    cells = met.selectExpr("cell", "node").distinct().count()
+    assert 0 < met.count() == cells  # a node once in each cell
+    links = simhash._verified_in_cells(met, simhash.sets_of(met.select("node").distinct(), classes, docs, 5), 0.8).collect()
+    node = {r.node: r.rep for r in classes.collect()}
+    want = set()
+    cut = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b]):
+                want.add((a, b))
+    got = {tuple(sorted((node[r.a], node[r.b]))) for r in links}
+    assert got <= want and (0, 120) in want and len(want) < 2000
+    label = lambda pairs: [min(c) for c in groups(len(texts), pairs)]
+    assert label(got) == label(want)
+
+
+def groups(n, pairs):
+    own = [{i} for i in range(n)]
+    for a, b in pairs:
+        if own[a] is not own[b]:
+            own[a] |= own[b]
+            for i in own[b]:
+                own[i] = own[a]
+    return own
