@@ -10,24 +10,31 @@ from pyspark.sql import functions as F
 
 #: Items of one group that meet in one task; a larger group is dealt into blocks, and each pair of blocks is a task's work of its own.
 BLOCK = 1000
+#: Rows of the table for each task of the pairing, about; it keeps what a task sorts and counts from growing with the table.
+TASK_ROWS = 250_000
 
 
 def cochange_pairs(changes: DataFrame, group: str, item: str, support: int = 2, block: int = BLOCK) -> DataFrame:
     """(a, b, n): unordered pairs of items that changed together in at least ``support`` groups; an item counts once for each group.
 
     Items in fewer groups than ``support`` can be in no such pair and go first. Of a huge group's items each goes to as many cells as the group
-    has blocks, so that no task gets more than a block's square of pairs. Defined cases: rows without a group or an item don't count;
+    has blocks, so that no task gets more than a block's square of pairs. Rows, cells and pairs are dealt over tasks by the table's size. Defined cases: rows without a group or an item don't count;
     repeated rows count once; an empty table gives an empty table.
     """
-    once = changes.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").distinct()
+    given = changes.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL")
+    tasks = max(changes.sparkSession.sparkContext.defaultParallelism, given.count() // TASK_ROWS + 1)
+    once = given.distinct()
     if support > 1:
-        once = once.join(once.groupBy("i").count().filter(F.col("count") >= support).select("i"), "i", "left_semi")
+        often = given.repartition(tasks, "i").distinct().groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("i")
+        once = given.repartition(tasks, "i").distinct().join(often, "i", "left_semi")
+    once = once.repartition(tasks, "g")
     sizes = once.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = once.join(sizes, "g").withColumn("mine", F.pmod(F.xxhash64("i"), "blocks").cast("int"))
     all_blocks = F.explode(F.expr("sequence(0, blocks - 1)"))
-    a = dealt.select("g", F.col("i").alias("a"), F.col("mine").alias("x"), all_blocks.alias("y"))
-    b = dealt.select("g", F.col("i").alias("b"), all_blocks.alias("x"), F.col("mine").alias("y"))
-    return a.join(b, ["g", "x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    a = dealt.select("g", F.col("i").alias("a"), F.col("mine").alias("x"), all_blocks.alias("y")).repartition(tasks, "g", "x", "y")
+    b = dealt.select("g", F.col("i").alias("b"), all_blocks.alias("x"), F.col("mine").alias("y")).repartition(tasks, "g", "x", "y")
+    pairs = a.join(b.hint("merge"), ["g", "x", "y"]).filter("a < b").select("a", "b").repartition(tasks, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
 
 def mcnemar(pairs: DataFrame, x: Column, y: Column) -> DataFrame:

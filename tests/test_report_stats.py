@@ -171,3 +171,12 @@ def test_grouped_shuffles_the_table_once(spark, cells):
     assert cells == 3 or "_distinct" not in "".join(line for line in plan.splitlines() if "Expand" in line)
     none = stats.grouped(df.filter("v < 0"), [["a", "b"], ["b"], []], "v", "w", cells=cells).collect()
     assert [tuple(r) for r in none] == [(None, None, 3, 0, None, 0)]
+
+
+def test_cochange_tasks_grow_with_the_table(spark, monkeypatch):
+    """So that no task's share does; the pairs are the same."""
+    monkeypatch.setattr(stats, "TASK_ROWS", 10)
+    rows = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(60)], "g int, i int")
+    got = stats.cochange_pairs(rows, "g", "i", block=7)
+    assert got.rdd.getNumPartitions() >= 12
+    assert sorted((r.a, r.b, r.n) for r in got.collect()) == [(a, b, 2) for a in range(60) for b in range(a + 1, 60)]
