@@ -1,14 +1,16 @@
 """Exact top-k by inner product over a written cluster index that skips what can't matter.
 
-Centroids are fitted on a bounded sample of the rows; every row goes to the cell of its nearest centroid, and a cell's rows, sorted by their
-distance from it, to pages of ``PAGE`` rows that know the range of these distances and the longest vector. What a query can gain from a page
+Centroids are fitted on a bounded sample of the rows; every row goes to the cell of its nearest centroid, and rows are written in the order of their
+cell and of their distance from its centroid. A task reads them in pages, up to ``PAGE`` rows of one cell that follow each other, and takes from each the
+range of these distances and the longest vector. What a query can gain from a page
 is bounded by the triangle inequality: q.x = q.c + q.(x - c) <= q.c + |q| high, and |q - x| is at least the gap between |q - c| and the page's range.
 Against it stands the query's k-th best score: first that over the sample, which is part of the rows, then the running one of the task. In a page
 that is left, rows are scored on the first coordinates of a rotation fitted on the sample (most of the variance first); Cauchy-Schwarz
 bounds the rest, and only rows that still may count are scored in full, on the vectors as they are. So the rows are those of ``dense.top_k``.
 
-Cells, and with them what is broadcast, are bounded in number; queries go to the cells that they need in packs, so a cell with a third of
-all rows is many pages that Spark deals out like any others. On data without clusters (random directions) no page can be skipped, and only
+Queries reach the tasks in blocks of bounded size, as by ``dense``, and a task lets out its best k rows for each of them. So what a task holds, one batch
+of rows, one block and part of the scores of one page, grows neither with the rows nor with the queries. A cell with a third of
+all rows is many pages that are dealt out like any others. On data without clusters (random directions) no page can be skipped, and only
 the coordinates left out of most scores are saved.
 """
 
@@ -23,24 +25,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..written import in_blocks
+from .dense import _Best, _blocks
 
-CELLS, PAGE, PACK = 256, 512, 512
+CELLS, PAGE = 256, 512
+#: Scores that a task holds at once, and pairs of vectors that it multiplies one by one at once.
+SCORES, PAIRS = 1_000_000, 20_000
 #: Rows that the centroids and the rotation are fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
 #: Shares of the rotated coordinates after which rows are given up.
 STEPS = (0.5, 0.875)
 ODD = -1  # the cell of vectors with a NaN or an infinite number, which nothing bounds
-PAGES = "cell int, low double, high double, norm double, n int, ids array<bigint>, vectors binary"
+ROWS = "cell int, far double, vec_id bigint, vector binary"
+FOUND = "query_id bigint, vec_id bigint, score double, met bigint, scored bigint"
 
 
 @dataclass
 class Index:
-    """A written index: pages, and what was fitted. ``dims``: only vectors of that length are in it."""
+    """A written index: rows in order, and what was fitted. ``dims``: only vectors of that length are in it."""
 
-    pages: DataFrame
+    rows: DataFrame
     centroids: np.ndarray
     rotation: np.ndarray
     sample: np.ndarray
+    page: int
     n_rows: int
 
     @property
@@ -93,29 +101,10 @@ def build(rows: DataFrame, path: str, cells: int = CELLS, page: int = PAGE, samp
             cell[~np.isfinite(m).all(axis=1)] = ODD
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(far), b.column(0).take(pa.array(at)), pa.array([x.tobytes() for x in m], pa.binary())], names=["cell", "far", "vec_id", "vector"])
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell and distance; a page is closed when it is full or the cell changes."""
-        held: list[tuple] = []
-
-        def close() -> pa.RecordBatch:
-            m = np.frombuffer(b"".join(r[3] for r in held), np.float64).reshape(len(held), dims)
-            longest = float(np.linalg.norm(m, axis=1).max()) if held[0][0] != ODD else 0.0
-            values = [held[0][0]], [held[0][1]], [held[-1][1]], [longest], [len(held)], [[r[2] for r in held]], [m.tobytes()]
-            kinds = pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PAGES.split(", ")])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (len(held) == page or held[0][0] != row[0]):
-                    yield close()
-                    held = []
-                held.append(row)
-        if held:
-            yield close()
-
-    assigned = rows.select("vec_id", "embedding").mapInArrow(assign, "cell int, far double, vec_id bigint, vector binary")
-    assigned.repartitionByRange("cell", "far", "vec_id").sortWithinPartitions("cell", "far", "vec_id").mapInArrow(pages, PAGES).write.parquet(f"{path}/pages")
-    spark.createDataFrame([(centroids.shape[0], dims, centroids.tobytes(), rotation.tobytes(), seen.tobytes())], "cells int, dims int, centroids binary, rotation binary, sample binary").write.parquet(f"{path}/fitted")
+    assigned = rows.select("vec_id", "embedding").mapInArrow(assign, ROWS)
+    assigned.repartitionByRange("cell", "far", "vec_id").sortWithinPartitions("cell", "far", "vec_id").write.parquet(f"{path}/rows")
+    fitted = "dims int, page int, centroids binary, rotation binary, sample binary"
+    spark.createDataFrame([(dims, page, centroids.tobytes(), rotation.tobytes(), seen.tobytes())], fitted).write.parquet(f"{path}/fitted")
     return reopen(spark, path)
 
 
@@ -123,8 +112,8 @@ def reopen(spark: SparkSession, path: str) -> Index:
     """The index written under ``path``."""
     f = spark.read.parquet(f"{path}/fitted").first()
     shaped = lambda x: np.frombuffer(bytes(x), np.float64).reshape(-1, f.dims)
-    pages = spark.read.schema(PAGES).parquet(f"{path}/pages")
-    return Index(pages, shaped(f.centroids), shaped(f.rotation), shaped(f.sample), int(pages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
+    return Index(rows, shaped(f.centroids), shaped(f.rotation), shaped(f.sample), f.page, rows.count())
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
@@ -139,91 +128,103 @@ def _bound(along: np.ndarray, norm: np.ndarray, away: np.ndarray, low, high, lon
     return np.minimum(along + norm * high, 0.5 * (norm**2 + longest**2 - gap**2))
 
 
+def _pages(cell: np.ndarray, page: int) -> Iterator[slice]:
+    """Runs of one cell, in pieces of at most ``page`` rows."""
+    ends = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+    for low, high in zip(ends[:-1], ends[1:]):
+        for at in range(low, high, page):
+            yield slice(at, min(at + page, high))
+
+
+def _products(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The inner product of each pair, always summed in the same order: equal vectors get equal scores wherever they lie, which a matrix product doesn't promise."""
+    parts = [(q[row[i : i + PAIRS]] * x[col[i : i + PAIRS]]).sum(1) for i in range(0, len(row), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, met, scored): candidates of queries (query_id, embedding), and rows without a vec_id that count pairs.
+    """(query_id, vec_id, score, met, scored): candidates of queries (query_id, embedding), at most k of each from a task, and rows without a vec_id that count pairs.
 
     met: pairs of a query and a row whose page wasn't skipped; scored: pairs scored in full.
     """
-    spark, dims = queries.sparkSession, index.dims
-    cells = index.pages.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect()
-    sent = spark.sparkContext.broadcast((index.centroids, index.rotation, index.sample, {r.cell: (r.low, r.high, r.norm) for r in cells}))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each cell that may matter to some of the queries, these queries in a pack."""
-        centroids, _, sample, known = sent.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, PACK):
-                b = whole.slice(low, PACK)
-                at, q = _vectors(b.column(1), dims)
-                ids = b.column(0).to_numpy(zero_copy_only=False)[at]
-                least = np.full(len(q), -np.inf)
-                for part in range(0, len(q), 64):
-                    least[part : part + 64] = _kth(q[part : part + 64] @ sample.T, k) if len(sample) else -np.inf
-                norm = np.linalg.norm(q, axis=1)
-                rows = []
-                for cell, (near, far, longest) in known.items():
-                    along, away = (q @ centroids[cell], np.linalg.norm(q - centroids[cell], axis=1)) if cell != ODD else (norm, norm)
-                    takes = np.ones(len(q), bool) if cell == ODD else ~(_bound(along, norm, away, near, far, longest) < least - _slack(least))
-                    if takes.any():
-                        rows.append((cell, ids[takes].tolist(), q[takes].tobytes(), least[takes].tolist()))
-                names = ["cell", "queries", "asked", "least"]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("cell", pa.int32()), ("queries", pa.list_(pa.int64())), ("asked", pa.binary()), ("least", pa.list_(pa.float64()))]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, rotation, _, _ = sent.value
-        running: dict[int, float] = {}
-        cuts = [max(1, int(dims * s)) for s in STEPS]
+    spark, dims, page = queries.sparkSession, index.dims, index.page
+    ship(spark)
+    fitted = spark.sparkContext.broadcast((index.centroids, index.rotation))
+    sample = spark.sparkContext.broadcast(index.sample)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with its k-th best score over the sample."""
         for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            at, q = _vectors(b.column(1), dims)
+            least = np.full(len(q), -np.inf)
+            for part in range(0, len(q), 64):
+                least[part : part + 64] = _kth(q[part : part + 64] @ sample.value.T, k) if len(sample.value) else -np.inf
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(least)], names=["query_id", "embedding", "least"])
+
+    def run(sent) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (centroids, rotation), (names, asked, more) = fitted.value, sent.value
+            best, least = _Best(len(names), k), more["least"].copy()
+            odd = ~np.isfinite(asked).all(axis=1)
+            norm, turned = np.linalg.norm(asked, axis=1), np.where(odd[:, None], 0, asked) @ rotation
+            cuts = [0, *(max(1, int(dims * s)) for s in STEPS)]
+            rest = [np.linalg.norm(turned[:, m:], axis=1) for m in cuts]
+            now = along = away = None
             met = scored = 0
-            for r in range(b.num_rows):
-                p = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-                cell, n = p["cell"].as_py(), p["n"].as_py()
-                x = np.frombuffer(p["vectors"].as_py(), np.float64).reshape(n, dims)
-                own = p["ids"].values.to_numpy()
-                names = p["queries"].values.to_numpy()
-                q = np.frombuffer(p["asked"].as_py(), np.float64).reshape(-1, dims)
-                least = np.maximum(p["least"].values.to_numpy(), [running.get(i, -np.inf) for i in names.tolist()])
-                if cell != ODD:
-                    norm = np.linalg.norm(q, axis=1)
-                    c = centroids[cell]
-                    stays = ~(_bound(q @ c, norm, np.linalg.norm(q - c, axis=1), p["low"].as_py(), p["high"].as_py(), p["norm"].as_py()) < least - _slack(least))
-                    q, names, least = q[stays], names[stays], least[stays]
-                met += len(q) * n
-                if not len(q):
-                    continue
-                alive = np.ones((len(q), n), bool)
-                if cell != ODD and np.isfinite(q).all():
-                    qr, xr = q @ rotation, x @ rotation
-                    for m in cuts:
-                        rest = np.sqrt((qr[:, m:] ** 2).sum(1))[:, None] * np.sqrt((xr[:, m:] ** 2).sum(1))[None]
-                        alive &= ~(qr[:, :m] @ xr[:, :m].T + rest < (least - _slack(least))[:, None])
-                        if not alive.any():
-                            break
-                scored += int(alive.sum())
-                row, col = np.nonzero(alive)
-                full = np.full((len(q), n), -np.inf)
-                full[row, col] = (q @ x.T)[row, col]
-                # Of these the best k and all that tie with the last of them, so that ids decide over all pages.
-                last = _kth(full, k)
-                row, col = np.nonzero(alive & ~(full < last[:, None]))
-                out.append((names[row], own[col], full[row, col]))
-                for i, v in zip(names.tolist(), last.tolist()):
-                    if v > running.get(i, -np.inf):
-                        running[i] = v
-            ids = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3)]
-            kinds = pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()
-            found = [pa.array(ids[0].astype(np.int64)), pa.array(ids[1].astype(np.int64)), pa.array(ids[2].astype(np.float64)), *[pa.array(np.zeros(len(ids[0]), np.int64))] * 2]
-            yield pa.RecordBatch.from_arrays(found, names=["query_id", "vec_id", "score", "met", "scored"])
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, met, scored), kinds)], names=["query_id", "vec_id", "score", "met", "scored"])
-
-    packs = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").mapInArrow(deal, "cell int, queries array<bigint>, asked binary, least array<double>")
-    return index.pages.join(packs, "cell").mapInArrow(score, "query_id bigint, vec_id bigint, score double, met bigint, scored bigint")
-
-
-def _slack(least: np.ndarray) -> np.ndarray:
+            for b in batches:
+                cells, far, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                vectors = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float64).reshape(b.num_rows, dims)
+                for at in _pages(cells, page):
+                    cell, x, own = int(cells[at.start]), vectors[at], ids[at]
+                    some = np.arange(len(names))
+                    if cell != ODD:
+                        if cell != now:
+                            now, along, away = cell, asked @ centroids[cell], np.linalg.norm(asked - centroids[cell], axis=1)
+                        longest = np.linalg.norm(x, axis=1).max()
+                        some = np.flatnonzero(~(_bound(along, norm, away, far[at.start], far[at.stop - 1], longest) < least - _slack(least, norm, longest)) | odd)
+                        xr = x @ rotation
+                        left = [np.linalg.norm(xr[:, m:], axis=1) for m in cuts]
+                    met += len(some) * len(x)
+                    step = max(1, SCORES // len(x))
+                    for part in (some[i : i + step] for i in range(0, len(some), step)):
+                        alive = np.ones((len(part), len(x)), bool)
+                        if cell != ODD:
+                            bar = np.where(odd[part], -np.inf, least[part] - _slack(least[part], norm[part], longest))
+                            known = np.zeros((len(part), len(x)))
+                            for n in range(1, len(cuts)):
+                                known += turned[part, cuts[n - 1] : cuts[n]] @ xr[:, cuts[n - 1] : cuts[n]].T
+                                alive &= ~(known + rest[n][part, None] * left[n] < bar[:, None])
+                                if not (stays := alive.any(axis=1)).all():
+                                    part, bar, known, alive = part[stays], bar[stays], known[stays], alive[stays]
+                        scored += int(alive.sum())
+                        if cell != ODD:
+                            alive &= ~(asked[part] @ x.T < bar[:, None])
+                            stays = alive.any(axis=1)
+                            part, alive = part[stays], alive[stays]
+                        if not len(part):
+                            continue
+                        full = np.full(alive.shape, -np.inf)
+                        row, col = np.nonzero(alive)
+                        full[row, col] = _products(asked, x, part[row], col)
+                        best.add(part, own, full, alive)
+                        last = np.where(best.full[part, -1] & np.isfinite(best.scores[part, -1]), best.scores[part, -1], -np.inf)
+                        least[part] = np.maximum(least[part], last)
+            found = best.rows(names, 0).drop_columns("variant")
+            none = pa.array(np.zeros(found.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*found.columns, none, none], names=["query_id", "vec_id", "score", "met", "scored"])
+            counts = zip((None, None, None, met, scored), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in counts], names=["query_id", "vec_id", "score", "met", "scored"])
+
+        return index.rows.mapInArrow(score, FOUND)
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    started = queries.filter("embedding IS NOT NULL").select(F.col("query_id").cast("long"), "embedding").mapInArrow(start, f"query_id bigint, embedding {kind}, least double")
+    return in_blocks(spark, _blocks(started, ["least"]), run, FOUND)
+
+
+def _slack(least: np.ndarray, norm: np.ndarray, longest: float) -> np.ndarray:
     """Room for rounding, so that no bound that is equal but for its last digits gives up a row."""
-    return 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    return 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))) + 1e-13 * (norm**2 + longest**2)
 
 
 def top_k(index: Index, queries: DataFrame, k: int) -> DataFrame:

@@ -53,6 +53,22 @@ def test_ties_oddities_and_small_tables(spark, tmp_path):
     assert none.n_rows == 0 and pruned.top_k(none, few.select(F.col("vec_id").alias("query_id"), "embedding"), 3).count() == 0
 
 
+def test_a_task_lets_out_its_best_only(spark, tmp_path, monkeypatch):
+    """Of many pages a task gives k rows for each query, also if queries come in several blocks; equal vectors in different pages tie by id."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(1500, 8))
+    m[rng.permutation(1500)[:300]] = m[0]
+    rows = vectors(spark, m)
+    index = pruned.build(rows, f"file://{tmp_path}/v", cells=4, page=7, sample=5)
+    asked = list(range(0, 1500, 50))
+    queries = rows.filter(F.col("vec_id").isin(asked)).select(F.col("vec_id").alias("query_id"), "embedding")
+    let_out = pruned.search(index, queries, 5).filter("vec_id IS NOT NULL").count()
+    assert 5 * len(asked) <= let_out <= 5 * len(asked) * index.rows.rdd.getNumPartitions()
+    same(spark, rows, index, asked, 5)
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 100)
+    same(spark, rows, index, asked, 5)
+
+
 def test_trigrams(spark, tmp_path):
     rng = random.Random(4)
     texts = [None, "", "a", "ab", "é", "日本語の文", "x😀y😀z", *("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 40))) for _ in range(200))]
